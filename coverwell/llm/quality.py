@@ -25,7 +25,7 @@ from coverwell.llm.common import join_small, let, row_key, small, staged, words
 DIMS = ("x0", "x1", "x2", "x3")
 P = len(DIMS)
 #: Least standard deviation of each: what lies within a few of these is never an outlier.
-RIDGE = (0.1, 0.1, 0.1, 0.1)
+RIDGE = (0.1, 0.1, 0.15, 0.1)
 
 
 def _repeated(ws: Column, n: int = 5) -> Column:
@@ -170,7 +170,7 @@ def concentrate(rows: DataFrame, by: list[str], support: float, steps: int, name
 
 
 def judge(
-    stats: DataFrame, support: float = 0.75, steps: int = 3, least: int = 50, quantile: float = 1 - 1e-9
+    stats: DataFrame, support: float = 0.75, steps: int = 3, least: int = 50, quantile: float = 1 - 1e-7
 ) -> DataFrame:
     """Adds d2, the squared distance, and kept: not failed by the hard rules and not an outlier.
 
