@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverwell.llm import decontaminate, line_dedup, mixing, quality
+from coverwell.llm import decontaminate, line_dedup, mixing, quality, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -94,3 +94,10 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
