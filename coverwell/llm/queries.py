@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverwell.llm import decontaminate, line_dedup, mixing, quality, token_counts
+from coverwell.llm import decontaminate, line_dedup, mixing, quality, secrets, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -101,3 +101,52 @@ def op10_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op4_secret_scans(spark, sf_dir):
+    got = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["ord"] < len(secrets.BASE))
+    return got.select(
+        "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def _secrets_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    found = "\nUNION ALL\n".join(
+        f"""SELECT doc_id, '{r.kind}' AS kind, {order} AS ord,
+  regexp_extract_all(text, {quoted("(?s:.*?)(?:" + r.pattern + ")")}) AS upto,
+  regexp_extract_all(text, {quoted(r.pattern)}) AS whole,
+  regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) AS part, {r.least} AS least FROM d"""
+        for order, r in enumerate(secrets.RULES)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+each_ AS (
+  SELECT doc_id, kind, ord, least, unnest(upto) AS u, unnest(whole) AS w, unnest(part) AS p,
+    unnest(range(len(upto))) AS i FROM found
+),
+placed AS (
+  SELECT *, sum(length(u)) OVER (PARTITION BY doc_id, ord ORDER BY i) AS till FROM each_
+),
+spans AS (
+  SELECT doc_id, kind, ord, till - length(w) AS start, kind || ':' || CAST(till - length(w) AS VARCHAR) || ':' || CAST(till AS VARCHAR) AS s
+  FROM placed WHERE length(p) >= least
+),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access,
+    count(*) FILTER (WHERE ord = 2) AS n_hex, string_agg(s, ',' ORDER BY start, ord) FILTER (WHERE ord < {len(secrets.BASE)}) AS base,
+    string_agg(s, ',' ORDER BY start, ord) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN by_doc USING (doc_id)
+"""
+
+
+ORACLES["op4_secret_scans"] = _secrets_sql()
