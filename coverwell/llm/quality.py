@@ -188,10 +188,11 @@ def judge(
     by = ["g_lang", "g_source"]
     own = concentrate(rows, by, support, steps, "mcd").where(F.col("n") >= least * support)
     whole = concentrate(rows.withColumn("one", F.lit(1)), ["one"], support, steps, "mcd-all").drop("one", "n")
-    whole = whole.select(*[F.col(c).alias(f"w_{c}") for c in whole.columns])
-    known_small = small(own)
-    joined = join_small(keyed, own.drop("n"), by, "left", known_small).join(F.broadcast(whole), how="left")
-    d2 = F.coalesce(distance(), distance("w_"))
+    joined = join_small(keyed, own.drop("n"), by, "left", small(own))
+    d2 = distance()
+    if pooled := whole.first():  # one row of means and factors
+        joined = joined.withColumns({f"w_{k}": F.lit(v) for k, v in pooled.asDict().items()})
+        d2 = F.coalesce(d2, distance("w_"))
     return joined.withColumn("d2", d2).select(
         *stats.columns, "d2", (~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_4_at(quantile), F.lit(True))).alias("kept")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverwell.llm import decontaminate, line_dedup, mixing, quality, secrets, token_counts
+from coverwell.llm import decontaminate, line_dedup, mixing, near_dup, quality, secrets, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -150,3 +150,9 @@ FROM d LEFT JOIN by_doc USING (doc_id)
 
 
 ORACLES["op4_secret_scans"] = _secrets_sql()
+
+
+@query
+def op1_minhash_near_dedup(spark, sf_dir):
+    got = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2, percent=80)
+    return got.select("doc_id", "n_shingles", "component_id", "kept")
