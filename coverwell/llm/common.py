@@ -67,7 +67,15 @@ def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def same_row(a: DataFrame, b: DataFrame, id_col: str = "doc_id") -> Column:
-    return a[id_col].eqNullSafe(b[id_col]) & (a["_th"] == b["_th"])
+    return a[id_col].eqNullSafe(b[id_col]) & (a["_th"].eqNullSafe(b["_th"]))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not in ``gone`` (doc_id, _th)."""
+    rows = row_key(docs)
+    keys = gone.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_gh")).distinct().hint("shuffle_hash")
+    same = rows["doc_id"].eqNullSafe(keys["_id"]) & rows["_th"].eqNullSafe(keys["_gh"])
+    return rows.join(keys, same, "left_anti").select(*docs.columns)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

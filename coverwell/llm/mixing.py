@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coverwell.llm.common import join_small, n_words, small, staged
+from coverwell.llm.common import join_small, n_words, row_key, small, staged
 
 WEIGHTS = (5, 2, 1)
 LEVELS = (12, 12, 12, 14, 14)  # bits of the hash that each pass reads, 64 in all
@@ -110,28 +110,35 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return plan.join(near, "skey", "left")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, most: int = 2, seed: int = 11) -> DataFrame:
-    """(doc_id, source, _th, size, source_size, target, copies, taken): how often each document is in the mix.
-
-    ``_th`` hashes the text, so that (doc_id, _th) finds the row again where ids repeat.
-    """
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with skey (its source, null apart from the empty one), size in words, and h, the hash."""
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    sized = staged(
-        docs.select(
-            "doc_id", "source", key.alias("skey"), n_words(F.col("text")).alias("size"),
-            F.xxhash64("text").alias("_th"),
-        ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "_th")),
-        "sized",
-    )
-    totals = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
-    sources = staged(fill(source_weights(totals, weights), percent, most), "targets")
-    plan = thresholds(sized, sources).drop("source")
+    return row_key(docs).withColumns(
+        {"skey": key, "size": n_words(F.col("text")), "h": F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))}
+    )
+
+
+def _with_copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
     flip = F.lit(-(1 << 63))  # unsigned order
     h, edge = F.col("h").bitwiseXOR(flip), F.col("edge").bitwiseXOR(flip)
     more = F.when(F.col("edge").isNull(), F.lit(False)).otherwise((h < edge) | ((h == edge) & F.col("with_edge")))
-    joined = join_small(sized, plan, "skey", "left", small(sources)).withColumn(
-        "copies", F.when(F.col("size") > 0, F.col("copies") + more.cast("long")).otherwise(0)
-    )
-    return joined.select(
-        "doc_id", "source", "_th", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    joined = join_small(sized, plan.withColumnRenamed("copies", "_full"), "skey", "left", small(plan))
+    copies = F.when(F.col("size") > 0, F.col("_full") + more.cast("long")).otherwise(F.lit(0).cast("long"))
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, most: int = 2, seed: int = 11, texts: bool = False) -> DataFrame:
+    """How often each document is in the mix: copies, and taken, the words that makes.
+
+    Returns doc_id, source, size, source_size, target, copies and taken for every row; with
+    ``texts``, all columns of ``docs`` and these, for the rows that the mix takes.
+    """
+    sized = staged(_sized(docs, seed).select("doc_id", "source", "skey", "size", "h"), "sized")
+    totals = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
+    sources = staged(fill(source_weights(totals, weights), percent, most), "targets")
+    plan = staged(thresholds(sized, sources).select("skey", "source_size", "target", "copies", "edge", "with_edge"), "plan")
+    found = ["size", "source_size", "target", "copies", "taken"]
+    if texts:  # the thresholds alone decide, so the texts are filtered where they are read
+        kept = [c for c in docs.columns if c not in found]
+        return _with_copies(_sized(docs, seed), plan).where("copies > 0").select(*kept, *found)
+    return _with_copies(sized, plan).select("doc_id", "source", *found)
