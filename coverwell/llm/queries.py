@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverwell.llm import decontaminate, line_dedup, mixing, near_dup, quality, secrets, token_counts
+from coverwell.llm import decontaminate, line_dedup, mixing, near_dup, perspectives, quality, repeats, secrets, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -156,3 +156,65 @@ ORACLES["op4_secret_scans"] = _secrets_sql()
 def op1_minhash_near_dedup(spark, sf_dir):
     got = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2, percent=80)
     return got.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op7_suffix_dedup(spark, sf_dir):
+    return repeats.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+
+
+ORACLES["op7_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT doc_id, text, ws, [length(x) FOR x IN regexp_extract_all(text, '^[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+')] AS steps
+  FROM d WHERE len(ws) >= 50
+),
+w AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 50], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM g)),
+shared AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT w.doc_id, w.i, s.first FROM w JOIN shared s ON w.win = s.win),
+opened AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50 THEN 1 ELSE 0 END AS opens FROM hit),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM opened),
+spans AS (SELECT doc_id, run, min(i) AS first_word, max(i) + 50 - min(i) AS n_words, min(first) AS first_doc_id FROM runs GROUP BY doc_id, run)
+SELECT s.doc_id, s.first_word, s.n_words,
+  CAST(list_sum(g.steps[1:s.first_word + 1]) - length(g.ws[s.first_word + 1]) AS BIGINT) AS start,
+  CAST(list_sum(g.steps[1:s.first_word + s.n_words]) AS BIGINT) AS "end", s.first_doc_id
+FROM spans s JOIN g USING (doc_id)
+"""
+
+
+@query
+def op9_chat_perspectives(spark, sf_dir):
+    got = perspectives.perspectives(table(spark, sf_dir, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return got.withColumn("masks", masks)
+
+
+ORACLES["op9_chat_perspectives"] = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS rank
+  FROM conversations
+),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+r AS (
+  SELECT t.conv_id, p.speaker, CAST(floor(rank / 64) AS BIGINT) AS part, rank, t.role = p.speaker AS own,
+    CASE WHEN t.role = p.speaker THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>'
+      ELSE '<|user name=' || replace(t.role, '<|', '< |') || '|>' END || chr(10) AS head,
+    replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+),
+s AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY rank) AS upto FROM r
+),
+g AS (
+  SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY rank) AS text,
+    CAST(max(upto) AS BIGINT) AS n_chars,
+    coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || ':' || CAST(upto AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE own), '') AS masks,
+    CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
+  FROM s GROUP BY conv_id, speaker, part
+)
+SELECT conv_id, speaker, part, n_turns, text, n_chars,
+  CAST(coalesce(sum(n_chars) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  masks, n_masked
+FROM g
+"""
