@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverwell.llm import decontaminate, line_dedup, mixing, near_dup, perspectives, quality, repeats, secrets, token_counts
+from coverwell.llm import decontaminate, html_extract, line_dedup, mixing, near_dup, perspectives, quality, repeats, secrets, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -218,3 +218,8 @@ SELECT conv_id, speaker, part, n_turns, text, n_chars,
   masks, n_masked
 FROM g
 """
+
+
+@query
+def op6_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
