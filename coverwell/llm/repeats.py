@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coverwell.llm.common import WORD, row_key, staged
+from coverwell.llm.common import WORD, row_key, ship_package, staged
 from coverwell.llm.near_dup import WordHashes, mixed
 
 FIND = re.compile(WORD)
@@ -66,6 +66,26 @@ def minimisers(h: np.ndarray, k: int = K, span: int = SPAN) -> np.ndarray:
     return np.unique(at + np.arange(len(at)))
 
 
+class Columns:
+    """Collects arrays by column and gives them out as frames of bounded length."""
+
+    most = 100_000
+
+    def __init__(self, *names: str):
+        self.names, self.parts, self.n = names, [], 0
+
+    def add(self, *arrays: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.parts.append(arrays)
+        self.n += len(arrays[0])
+        if self.n >= self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.n:
+            yield pd.DataFrame({c: np.concatenate([p[k] for p in self.parts]) for k, c in enumerate(self.names)})
+        self.parts, self.n = [], 0
+
+
 def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
     """(_th, pos, key): the kept suffixes of every text, each by a hash of its first words."""
     head = min_words + 1 - SPAN
@@ -73,16 +93,14 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
+            out = Columns("_th", "pos", "key")
             for th, text in zip(rows["_th"], rows["text"], strict=True):
                 h = _hashes.of(text)
                 if len(h) >= min_words:
                     at = minimisers(h)
                     at = at[at + head <= len(h)]
-                    key = window_hashes(h, head, at).view(np.int64)
-                    out.append(pd.DataFrame({"_th": th, "pos": at.astype(np.int32), "key": key}))
-            if out:
-                yield pd.concat(out)
+                    yield from out.add(np.full(len(at), th), at.astype(np.int32), window_hashes(h, head, at).view(np.int64))
+            yield from out.rest()
 
     return texts.mapInPandas(of, "_th long, pos int, key long")
 
@@ -127,23 +145,18 @@ def windows(texts: DataFrame, min_words: int) -> DataFrame:
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
+            out = Columns("_th", "i", "wh", "start", "end")
             for th, text, pos in zip(rows["_th"], rows["text"], rows["pos"], strict=True):
                 h = _hashes.of(text)
                 near = (np.asarray(pos, np.int64)[:, None] - np.arange(SPAN)).ravel()
                 at = np.unique(near[(near >= 0) & (near + min_words <= len(h))])
                 if len(at):
                     spans = np.array([m.span() for m in FIND.finditer(text)], np.int32)
-                    out.append(
-                        pd.DataFrame(
-                            {
-                                "_th": th, "i": at.astype(np.int32), "wh": window_hashes(h, min_words, at).view(np.int64),
-                                "start": spans[at, 0], "end": spans[at + min_words - 1, 1],
-                            }
-                        )
+                    yield from out.add(
+                        np.full(len(at), th), at.astype(np.int32), window_hashes(h, min_words, at).view(np.int64),
+                        spans[at, 0], spans[at + min_words - 1, 1],
                     )
-            if out:
-                yield pd.concat(out)
+            yield from out.rest()
 
     return texts.mapInPandas(of, "_th long, i int, wh long, start int, end int")
 
@@ -154,6 +167,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ``start`` and ``end`` are code points, the end exclusive; first_doc_id is the least id
     that holds any window of the passage, so a passage may go where it is not the document's own.
     """
+    ship_package(docs.sparkSession)
     rows = row_key(docs).select("doc_id", "_th", "text")
     kept = staged(suffixes(rows, min_words), "suffixes")
     ranged = kept.select("key", "_th").repartitionByRange("key", "_th").sortWithinPartitions("key", "_th")
