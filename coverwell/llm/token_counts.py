@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverwell.llm.common import WORD, words
+from coverwell.llm.common import WORD, ship_package, words
 
 PIECES = re.compile(WORD)
 #: Pieces a worker's cache holds before it is emptied.
@@ -81,6 +81,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, freque
     The vocabulary file at ``tokenizer_path`` is read once by the driver and sent to the
     workers with the frequent lengths (a few MB, whatever the corpus).
     """
+    ship_package(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = f.read()
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer, frequent_lengths(docs, tokenizer, frequent)))
