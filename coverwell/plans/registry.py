@@ -1,4 +1,504 @@
-"""Named queries and the SQL that each is compared with."""
+"""Named queries over the driver's tables, and the SQL that each is compared with.
+
+The story, coverage and ledger views are bindings of the driver's tables to the records that
+the operators expect; both sides use the same expressions.
+"""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from coverwell.functions import text as T
+from coverwell.operators import dedupe, filters, health, narratives, reports, surge, trends
+from coverwell.sources import tables as S
+from coverwell.sources.staging import staged
+from coverwell.sources.tables import BRANDS, HOME, NOW, table
+from coverwell.streaming import stream
 
 QUERIES = {}
 ORACLES = {}
+FIRST, LAST = date(2024, 1, 1), date(2024, 1, 31)
+RANGE = (date(2024, 1, 17), date(2024, 1, 31))
+BRANDS_SQL = "(VALUES ('home'), ('rival_a'), ('rival_b'), ('rival_c'), ('other')) AS b(brand)"
+AXIS_SQL = "axis AS (SELECT idx, DATE '2024-01-01' + CAST(idx AS INTEGER) AS day FROM range(31) AS r(idx))"
+ALL_BRANDS = (*BRANDS, "other")
+
+
+def query(sql: str | None = None, views: bool = True):
+    """Registers a query under its name with its SQL; ``views`` puts the story views before it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = f"WITH {S.SQL}{sql}" if views else sql
+        return f
+
+    return add
+
+
+def days(frame: DataFrame) -> DataFrame:
+    return trends.axis(frame, FIRST, LAST)
+
+
+@query("""
+SELECT count(*) AS items, count(*) FILTER (sentiment = 'negative') AS negatives, count(*) FILTER (sentiment = 'positive') AS positives,
+  count(*) FILTER (sentiment NOT IN ('negative', 'positive')) AS neutrals, count(*) FILTER (brand = 'home') AS home_mentions,
+  count(*) FILTER (brand = 'home' AND sentiment = 'negative') AS home_negatives FROM stories""")
+def totals(spark, sf_dir):
+    return trends.totals(S.stories(spark, sf_dir), HOME)
+
+
+@query(f""", {AXIS_SQL}
+SELECT b.brand, a.idx, a.day, count(s.id) AS mentions, count(*) FILTER (s.sentiment = 'negative') AS negatives
+FROM {BRANDS_SQL} CROSS JOIN axis a LEFT JOIN stories s ON s.brand = b.brand AND s.day = a.day GROUP BY ALL""")
+def sov_daily(spark, sf_dir):
+    rows = S.stories(spark, sf_dir)
+    return trends.share_of_voice(rows, days(rows), ALL_BRANDS)
+
+
+@query("""
+SELECT brand, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'neutral') AS neutral,
+  count(*) FILTER (sentiment = 'positive') AS positive, count(*) AS total FROM stories GROUP BY brand""")
+def sentiment_matrix(spark, sf_dir):
+    return trends.sentiment_matrix(S.stories(spark, sf_dir))
+
+
+@query("""
+SELECT category, count(*) AS total, count(*) FILTER (sentiment = 'negative') AS negative,
+  count(*) FILTER (sentiment = 'negative' AND brand = 'home') AS home_negative FROM stories GROUP BY category""")
+def category_board(spark, sf_dir):
+    return trends.category_board(S.stories(spark, sf_dir), HOME)
+
+
+_CARRIED = """
+, carried AS (
+  SELECT s.id, s.sentiment, s.brand, coalesce(i.pos, 0) AS pos, CASE WHEN i.item_id IS NULL THEN s.source ELSE i.outlet END AS outlet,
+    CASE WHEN i.item_id IS NULL THEN s.author ELSE i.author END AS byline
+  FROM stories s LEFT JOIN instances i ON i.item_id = s.id)
+"""
+
+
+def _board_sql(key: str, shown: str, where: str) -> str:
+    return f"""
+, once AS (SELECT * FROM (
+    SELECT *, lower(trim({key})) AS key, row_number() OVER (PARTITION BY lower(trim({key})), id ORDER BY pos, {key}, outlet) AS n
+    FROM carried WHERE {where}) WHERE n = 1)
+, board AS (
+  SELECT key, arg_min({key}, id) AS {shown}, count(*) AS mentions, count(*) FILTER (sentiment = 'negative') AS negative,
+    count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral,
+    count(*) FILTER (sentiment = 'negative' AND brand = 'home') AS home_negative
+  FROM once GROUP BY key ORDER BY home_negative DESC, negative DESC, mentions DESC, key LIMIT 300)
+"""
+
+
+@query(_CARRIED + _board_sql("outlet", "outlet", "outlet <> ''") + "SELECT * FROM board")
+def outlet_leaderboard(spark, sf_dir):
+    return trends.outlet_leaderboard(trends.carried(S.stories(spark, sf_dir), S.coverage(spark, sf_dir)), HOME)
+
+
+@query(_CARRIED + _board_sql("byline", "author", "byline IS NOT NULL") + """
+, seen AS (SELECT lower(trim(byline)) AS key, outlet, min(id * 10 + pos) AS first_at FROM carried WHERE byline IS NOT NULL GROUP BY ALL)
+, top3 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY first_at, outlet) AS n FROM seen)
+SELECT board.*, o.outlets FROM board JOIN (
+  SELECT key, string_agg(outlet, '|' ORDER BY n) AS outlets FROM top3 WHERE n <= 3 GROUP BY key) o USING (key)""")
+def author_leaderboard(spark, sf_dir):
+    return trends.author_leaderboard(trends.carried(S.stories(spark, sf_dir), S.coverage(spark, sf_dir)), HOME)
+
+
+@query(_CARRIED + """
+SELECT count(DISTINCT lower(trim(outlet))) AS outlets, count(DISTINCT lower(trim(byline))) AS authors,
+  count(DISTINCT id) FILTER (byline IS NOT NULL) AS signed_stories FROM carried""")
+def byline_coverage(spark, sf_dir):
+    return trends.byline_coverage(trends.carried(S.stories(spark, sf_dir), S.coverage(spark, sf_dir)))
+
+
+@query(f""", {AXIS_SQL}
+, daily AS (SELECT b.brand, a.idx, count(*) FILTER (s.sentiment = 'negative') AS negatives
+  FROM {BRANDS_SQL} CROSS JOIN axis a LEFT JOIN stories s ON s.brand = b.brand AND s.day = a.day GROUP BY ALL)
+, halves AS (SELECT brand, CAST(sum(CASE WHEN idx < 15 THEN negatives ELSE 0 END) AS BIGINT) AS before,
+  CAST(sum(CASE WHEN idx >= 16 THEN negatives ELSE 0 END) AS BIGINT) AS after FROM daily GROUP BY brand)
+SELECT *, CASE WHEN before > 0 THEN CAST(floor(100.0 * (after - before) / before + 0.5) AS BIGINT) END AS change_pct FROM halves""")
+def half_movement(spark, sf_dir):
+    rows = S.stories(spark, sf_dir)
+    return trends.half_movement(trends.share_of_voice(rows, days(rows), ALL_BRANDS), 31)
+
+
+_PERIODS = """
+, p AS (SELECT *, day >= DATE '2024-01-17' AS now FROM stories WHERE day BETWEEN DATE '2024-01-02' AND DATE '2024-01-31')
+"""
+
+
+@query(_PERIODS + """
+, g AS (SELECT brand, count(*) FILTER (now) AS now, count(*) FILTER (NOT now) AS before,
+  count(*) FILTER (now AND sentiment = 'negative') AS negative_now, count(*) FILTER (NOT now AND sentiment = 'negative') AS negative_before FROM p GROUP BY brand)
+SELECT *, CAST(floor(100.0 * now / greatest(sum(now) OVER (), 1) + 0.5) AS BIGINT) AS share_now,
+  CAST(floor(100.0 * before / greatest(sum(before) OVER (), 1) + 0.5) AS BIGINT) AS share_before FROM g""")
+def period_compare(spark, sf_dir):
+    return reports.period_compare(reports.periods(S.stories(spark, sf_dir), *RANGE))
+
+
+@query(_PERIODS + """
+SELECT category, count(*) FILTER (now) AS now, count(*) FILTER (NOT now) AS before,
+  count(*) FILTER (now) - count(*) FILTER (NOT now) AS change FROM p GROUP BY category""")
+def category_movement(spark, sf_dir):
+    return reports.category_movement(reports.periods(S.stories(spark, sf_dir), *RANGE))
+
+
+@query(_PERIODS + """
+(SELECT id, sentiment, importance, category, source FROM p WHERE now AND brand = 'home' AND sentiment = 'negative' ORDER BY importance DESC, id LIMIT 6)
+UNION ALL
+(SELECT id, sentiment, importance, category, source FROM p WHERE now AND brand = 'home' AND sentiment = 'positive' ORDER BY importance DESC, id LIMIT 4)""")
+def spotlights(spark, sf_dir):
+    return reports.spotlights(reports.periods(S.stories(spark, sf_dir), *RANGE), HOME)
+
+
+@query(_PERIODS + 'SELECT brand, id, "at", source, sentiment, importance FROM p WHERE now ORDER BY "at" DESC, id LIMIT 400')
+def coverage_log(spark, sf_dir):
+    return reports.coverage_log(reports.periods(S.stories(spark, sf_dir), *RANGE))
+
+
+_WEIGHTED = """
+, weighted AS (SELECT s.*, greatest(coalesce(n, 1), 1) AS weight FROM stories s
+  LEFT JOIN (SELECT item_id, count(*) AS n FROM instances GROUP BY item_id) i ON i.item_id = s.id WHERE sentiment = 'negative')
+"""
+_JUDGED = """floor(mean * 10 + 0.5) / 10 AS mean1, floor(stddev * 10 + 0.5) / 10 AS stddev1, floor((mean + 2 * stddev) * 10 + 0.5) / 10 AS threshold1,
+  floor(v / greatest(mean, 1.0) * 10 + 0.5) / 10 AS multiple, v >= 4 AND v > mean AND v >= mean + 2 * stddev AS fires"""
+
+
+@query(f"""{_WEIGHTED}, {AXIS_SQL}
+, daily AS (SELECT b.brand, a.idx, a.day, CAST(coalesce(sum(w.weight), 0) AS BIGINT) AS v
+  FROM {BRANDS_SQL} CROSS JOIN axis a LEFT JOIN weighted w ON w.brand = b.brand AND w.day = a.day GROUP BY ALL)
+, t AS (SELECT *, avg(v) OVER past AS mean, stddev_pop(v) OVER past AS stddev FROM daily
+  WINDOW past AS (PARTITION BY brand ORDER BY idx ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING))
+SELECT brand, day, v, {_JUDGED} FROM t WHERE idx >= 21""")
+def surge_calendar(spark, sf_dir):
+    rows = surge.weighted(S.stories(spark, sf_dir), S.coverage(spark, sf_dir))
+    return surge.trailing(surge.calendar_series(rows, days(rows), ALL_BRANDS))
+
+
+@query(f"""{_WEIGHTED}
+, aged AS (SELECT brand, weight, CAST(floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us("at")) / 86400000000) AS BIGINT) AS bucket FROM weighted)
+, by_bucket AS (SELECT brand, bucket, sum(weight) AS w FROM aged WHERE bucket BETWEEN 0 AND 21 GROUP BY ALL)
+, s AS (SELECT brand, CAST(coalesce(sum(w) FILTER (bucket = 0), 0) AS BIGINT) AS v, coalesce(sum(w) FILTER (bucket > 0), 0) AS s,
+  coalesce(sum(w * w) FILTER (bucket > 0), 0) AS s2 FROM by_bucket GROUP BY brand)
+, t AS (SELECT *, s / 21.0 AS mean, sqrt(greatest(s2 / 21.0 - (s / 21.0) * (s / 21.0), 0)) AS stddev FROM s)
+SELECT brand, v, {_JUDGED} FROM t""")
+def surge_rolling(spark, sf_dir):
+    return surge.rolling(surge.weighted(S.stories(spark, sf_dir), S.coverage(spark, sf_dir)), NOW, ALL_BRANDS)
+
+
+@query(f"""{_WEIGHTED}
+SELECT brand, rank, id, weight FROM (
+  SELECT *, row_number() OVER (PARTITION BY brand ORDER BY weight DESC, id) AS rank FROM weighted WHERE day = DATE '2024-01-30') WHERE rank <= 3""")
+def surge_top_stories(spark, sf_dir):
+    rows = surge.weighted(S.stories(spark, sf_dir), S.coverage(spark, sf_dir))
+    return surge.top_stories(rows, date(2024, 1, 30)).withColumn("rank", F.col("rank").cast("long"))
+
+
+_NORMAL = "trim(regexp_replace(lower(text), '[^a-z0-9\\x{0600}-\\x{06ff} ]', '', 'g'))"
+ORACLES["content_hash"] = f"SELECT doc_id, sha256({_NORMAL}) AS hash FROM documents"
+
+
+@query()
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id, sha256({_NORMAL}) AS hash FROM documents GROUP BY 2", views=False)
+def exact_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
+    return dedupe.first_wins(docs, F.col("hash"), [F.col("doc_id")])
+
+
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+_GATE_SQL = "[" + ", ".join(f"'{w}'" for w in T.GATE_STOPWORDS) + "]"
+_PHRASE_SQL = "[" + ", ".join(f"'{w}'" for w in T.PHRASE_STOPWORDS) + "]"
+_TOKENS = rf"""list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-zA-Z0-9_ \t\n\x0B\f\r\x{{0600}}-\x{{06ff}}]', ' ', 'g'),
+  '[ \t\n\x0B\f\r]+'), lambda t: length(t) >= 4 AND NOT list_contains({_STOP_SQL}, t)))"""
+_GATE_WORDS = r"string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\x{0600}-\x{06ff} ]', ' ', 'g'), ' +')"
+
+
+def _doc_tokens(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    at = F.lit(NOW).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))
+    return docs.select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("toks"), at.alias("at"), F.col("lang").alias("block"))
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS toks, TIMESTAMP '2024-01-31' + to_hours(CAST(doc_id AS INTEGER)) AS "at" FROM documents),
+p AS (SELECT a.doc_id AS keep, b.doc_id AS drop, len(list_intersect(a.toks, b.toks)) AS n, len(a.toks) AS la, len(b.toks) AS lb
+  FROM d a JOIN d b ON a.doc_id < b.doc_id AND b."at" - a."at" <= INTERVAL 5 DAY AND len(a.toks) > 0 AND len(b.toks) > 0)
+SELECT keep, drop, floor(n / (la + lb - n) * 100 + 0.5) / 100 AS score, CASE WHEN n / (la + lb - n) >= 0.55 THEN 'lexical' ELSE 'semantic' END AS band
+FROM p WHERE n / (la + lb - n) >= 0.5""", views=False)
+def jaccard_pairs(spark, sf_dir):
+    return dedupe.duplicate_pairs(_doc_tokens(spark, sf_dir), least=0.5, most=None)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id AS id, {_TOKENS} AS toks FROM documents), b AS (SELECT item_id, {_TOKENS} AS toks FROM benchmark),
+p AS (SELECT id, item_id, len(list_intersect(d.toks, b.toks)) AS n, len(d.toks) AS la, len(b.toks) AS lb FROM d, b WHERE len(d.toks) > 0 AND len(b.toks) > 0)
+SELECT d.id, min(item_id) FILTER (n / (la + lb - n) >= 0.1) AS match FROM d LEFT JOIN p USING (id) GROUP BY d.id""", views=False)
+def crossrun_match(spark, sf_dir):
+    new = _doc_tokens(spark, sf_dir).select("id", "toks", F.lit("all").alias("block"))
+    pool = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("toks"), F.lit("all").alias("block"), F.col("item_id").alias("pos")
+    )
+    return dedupe.crossrun_match(new, pool, least=0.1)
+
+
+@query(rf"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, {_GATE_WORDS} AS ws FROM documents UNION ALL SELECT 'b', item_id, {_GATE_WORDS} FROM benchmark),
+t AS (SELECT side, id, list_distinct(list_filter(ws, lambda x: length(x) > 2 AND NOT list_contains({_GATE_SQL}, x))) AS toks,
+  list_filter(ws, lambda x: length(x) > 2 AND NOT list_contains({_PHRASE_SQL}, x)) AS pw FROM w),
+r AS (SELECT side, id, toks, list_filter(toks, lambda x: length(x) >= 5) AS strong,
+  list_distinct([pw[i] || ' ' || pw[i + 1] FOR i IN range(1, len(pw))]) AS pairs FROM t),
+p AS (SELECT a.id, b.id AS match, len(list_intersect(a.toks, b.toks)) AS n, len(a.toks) AS la, len(b.toks) AS lb,
+  len(list_intersect(a.strong, b.strong)) AS shared, len(list_intersect(a.pairs, b.pairs)) AS phrases FROM r a, r b WHERE a.side = 'b' AND b.side = 'd'),
+q AS (SELECT *, CASE WHEN la = 0 OR lb = 0 THEN 0 ELSE n / (la + lb - n) END AS j FROM p),
+s AS (SELECT *, greatest(j, shared / 3.0, phrases / 3.0) AS score FROM q WHERE j < 0.5 AND n > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match) AS k FROM s WHERE score > 0)
+SELECT id, match, round(score, 6) AS score FROM best WHERE k = 1 AND (j >= 0.12 OR shared >= 2 OR phrases >= 2)""", views=False)
+def semantic_candidates(spark, sf_dir):
+    def prepared(name: str, key: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")
+        toks = T.gate_tokens(F.col("text"))
+        return rows.select("id", toks.alias("toks"), T.phrases(F.col("text")).alias("pairs")).withColumn("strong", T.strong_tokens(F.col("toks")))
+
+    return dedupe.gated_candidates(prepared("benchmark", "item_id"), prepared("documents", "doc_id"), most=None)
+
+
+@query()
+def headline_clusters(spark, sf_dir):
+    return dedupe.leader_clusters(_doc_tokens(spark, sf_dir), 0.55, True, staged)
+
+
+@query()
+def summary_clusters(spark, sf_dir):
+    return dedupe.leader_clusters(_doc_tokens(spark, sf_dir), 0.5, False, staged)
+
+
+@query("""
+SELECT i.* FROM instances i WHERE item_id % 30 <> 6
+UNION ALL
+SELECT DISTINCT item_id - 3, pos, outlet, author FROM instances m WHERE item_id % 30 = 6
+  AND NOT EXISTS (SELECT 1 FROM instances k WHERE k.item_id = m.item_id - 3 AND k.outlet = m.outlet)""")
+def merge_instances(spark, sf_dir):
+    cov = S.coverage(spark, sf_dir)
+    drops = cov.where("item_id % 30 = 6").select(F.col("item_id").alias("pair"), F.col("item_id").alias("drop_id")).distinct()
+    keeps = drops.select("pair", (F.col("pair") - 3).alias("keep_id"))
+    return dedupe.merge_instances(keeps, drops, cov)
+
+
+WORDS = ("purchase", "error")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 2 = 1 OR regexp_matches(event_type, '(?i)purchase|error')", views=False)
+def prefilter(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.where(filters.worth_reading(F.col("event_id") % 2 == 0, F.col("event_type"), WORDS)).select("event_id")
+
+
+@query("SELECT id FROM stories WHERE published_at IS NULL OR published_at > TIMESTAMP '2024-01-29'")
+def freshness(spark, sf_dir):
+    return filters.fresh(S.stories(spark, sf_dir), NOW).select("id")
+
+
+@query("""SELECT id, CASE WHEN importance >= 5 THEN 'URGENT' ELSE 'ALERT' END AS tier FROM stories
+WHERE importance >= 4 OR (brand <> 'other' AND sentiment = 'negative')""")
+def instant_alerts(spark, sf_dir):
+    return S.stories(spark, sf_dir).where(filters.instant_alert(BRANDS)).select("id", filters.alert_tier().alias("tier"))
+
+
+@query("SELECT id, importance FROM stories WHERE seen_at >= TIMESTAMP '2024-01-30' AND importance >= 2")
+def digest(spark, sf_dir):
+    return filters.digest(S.stories(spark, sf_dir), NOW).select("id", "importance")
+
+
+@query("""
+SELECT c_custkey AS subscriber, s.id FROM customer, stories s WHERE c_custkey % 50 = 0 AND s.seen_at >= TIMESTAMP '2024-01-30' AND s.importance >= 2
+  AND (c_custkey % 100 = 0 OR s.category = 'cat' || CAST(c_nationkey % 6 AS VARCHAR))""")
+def subscriber_filter(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0")  # the customers that subscribed
+    topics = F.when(F.col("c_custkey") % 100 != 0, F.array(F.concat(F.lit("cat"), (F.col("c_nationkey") % 6).cast("string"))))
+    subs = c.select(F.col("c_custkey").alias("subscriber"), topics.alias("topics"))
+    return filters.subscriber_items(subs, filters.digest(S.stories(spark, sf_dir), NOW))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN regexp_matches(trim(url), '^(?i)https?://[^/?#@]+([/?#]|$)') AND length(trim(url)) <= 2048 AND NOT regexp_matches(trim(url), '[\x00-\x1f\x7f-\x9f]') THEN trim(url) END AS safe,
+  regexp_matches(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '(?i)(^|/)(tag|tags|keyword|keywords|category|categories|topic|topics|search|share)(/|$)')
+    OR regexp_matches(url, '[?&](s|q|search)(=|&|#|$)') OR regexp_matches(url, '[?&][^&#]*=(\+|%2B|%2b)?[0-9]{11,15}(&|#|$)') AS non_article
+FROM pages""", views=False)
+def url_rules(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", filters.safe_url(F.col("url")).alias("safe"), filters.non_article(F.col("url")).alias("non_article"))
+
+
+@query(r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'),
+  '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""", views=False)
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query()
+def byline_candidates(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", filters.byline_candidates(F.col("html")).alias("names"))
+    return found.select("page_id", F.array_join("names", "|").alias("names"))
+
+
+@query(r"""
+SELECT c_custkey, CASE WHEN c_name = '' THEN 'empty' WHEN contains(c_name, '@') THEN 'email' WHEN length(c_name) > 80 THEN 'too-long'
+  WHEN NOT regexp_matches(c_name, '^\p{L}[\p{L} .’''-]*$') OR len(string_split_regex(c_name, '\s+')) NOT BETWEEN 2 AND 4 THEN 'not-name-shaped' ELSE 'ok' END AS reason
+FROM (SELECT c_custkey, trim(c_name) AS c_name FROM customer)""", views=False)
+def byline_verdicts(spark, sf_dir):
+    verdict = filters.byline_verdict(F.col("c_name"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", verdict["reason"].alias("reason"))
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("job"), F.col("ts").cast("timestamp_ntz").alias("started_at"), (F.col("event_id") % 9 != 0).alias("ok"))
+
+
+_RUNS = "WITH runs AS (SELECT event_id AS id, event_type AS job, CAST(ts AS TIMESTAMP) AS started_at, event_id % 9 <> 0 AS ok FROM events)"
+
+
+@query(_RUNS + "SELECT job, id, started_at, ok FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY started_at DESC, id DESC) AS n FROM runs) WHERE n = 1", views=False)
+def latest_run(spark, sf_dir):
+    return health.latest_run(_runs(spark, sf_dir))
+
+
+LIMITS = {"view": 2.0, "click": 26.0, "purchase": 26.0, "signup": 192.0, "never": 192.0}
+
+
+@query(_RUNS + """
+SELECT l.job, l.lim AS "limit", CAST(floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(started_at))) / 3600000000) AS BIGINT) AS age_hours,
+  CASE WHEN max(started_at) IS NULL THEN 'unknown' WHEN (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(started_at))) / 3600000000 > l.lim THEN 'warn' ELSE 'ok' END AS state
+FROM (VALUES ('view', 2.0::DOUBLE), ('click', 26.0), ('purchase', 26.0), ('signup', 192.0), ('never', 192.0)) AS l(job, lim) LEFT JOIN runs USING (job) GROUP BY l.job, l.lim""", views=False)
+def run_overdue(spark, sf_dir):
+    return health.overdue(_runs(spark, sf_dir), LIMITS, NOW)
+
+
+@query(_RUNS + """, o AS (SELECT job, max(started_at) FILTER (ok) AS last_ok FROM runs GROUP BY job)
+SELECT o.job, count(*) FILTER (NOT ok AND (last_ok IS NULL OR started_at > last_ok)) AS streak, last_ok FROM o JOIN runs USING (job) GROUP BY o.job, last_ok""", views=False)
+def failure_streak(spark, sf_dir):
+    return health.failure_streaks(_runs(spark, sf_dir))
+
+
+@query(_RUNS + """, i AS (SELECT *, sum(CAST(ok AS BIGINT)) OVER (PARTITION BY job ORDER BY started_at, id ROWS UNBOUNDED PRECEDING) AS island FROM runs),
+c AS (SELECT job, island, count(*) AS n FROM i WHERE NOT ok GROUP BY ALL) SELECT job, max(n) AS longest FROM c GROUP BY job""", views=False)
+def longest_streak(spark, sf_dir):
+    return health.longest_streak(_runs(spark, sf_dir))
+
+
+@query("""
+WITH a AS (SELECT event_id, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(CAST(ts AS TIMESTAMP))) / 3600000000 AS age FROM events),
+n AS (SELECT count(DISTINCT event_id) FILTER (age >= 0 AND age < 24) AS day, count(DISTINCT event_id) FILTER (age >= 0 AND age < 720) AS month FROM a)
+SELECT *, CASE WHEN greatest(day / 400.0, month / 12000.0) >= 0.95 THEN 'crit' WHEN greatest(day / 400.0, month / 12000.0) >= 0.8 THEN 'warn' ELSE 'ok' END AS state FROM n""", views=False)
+def quota(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
+    return health.quota(log, NOW, 400, 12_000)
+
+
+def _usage(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    n = F.length("text").cast("long")
+    return c.select(
+        F.col("role").alias("stage"), n.alias("tokens_in"), F.floor(n / 4).alias("tokens_out"),
+        F.when(F.col("turn") % 3 == 0, n).otherwise(0).alias("cache_write"), F.when(F.col("turn") % 3 == 1, n * 2).otherwise(0).alias("cache_read"),
+    )
+
+
+_USAGE = """WITH u AS (SELECT role AS stage, CAST(length(text) AS BIGINT) AS tokens_in, CAST(floor(length(text) / 4) AS BIGINT) AS tokens_out,
+  CASE WHEN turn % 3 = 0 THEN length(text) ELSE 0 END AS cache_write, CASE WHEN turn % 3 = 1 THEN length(text) * 2 ELSE 0 END AS cache_read FROM conversations)"""
+PRICES = {"assistant": (1.0, 5.0), "system": (3.0, 15.0)}
+
+
+@query(_USAGE + """
+SELECT stage, count(*) AS calls, round(sum(((tokens_in + 1.25 * cache_write + 0.1 * cache_read) * CASE WHEN stage = 'assistant' THEN 1.0::DOUBLE ELSE 3.0 END
+  + tokens_out * CASE WHEN stage = 'assistant' THEN 5.0::DOUBLE ELSE 15.0 END) / 1e6), 6) AS cost FROM u GROUP BY stage""", views=False)
+def usage_cost(spark, sf_dir):
+    return health.usage_cost(_usage(spark, sf_dir), PRICES, "system")
+
+
+@query(_USAGE + """
+SELECT stage, count(*) FILTER (cache_read + cache_write > 0) AS calls, CAST(sum(cache_read) AS BIGINT) AS reads, CAST(sum(cache_write) AS BIGINT) AS writes,
+  CASE WHEN count(*) FILTER (cache_read + cache_write > 0) >= 5 THEN round(sum(cache_read) / (sum(cache_read) + sum(cache_write)), 6) END AS ratio FROM u GROUP BY stage""", views=False)
+def cache_ratio(spark, sf_dir):
+    return health.cache_ratio(_usage(spark, sf_dir))
+
+
+@query("""
+, a AS (SELECT CAST(floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(seen_at)) / 3600000000 / 24) AS BIGINT) AS age, importance >= 3 AS relevant FROM stories)
+, n AS (SELECT count(*) FILTER (age BETWEEN 0 AND 6) AS stored, count(*) FILTER (age BETWEEN 0 AND 6 AND relevant) AS kept,
+  count(*) FILTER (age BETWEEN 7 AND 27) AS stored_before, count(*) FILTER (age BETWEEN 7 AND 27 AND relevant) AS kept_before FROM a)
+SELECT *, round(kept / stored, 6) AS rate, round(kept_before / stored_before, 6) AS rate_before,
+  CASE WHEN stored < 100 OR stored_before < 100 OR kept_before = 0 THEN 'unknown' WHEN (kept / stored) / (kept_before / stored_before) - 1 <= -0.7 THEN 'crit'
+    WHEN abs((kept / stored) / (kept_before / stored_before) - 1) >= 0.5 THEN 'warn' ELSE 'ok' END AS state FROM n""")
+def relevance_baseline(spark, sf_dir):
+    return health.relevance_baseline(S.stories(spark, sf_dir).withColumn("relevant", F.col("importance") >= 3), NOW)
+
+
+@query("""
+, n AS (SELECT count(*) AS total, count(*) FILTER (author IS NULL) AS missing,
+  count(*) FILTER (author IS NULL AND (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(seen_at)) / 3600000000 > 36) AS stale FROM stories)
+SELECT *, CASE WHEN total < 20 THEN 'unknown' WHEN missing / total >= 0.75 THEN 'warn' ELSE 'ok' END AS state FROM n""")
+def author_backlog(spark, sf_dir):
+    return health.author_backlog(S.stories(spark, sf_dir), NOW)
+
+
+@query()
+def health_rollup(spark, sf_dir):
+    states = [f(spark, sf_dir).select("state") for f in (run_overdue, quota, relevance_baseline, author_backlog)]
+    rows = states[0]
+    for more in states[1:]:
+        rows = rows.unionByName(more)
+    return health.rollup(rows)
+
+
+@query(r"""
+WITH d AS (SELECT item_id AS id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9\x{0600}-\x{06ff}]+', ' ', 'g')), ' ') AS ws FROM benchmark),
+g AS (SELECT DISTINCT id, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM (
+  SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (VALUES (2), (3), (4), (5)) AS v(n) WHERE len(ws) >= n))
+SELECT phrase, count(*) AS n_docs FROM g GROUP BY phrase ORDER BY n_docs DESC, length(phrase) DESC, phrase LIMIT 20""", views=False)
+def ngram_phrase(spark, sf_dir):
+    return narratives.best_phrases(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+
+
+def _thread_stories(spark, sf_dir) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    brand = F.get(F.array(*map(F.lit, ALL_BRANDS)), (F.col("item_id") % 5).cast("int"))
+    return b.select(
+        F.col("item_id").alias("id"), brand.alias("brand"), F.concat(F.lit("cat"), (F.col("item_id") % 3).cast("string")).alias("category"), "text",
+        F.when(F.col("item_id") % 4 == 0, "negative").otherwise("neutral").alias("sentiment"), (F.col("item_id") % 30).alias("idx"),
+    )
+
+
+@query()
+def narrative_threads(spark, sf_dir):
+    rows = _thread_stories(spark, sf_dir)
+    return narratives.threads(rows, narratives.thread_links(rows), staged)
+
+
+@query()
+def narrative_board(spark, sf_dir):
+    rows = _thread_stories(spark, sf_dir)
+    found = narratives.threads(rows, narratives.thread_links(rows), staged)
+    return narratives.thread_board(rows, found, 30)
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL", views=False)
+def stream_daily(spark, sf_dir):
+    return stream.daily_counts(stream.events(spark, sf_dir), stream.shared_dir(spark))
+
+
+@query("""
+SELECT user_id, arg_min(event_id, event_id) AS event_id, arg_min(event_type, event_id) AS event_type, count(*) AS n FROM events GROUP BY user_id""", views=False)
+def stream_dedupe(spark, sf_dir):
+    rows = stream.events(spark, sf_dir).select("user_id", "event_id", "event_type")
+    return stream.merge_by_key(rows, "user_id", "event_id", stream.shared_dir(spark)).select("user_id", "event_id", "event_type", "n")
+
+
