@@ -66,16 +66,21 @@ class Lengths(dict):
 _lengths: dict[str, Lengths] = {}
 
 
-def frequent_lengths(docs: DataFrame, tokenizer: str, frequent: int) -> dict[str, int]:
-    """Token lengths of about the ``frequent`` most common pieces: one row comes back, whatever the corpus."""
+def frequent_lengths(docs: DataFrame, tokenizer: str, frequent: int, buckets: int = 64) -> dict[str, int]:
+    """Token lengths of about the ``frequent`` most common pieces: a row a bucket comes back, whatever the corpus.
+
+    Pieces are sketched by hash bucket, so no task merges the sketches of all.
+    """
+    each = max(1, frequent // buckets)
     pieces = docs.select(F.explode(words(F.col("text"))).alias("piece")).where(F.length("piece") <= 64)
-    top = pieces.agg(F.expr(f"approx_top_k(piece, {frequent}, {4 * frequent})").alias("top")).first()[0]
+    by_bucket = pieces.groupBy(F.pmod(F.hash("piece"), F.lit(buckets)).alias("bucket"))
+    top = by_bucket.agg(F.expr(f"approx_top_k(piece, {each}, {4 * each})").alias("top")).collect()
     known = Lengths(tokenizer, {})
-    known.add({r["item"] for r in top or [] if r["item"] and r["count"] > 1})
+    known.add({r["item"] for row in top for r in row["top"] or [] if r["item"] and r["count"] > 1})
     return dict(known)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, frequent: int = 20_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, frequent: int = 8192) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
     The vocabulary file at ``tokenizer_path`` is read once by the driver and sent to the
