@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coverwell.llm.common import WHITE, ascii_lower, row_key, staged
+from coverwell.llm.common import WHITE, ascii_lower, join_small, row_key, small, staged
 
 SALTS = 1024
 
@@ -54,8 +54,9 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     first one in the order of document and position stays.
     """
     keys = staged(line_keys(docs, min_key), "lines")
-    common = key_counts(keys).where(F.col("n_docs") >= min_docs)
-    gone = keys.join(common, ["h1", "h2"])
+    # from a table, so that Spark may split the rows of a line found everywhere
+    common = staged(key_counts(keys).where(F.col("n_docs") >= min_docs), "common")
+    gone = join_small(keys, common, ["h1", "h2"], "inner", small(common))
     if keep_first:
         gone = gone.where(~F.struct("doc_id", "_th", "pos").eqNullSafe(F.col("first")))
     bit = F.expr("shiftleft(1L, pos & 63)")
