@@ -77,6 +77,12 @@ def n_words(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
+def unclashed(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without the columns that an operator makes itself, in any case of letters."""
+    taken = {n.lower() for n in names}
+    return docs.select(*[c for c in docs.columns if c.lower() not in taken])
+
+
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds ``_th``, a hash of the text. ``(id, _th)`` tells rows apart even where ids repeat or are null."""
     return docs.withColumn("_th", F.xxhash64(F.col(text_col)))
@@ -88,10 +94,9 @@ def same_row(a: DataFrame, b: DataFrame, id_col: str = "doc_id") -> Column:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not in ``gone`` (doc_id, _th)."""
-    rows = row_key(docs)
-    keys = gone.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_gh")).distinct().hint("shuffle_hash")
-    same = rows["doc_id"].eqNullSafe(keys["_id"]) & rows["_th"].eqNullSafe(keys["_gh"])
-    return rows.join(keys, same, "left_anti").select(*docs.columns)
+    keys = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_th").alias("_gone_th")).distinct().hint("shuffle_hash")
+    same = docs["doc_id"].eqNullSafe(keys["_gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["_gone_th"])
+    return docs.join(keys, same, "left_anti")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

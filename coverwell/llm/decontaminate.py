@@ -12,7 +12,8 @@ that length (at most nine such lengths exist).
 Edge cases. Null or empty texts have no words; items without words have no windows and match
 nothing. Rows that repeat in id and text get the same result, each in its own row; items that
 repeat are counted once by id. Null document ids are allowed, null item ids are left out of
-the lists. An empty benchmark or document table gives uncontaminated or no rows.
+the lists. An empty benchmark or document table gives uncontaminated or no rows. Extra
+columns stay; those named as a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverwell.llm.common import ascii_lower, let, row_key, same_row, small, staged
+from coverwell.llm.common import ascii_lower, let, row_key, same_row, small, staged, unclashed
 
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
@@ -124,6 +125,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 2
     A word is hit if it lies in any occurrence of a benchmark window; item_ids are the items
     with occurring windows, sorted as strings.
     """
+    docs = unclashed(docs, "n_words", "n_hit", "n_items", "item_ids", "contaminated", "_th", "_id", "_rh")
     windows = staged(benchmark_windows(benchmark), "windows")
     short_lengths = sorted(r[0] for r in windows.where(F.col("len") < WINDOW).select("len").distinct().collect())  # at most nine
     known_small = small(windows, broadcast_rows)

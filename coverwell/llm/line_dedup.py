@@ -9,7 +9,8 @@ longs in which a line goes. ``apply_bitmaps`` turns them into kept texts.
 Edge cases. A null or empty text is one empty line, which has no key and stays. Lines that
 are blank after stripping have an empty key and stay unless ``min_key`` is 0. Rows with the
 same id and the same text are one document; the same id with other text is another one.
-Null ids are allowed. Empty tables give empty results. Extra columns are passed over.
+Null ids are allowed. Empty tables give empty results. Extra columns stay; those named as a
+result are replaced by it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coverwell.llm.common import WHITE, ascii_lower, join_small, row_key, small, staged
+from coverwell.llm.common import WHITE, ascii_lower, join_small, row_key, small, staged, unclashed
 
 SALTS = 1024
 
@@ -72,6 +73,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The rows of ``docs`` with n_lines, n_dropped and kept, the text that stays."""
+    docs = unclashed(docs, "n_lines", "n_dropped", "kept", "drops", "_dense", "_th", "_id", "_bh")
     rows = row_key(docs)
     maps = bitmaps.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_bh"), "drops").hint("shuffle_hash")
     joined = rows.join(maps, rows["doc_id"].eqNullSafe(maps["_id"]) & (rows["_th"] == maps["_bh"]), "left")

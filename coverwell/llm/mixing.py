@@ -8,7 +8,8 @@ document that a smaller one took.
 
 Edge cases. Null texts have size 0. A null source is a source of its own, after all others.
 Sources without words have target 0. Null ids are allowed; rows that agree in id and text
-share a hash and are taken together. Empty tables give empty results.
+share a hash and are taken together. Empty tables give empty results. Extra
+columns stay with texts; those named as a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coverwell.llm.common import join_small, n_words, row_key, small, staged
+from coverwell.llm.common import join_small, n_words, row_key, small, staged, unclashed
 
 WEIGHTS = (5, 2, 1)
 LEVELS = (12, 12, 12, 14, 14)  # bits of the hash that each pass reads, 64 in all
@@ -133,12 +134,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, most: int = 2, see
     Returns doc_id, source, size, source_size, target, copies and taken for every row; with
     ``texts``, all columns of ``docs`` and these, for the rows that the mix takes.
     """
+    found = ["size", "source_size", "target", "copies", "taken"]
+    docs = unclashed(docs, *found, "skey", "h", "edge", "with_edge", "_full", "_th")
     sized = staged(_sized(docs, seed).select("doc_id", "source", "skey", "size", "h"), "sized")
     totals = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
     sources = staged(fill(source_weights(totals, weights), percent, most), "targets")
     plan = staged(thresholds(sized, sources).select("skey", "source_size", "target", "copies", "edge", "with_edge"), "plan")
-    found = ["size", "source_size", "target", "copies", "taken"]
     if texts:  # the thresholds alone decide, so the texts are filtered where they are read
-        kept = [c for c in docs.columns if c not in found]
-        return _with_copies(_sized(docs, seed), plan).where("copies > 0").select(*kept, *found)
+        return _with_copies(_sized(docs, seed), plan).where("copies > 0").select(*docs.columns, *found)
     return _with_copies(sized, plan).select("doc_id", "source", *found)

@@ -395,6 +395,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     linked; component_id is the least doc_id reachable, and the document that has it is kept.
     """
     ship_package(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     marks = staged(sketches(docs, n), "sketches")
     full = marks.where("n_shingles > 0")
     same = [F.first(c).alias(d) for c, d in (("n_shingles", "len"), ("sig", "sig"), ("b1", "b1"), ("b2", "b2"))]
@@ -409,8 +410,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         known = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
         comps = staged(components(known.unionByName(hubs.select("a", F.col("cid").alias("b")))), "components")
     by_class = _named(classes.select("cid", "least"), comps)
-    least = by_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    linked = staged(by_class.select("cid", "comp").join(least, "comp").select("cid", "component_id"), "by-class")
+    least = staged(by_class.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
+    linked = join_small(by_class.select("cid", "comp"), least, "comp", "inner", small(least))
+    linked = staged(linked.select("cid", "component_id"), "by-class")
     out = marks.select("doc_id", "_th", "n_shingles", "cid")
     out = join_small(out, linked, "cid", "left", small(linked))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

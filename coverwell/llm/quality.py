@@ -11,7 +11,8 @@ four statistics, quantiles come from mergeable summaries.
 Edge cases. A null text has no words and fails the hard rules. Null languages and sources
 are groups of their own. Groups under ``least`` rows that pass the hard rules use the
 estimate over all rows. A ridge keeps constant statistics from making the covariance
-singular. Rows that repeat in id and text are judged alike. Empty tables give empty results.
+singular. Rows that repeat in id and text are judged alike. Empty tables give empty results; other
+columns are passed over.
 """
 
 from __future__ import annotations
@@ -200,4 +201,4 @@ def judge(
 
 def quality(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, _th, lang, source, statistics, base_failed, d2, kept), a row for each row of ``docs``."""
-    return judge(hard_rules(text_stats(docs)), **options)
+    return judge(hard_rules(text_stats(docs.select("doc_id", "text", "lang", "source"))), **options)

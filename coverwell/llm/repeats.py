@@ -168,7 +168,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     that holds any window of the passage, so a passage may go where it is not the document's own.
     """
     ship_package(docs.sparkSession)
-    rows = row_key(docs).select("doc_id", "_th", "text")
+    rows = row_key(docs.select("doc_id", "text"))
     kept = staged(suffixes(rows, min_words), "suffixes")
     ranged = kept.select("key", "_th").repartitionByRange("key", "_th").sortWithinPartitions("key", "_th")
     keys = staged(repeated_keys(ranged), "keys")

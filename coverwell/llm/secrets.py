@@ -10,7 +10,7 @@ trigrams (``hex``) scans every text.
 Edge cases. A null text counts as an empty one. Matches are leftmost and do not overlap
 within a kind; kinds may overlap each other. Places count code points from 0, ends exclusive.
 Rows that repeat in id and text are scanned alike. Ids may be null; empty tables give empty
-results; other columns are passed over.
+results; other columns stay, but for those named as a result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverwell.llm.common import let, row_key
+from coverwell.llm.common import let, row_key, unclashed
 
 
 @dataclass(frozen=True)
@@ -186,6 +186,7 @@ def rule_spans(rule: Rule, order: int, text: Column) -> Column:
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ids_a_segment: int = 4096) -> DataFrame:
     """The rows of ``docs`` with spans, an array of (start, ord, end, kind) by start and then in the order of ``rules``."""
+    docs = unclashed(docs, "spans", "kinds", "_id", "_th")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for clause in q for alt in clause for g in alt})
     keyed = row_key(docs).withColumn("_id", F.xxhash64("doc_id", "_th"))
