@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverwell.functions import text as T
-from coverwell.operators import dedupe, filters, health, narratives, reports, surge, trends
+from coverwell.operators import dedupe, filters, health, ledger, narratives, reports, surge, trends
+from coverwell.sources import feeds
 from coverwell.sources import tables as S
 from coverwell.sources.staging import staged
 from coverwell.sources.tables import BRANDS, HOME, NOW, table
@@ -502,3 +503,95 @@ def stream_dedupe(spark, sf_dir):
     return stream.merge_by_key(rows, "user_id", "event_id", stream.shared_dir(spark)).select("user_id", "event_id", "event_type", "n")
 
 
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+
+
+_ORDERS = "WITH o AS (SELECT o_orderkey AS key, o_custkey AS cust, o_orderstatus AS status, o_orderpriority AS priority FROM orders)"
+
+
+@query(_ORDERS + """, c AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'X' END AS status FROM customer)
+SELECT coalesce(o.key, c.key) AS key, cust, coalesce(c.status, o.status) AS status, priority FROM o FULL JOIN c ON o.key = c.key""", views=False)
+def upsert(spark, sf_dir):
+    changes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 2 == 0, "X").alias("status"))
+    return ledger.upsert(_orders(spark, sf_dir), changes, "key")
+
+
+@query("""
+, target AS (SELECT DISTINCT lower(outlet) AS outlet, 0 AS item_id FROM instances WHERE item_id % 6 = 0)
+, new AS (SELECT lower(source) AS outlet, min(id) AS item_id FROM stories GROUP BY 1)
+SELECT * FROM target UNION ALL SELECT * FROM new WHERE outlet NOT IN (SELECT outlet FROM target)""")
+def insert_ignore(spark, sf_dir):
+    target = S.coverage(spark, sf_dir).where("item_id % 6 = 0").select(F.lower("outlet").alias("outlet"), F.lit(0).cast("long").alias("item_id")).distinct()
+    new = S.stories(spark, sf_dir).select(F.lower("source").alias("outlet"), F.col("id").alias("item_id"))
+    return ledger.insert_ignore(target, new, ["outlet"], [F.col("item_id")])
+
+
+@query(_ORDERS + "SELECT * FROM o WHERE cust NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", views=False)
+def delete_rows(spark, sf_dir):
+    gone = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("cust"))
+    return ledger.delete(_orders(spark, sf_dir), gone, "cust").select("key", "cust", "status", "priority")
+
+
+@query("SELECT id FROM stories WHERE NOT (id % 4 = 1 AND id % 8 = 1)")
+def semantic_verdicts(spark, sf_dir):
+    rows = S.stories(spark, sf_dir).select("id")
+    verdicts = rows.where("id % 4 = 1").select("id", (F.col("id") % 8 == 1).alias("same"))
+    return ledger.apply_verdicts(rows, verdicts)
+
+
+@query("""
+, c AS (SELECT *, 'u' || CAST(pos AS VARCHAR) AS url, pos = 0 AS wrapped FROM instances)
+SELECT item_id, lower(trim(outlet)) AS key, arg_min(outlet, CAST(wrapped AS INT) * 10 + pos) AS outlet, arg_min(url, CAST(wrapped AS INT) * 10 + pos) AS url,
+  min(author) FILTER (author IS NOT NULL) AS author FROM c GROUP BY item_id, lower(trim(outlet))""")
+def outlet_collapse(spark, sf_dir):
+    cov = S.coverage(spark, sf_dir).withColumns({"url": F.concat(F.lit("u"), F.col("pos").cast("string")), "wrapped": F.col("pos") == 0})
+    return ledger.collapse_outlets(cov)
+
+
+@query("""
+SELECT CASE WHEN NOT (published_at IS NULL OR published_at > TIMESTAMP '2024-01-29') THEN 'fresh' WHEN importance < 2 THEN 'relevant'
+  WHEN NOT (importance >= 4 OR (brand <> 'other' AND sentiment = 'negative')) THEN 'alert' ELSE 'delivered' END AS lost_at, count(*) AS n FROM stories GROUP BY 1""")
+def ingest_funnel(spark, sf_dir):
+    rows = S.stories(spark, sf_dir)
+    stages = [("fresh", filters.fresh(rows, NOW)), ("relevant", rows.where("importance >= 2")), ("alert", rows.where(filters.instant_alert(BRANDS)))]
+    return ledger.funnel(rows, stages)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS bad FROM orders", views=False)
+def delivery_status(spark, sf_dir):
+    return ledger.delivery(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"), ("F", "P"))
+
+
+@query("""
+WITH e AS (SELECT event_id AS id, event_type || CAST(user_id AS VARCHAR) AS title, CAST(ts AS TIMESTAMP) AS "at" FROM events),
+g AS (SELECT *, lag("at") OVER (PARTITION BY title ORDER BY "at", id) AS before FROM e)
+SELECT id, title, "at" FROM g WHERE before IS NULL OR epoch_us("at") - epoch_us(before) >= 22 * 3600000000""", views=False)
+def alert_throttle(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.concat("event_type", F.col("user_id").cast("string")).alias("title"), F.col("ts").cast("timestamp_ntz").alias("at")
+    )
+    return ledger.throttled(e, 22)
+
+
+@query("""
+SELECT coalesce(n.k, s.k) AS id, CASE WHEN n.k IS NULL THEN 'extra' WHEN s.k IS NULL THEN 'missing' ELSE 'applied' END AS state
+FROM (SELECT n_nationkey AS k FROM nation) n FULL JOIN (SELECT DISTINCT s_nationkey + 3 AS k FROM supplier) s ON n.k = s.k""", views=False)
+def schema_drift(spark, sf_dir):
+    code = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    return ledger.schema_drift(code, table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 3).alias("id")).distinct())
+
+
+@query("""
+SELECT 'f' || CAST(item_id % 7 AS VARCHAR) AS feed_id, count(*) AS n FROM benchmark WHERE item_id % 11 <> 0 GROUP BY 1""", views=False)
+def feed_items(spark, sf_dir):
+    """Every benchmark item as a feed of one entry; each eleventh body is hostile and must be turned away."""
+    b = table(spark, sf_dir, "benchmark")
+    safe = F.regexp_replace(F.col("text"), "[<>&]", " ")
+    head = F.when(F.col("item_id") % 11 == 0, '<!DOCTYPE r [<!ENTITY x "y">]>').otherwise("")
+    body = F.concat(head, F.lit("<rss><channel><item><title>"), safe, F.lit("</title><link>https://a.example/1</link></item></channel></rss>"))
+    found = feeds.items(b.select(F.concat(F.lit("f"), (F.col("item_id") % 7).cast("string")).alias("feed_id"), body.alias("body")))
+    return found.groupBy("feed_id").agg(F.count("*").alias("n"))

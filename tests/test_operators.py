@@ -181,3 +181,28 @@ def test_subscribers_without_topics_get_all(spark):
     subs = spark.createDataFrame([(1, None), (2, ["x"]), (3, ["z"])], "subscriber long, topics array<string>")
     items = spark.createDataFrame([(10, "x"), (11, "y")], "id long, category string")
     assert sorted(map(tuple, filters.subscriber_items(subs, items).collect())) == [(1, 10), (1, 11), (2, 10)]
+
+
+def test_feeds(spark):
+    from coverwell.sources import feeds
+
+    rss = "<rss><channel>" + "".join(f"<item><title>A headline that is long enough {i} - Outlet</title><link>https://a.example/{i}</link><pubDate>Mon, 15 Jan 2024 10:00:00 GMT</pubDate><description>&lt;p&gt;Some &lt;b&gt;text&lt;/b&gt;&lt;/p&gt;</description></item>" for i in range(90)) + "</channel></rss>"
+    atom = '<feed><entry><title>Entry</title><link href="https://b.example/1"/><published>2024-01-15T10:00:00Z</published><author><name>Jane Roe</name></author></entry></feed>'
+    hostile = '<?xml version="1.0"?><!DOCTYPE r [<!ENTITY a "b">]><rss><channel><item><title>&a;</title></item></channel></rss>'
+    rows = spark.createDataFrame([("rss", rss), ("atom", atom), ("bad", hostile), ("none", None), ("broken", "<rss><channel>"), ("big", "x" * (feeds.BODY_CAP + 1))], "feed_id string, body string")
+    verdicts = {x.feed_id: x.reject for x in feeds.parsed(rows).select("feed_id", "reject").collect()}
+    assert verdicts == {"rss": None, "atom": None, "bad": "entities", "none": "missing", "broken": None, "big": "too-large"}
+    got = feeds.items(rows).collect()
+    assert sum(x.feed_id == "rss" for x in got) == 80 and sum(x.feed_id == "atom" for x in got) == 1
+    first = next(x for x in got if x.feed_id == "rss" and x.pos == 0)
+    assert (first.headline, first.source, first.snippet, first.published_at) == ("A headline that is long enough 0", "Outlet", "Some text", datetime(2024, 1, 15, 10))
+    entry = next(x for x in got if x.feed_id == "atom")
+    assert (entry.author, entry.url, entry.published_at) == ("Jane Roe", "https://b.example/1", datetime(2024, 1, 15, 10))
+
+
+def test_upsert_keeps_what_is_not_given(spark):
+    from coverwell.operators import ledger
+
+    target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k long, v string, w string")
+    got = ledger.upsert(target, spark.createDataFrame([(1, None), (3, "c")], "k long, v string"), "k").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", "x"), (2, "b", "y"), (3, "c", None)]
