@@ -66,22 +66,51 @@ def crossrun_match(new: DataFrame, pool: DataFrame, least: float = 0.55) -> Data
     return new.select("id").join(best.withColumnRenamed("a", "id"), "id", "left")
 
 
+def _meeting(new: DataFrame, pool: DataFrame, column: str, need) -> DataFrame:
+    """(a, b): a superset of the pairs sharing ``need`` words of ``column`` or more, ``need`` being a function of a set's size.
+
+    Words are taken rarest first. The rarest shared one has all the others after it, so on
+    both sides at least ``need`` words are left from there on.
+    """
+    each = new.select(column).unionByName(pool.select(column))
+    freq = each.select(F.explode(column).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+    def prefixes(rows: DataFrame, name: str) -> DataFrame:
+        ranked = rows.select(F.col("id").alias(name), F.explode(column).alias("t")).join(freq, "t")
+        sorted_ = ranked.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("ts"))
+        take = F.size("ts") - need(F.size("ts")) + 1
+        return sorted_.select(name, F.explode(F.slice("ts", F.lit(1), F.greatest(take, F.lit(0)))).alias("x")).select(name, "x.t")
+
+    return prefixes(new, "a").join(prefixes(pool, "b"), "t").select("a", "b").distinct()
+
+
 def gated_candidates(new: DataFrame, pool: DataFrame, low: float = 0.12, high: float = 0.5, most: int | None = 40) -> DataFrame:
     """(id, match, score): each new row's best pool row by token, entity or phrase overlap, if it passes the gate.
 
-    Rows have id, toks, strong and pairs; only pool rows sharing an entity or a word are met.
-    The earliest of equals wins.
+    Rows have id, toks, strong and pairs; only pool rows sharing a word are met. The earliest of
+    equals wins. Two shared entities or phrases pass and beat all that have less; so pairs with
+    one, which may be best and fail, matter only to rows that have no pair of two but one of ``low``.
     """
-    grams = lambda df, n: df.select(F.col("id").alias(n), F.explode("toks").alias("t"))
-    met = grams(new, "a").join(grams(pool, "b"), "t").select("a", "b").distinct()
     side = lambda df, n: df.select(F.col("id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("toks", "strong", "pairs")])
-    both = met.join(side(new, "a"), "a").join(side(pool, "b"), "b")
     common = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b"))
-    scored = both.select("a", "b", jaccard(F.col("toks_a"), F.col("toks_b")).alias("j"), common("strong").alias("shared"), common("pairs").alias("phrases")).where(F.col("j") < high)
-    scored = scored.withColumn("score", F.greatest(F.col("j"), F.col("shared") / 3.0, F.col("phrases") / 3.0)).where("score > 0")
-    best = scored.groupBy("a").agg(F.max_by(F.struct("b", "j", "shared", "phrases", "score"), F.struct("score", -F.col("b"))).alias("r"))
-    passed = best.select(F.col("a").alias("id"), "r.*").where((F.col("j") >= low) | (F.col("shared") >= 2) | (F.col("phrases") >= 2))
-    out = passed.select("id", F.col("b").alias("match"), F.round("score", 6).alias("score"))
+
+    def scored(met: DataFrame) -> DataFrame:
+        both = met.join(side(new, "a"), "a").join(side(pool, "b"), "b").where(F.arrays_overlap("toks_a", "toks_b"))
+        got = both.select("a", "b", jaccard(F.col("toks_a"), F.col("toks_b")).alias("j"), common("strong").alias("shared"), common("pairs").alias("phrases"))
+        return got.where(F.col("j") < high).withColumn("score", F.greatest(F.col("j"), F.col("shared") / 3.0, F.col("phrases") / 3.0))
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("a").agg(F.max_by(F.struct("b", "j", "shared", "phrases", "score"), F.struct("score", -F.col("b"))).alias("r")).select("a", "r.*")
+
+    several, one = lambda n: F.lit(2), lambda n: F.lit(1)
+    two = (F.col("shared") >= 2) | (F.col("phrases") >= 2)
+    sure = best(scored(_meeting(new, pool, "strong", several).unionByName(_meeting(new, pool, "pairs", several)).distinct()).where(two))
+    like = scored(_meeting(new, pool, "toks", lambda n: F.ceil(n * low - 1e-9).cast("int"))).where(F.col("j") >= low)
+    like = like.join(sure.select("a"), "a", "left_anti")
+    open_ = new.join(like.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    single = scored(_meeting(open_, pool, "strong", one).unionByName(_meeting(open_, pool, "pairs", one)).distinct()).where("score > 0")
+    passed = sure.unionByName(best(like.unionByName(single)).where(two | (F.col("j") >= low)))
+    out = passed.select(F.col("a").alias("id"), F.col("b").alias("match"), F.round("score", 6).alias("score"))
     return out if most is None else out.orderBy(F.desc("score"), "id").limit(most)
 
 

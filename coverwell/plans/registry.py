@@ -250,6 +250,12 @@ def crossrun_match(spark, sf_dir):
     return dedupe.crossrun_match(new, pool, least=0.1)
 
 
+def _gate_rows(spark, sf_dir, name: str, key: str) -> DataFrame:
+    rows = table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")
+    toks = T.gate_tokens(F.col("text"))
+    return rows.select("id", toks.alias("toks"), T.phrases(F.col("text")).alias("pairs")).withColumn("strong", T.strong_tokens(F.col("toks")))
+
+
 @query(rf"""
 WITH w AS (SELECT 'd' AS side, doc_id AS id, {_GATE_WORDS} AS ws FROM documents UNION ALL SELECT 'b', item_id, {_GATE_WORDS} FROM benchmark),
 t AS (SELECT side, id, list_distinct(list_filter(ws, lambda x: length(x) > 2 AND NOT list_contains({_GATE_SQL}, x))) AS toks,
@@ -263,12 +269,13 @@ s AS (SELECT *, greatest(j, shared / 3.0, phrases / 3.0) AS score FROM q WHERE j
 best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match) AS k FROM s WHERE score > 0)
 SELECT id, match, round(score, 6) AS score FROM best WHERE k = 1 AND (j >= 0.12 OR shared >= 2 OR phrases >= 2)""", views=False)
 def semantic_candidates(spark, sf_dir):
-    def prepared(name: str, key: str) -> DataFrame:
-        rows = table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")
-        toks = T.gate_tokens(F.col("text"))
-        return rows.select("id", toks.alias("toks"), T.phrases(F.col("text")).alias("pairs")).withColumn("strong", T.strong_tokens(F.col("toks")))
+    return dedupe.gated_candidates(_gate_rows(spark, sf_dir, "benchmark", "item_id"), _gate_rows(spark, sf_dir, "documents", "doc_id"), most=None)
+
 
-    return dedupe.gated_candidates(prepared("benchmark", "item_id"), prepared("documents", "doc_id"), most=None)
+@query(ORACLES["semantic_candidates"].replace("a.side = 'b' AND b.side = 'd'", "a.side = 'd' AND b.side = 'b'"), views=False)
+def semantic_candidates_documents(spark, sf_dir):
+    """Documents as the new rows, matched against benchmark as the stored pool."""
+    return dedupe.gated_candidates(_gate_rows(spark, sf_dir, "documents", "doc_id"), _gate_rows(spark, sf_dir, "benchmark", "item_id"), most=None)
 
 
 @query()
@@ -469,12 +476,17 @@ def ngram_phrase(spark, sf_dir):
     return narratives.best_phrases(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
+@query(ORACLES["ngram_phrase"].replace("item_id AS id", "doc_id AS id").replace("FROM benchmark", "FROM documents"), views=False)
+def ngram_phrase_documents(spark, sf_dir):
+    return narratives.best_phrases(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 def _thread_stories(spark, sf_dir) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    brand = F.get(F.array(*map(F.lit, ALL_BRANDS)), (F.col("item_id") % 5).cast("int"))
-    return b.select(
-        F.col("item_id").alias("id"), brand.alias("brand"), F.concat(F.lit("cat"), (F.col("item_id") % 3).cast("string")).alias("category"), "text",
-        F.when(F.col("item_id") % 4 == 0, "negative").otherwise("neutral").alias("sentiment"), (F.col("item_id") % 30).alias("idx"),
+    d = table(spark, sf_dir, "documents")
+    brand = F.get(F.array(*map(F.lit, ALL_BRANDS)), (F.col("doc_id") % 5).cast("int"))
+    return d.select(
+        F.col("doc_id").alias("id"), brand.alias("brand"), F.concat(F.lit("cat"), (F.col("doc_id") % 3).cast("string")).alias("category"), "text",
+        F.when(F.col("doc_id") % 4 == 0, "negative").otherwise("neutral").alias("sentiment"), (F.col("doc_id") % 30).alias("idx"),
     )
 
 

@@ -1,5 +1,6 @@
 """Small cases of the analytics, and brute-force twins of the clusterings."""
 
+import os
 import random
 from datetime import date, datetime, timedelta
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coverwell.functions import text as T
 from coverwell.operators import dedupe, filters, health, narratives, reports, surge, trends
+from coverwell.plans import registry
 from coverwell.sources.staging import staged
 
 
@@ -99,6 +101,33 @@ def test_threads_equal_the_sequential_ones(spark):
     assert got == want
 
 
+def test_best_thread_links_equal_all_pairs(spark):
+    r = random.Random(5)
+    words = ["alpha", "bravo", "delta", "echoes", "foxtrot", "golfing", "hotels", "indigo", "12345", "abc"]
+    rows = [(i, r.choice(["home", "rival_a", "other"]), r.choice(["cat0", "market", None]), " ".join(r.choices(words, k=r.randrange(0, 7)))) for i in range(90)]
+    best = {}
+    for b, brand_b, cat_b, text_b in rows:
+        for a, brand_a, cat_a, text_a in rows[:b]:
+            p, q, same = set(text_a.split()), set(text_b.split()), cat_a == cat_b and cat_a is not None
+            shared, j = len({w for w in p & q if len(w) > 3 and not w.isdigit()}), len(p & q) / max(1, len(p | q))
+            need = (3 if cat_b == "market" else 2) + (not same) + 2 * ("other" not in (brand_a, brand_b) and brand_a != brand_b)
+            score = max(j if same and brand_a == brand_b and j >= 0.22 else 0, 0.2 + 0.02 * shared if shared >= need else 0)
+            if score:
+                best.setdefault(b, []).append((score, a))
+    want = {(a, b) for b, found in best.items() for s, a in found if s == max(found)[0]}
+    stories = spark.createDataFrame(rows, "id long, brand string, category string, text string")
+    assert {(x.a, x.b) for x in narratives.thread_links(stories, block=20).collect()} == want
+
+
+def test_threads_and_candidates_take_the_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    ids = {x.doc_id for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert {x.id for x in registry.QUERIES["narrative_threads"](spark, sf).collect()} == ids
+    assert {x.id for x in registry.QUERIES["semantic_candidates_documents"](spark, sf).collect()} <= ids
+
+
 def test_duplicate_pairs_keep_the_earlier_within_the_window(spark):
     t = datetime(2024, 1, 10)
     rows = [(1, list("abcd"), t), (2, list("abcd"), t - timedelta(days=1)), (3, list("abcd"), t + timedelta(days=60)), (4, list("wxyz"), t)]
