@@ -5,14 +5,14 @@ its minwise token under each of ``K`` hash functions. In a tree, a node picks on
 functions by its own path, and its members branch by the token chosen there, so sets of
 similarity s stay together with probability s at each level. Branching goes on until a node
 is small; a small node is compared exhaustively on one-bit sketches, and what passes is
-confirmed on full sets. Independent trees repeat this: a pair at similarity 0.8 that parts
-by depth 3 in a tree is missed by all 24 with probability 0.49 ** 24, under one in ten million.
+confirmed on full sets. Independent trees repeat this, and no tree branches deeper than their
+number affords: at similarity s and last depth d, (1 - s ** d) ** trees is at most ``MISS``.
 
 Groups of near copies never part. So the first trees go straight to a depth where little
 but near copies is left, and link each node to its least member; then every class is linked
 to the nearest of each small node. Classes connected by then need no comparison with each
 other, only with the rest, and all pairs of the rest are compared. Nodes that are still large
-at the last depth compare the members outside their main component with all others, so
+at the last depth are not branched on but compare the members outside their main component with all others, so
 nothing is capped.
 
 Edge cases. Null texts and texts without words have no set and link with nothing; each is its
@@ -23,6 +23,7 @@ with, null if none. Empty tables give empty results; other columns are passed ov
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,7 +38,9 @@ from coverwell.llm.components import components
 
 K = 128
 STAR_TREES, STAR_DEPTH = 8, 6
-TREES, FIRST, DEPTH, LEAF = 24, 3, 8, 2048
+FIRST, LEAF = 3, 2048
+MISS = 1e-6  # probability that no tree keeps a pair at the least similarity together, at any depth reached
+TREES, DEPTH = 32, 4  # at most
 CROWD = 1_000_000  # shingles in a block of a crowded leaf
 FIND = re.compile(WORD)
 _rng = np.random.default_rng(20240501)
@@ -127,6 +130,15 @@ def _descend(rows: DataFrame, levels: int) -> DataFrame:
     return rows
 
 
+def forest(similarity: float) -> tuple[int, int]:
+    """Trees and the last depth: the deepest of at most ``DEPTH`` for which ``TREES`` reach ``MISS``; at depth 1 as many as it takes."""
+    for depth in range(DEPTH, 0, -1):
+        trees = math.ceil(math.log(MISS) / math.log1p(-(min(similarity, 0.999) ** depth)))
+        if trees <= TREES:
+            break
+    return trees, depth
+
+
 def _far(similarity: float) -> int:
     """Sketch bits in which a pair of that similarity differs at most, five deviations out."""
     p = (1 - similarity) / 2
@@ -290,12 +302,14 @@ def _named(classes: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _grow(classes: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
     """The open leaves of all trees."""
+    n_trees, deepest = forest(similarity)
+    first = min(FIRST, deepest)
     labelled = staged(_named(classes, comps), "labelled")
     x = F.struct(*MEMBERS).alias("x")
-    trees = labelled.select("sig", x, F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"))
-    rows = _descend(trees.withColumn("key", F.xxhash64(F.lit(1), "tree")), FIRST).select("key", "x")
+    trees = labelled.select("sig", x, F.explode(F.sequence(F.lit(1), F.lit(n_trees))).alias("tree"))
+    rows = _descend(trees.withColumn("key", F.xxhash64(F.lit(1), "tree")), first).select("key", "x")
     leaves = []
-    for depth in range(FIRST, DEPTH + 1):
+    for depth in range(first, deepest + 1):
         nodes = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
         few = nodes.where(F.col("n") <= LEAF).select("key")
         leaves.append(staged(_open_leaves(join_small(rows, few, "key", "inner", small(few)), similarity), "leaves"))
@@ -308,7 +322,7 @@ def _grow(classes: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
         if mixed_.isEmpty():
             break
         down = staged(join_small(rows, mixed_, "key", "inner", small(mixed_)), "large")
-        if depth == DEPTH:
+        if depth == deepest:
             leaves.append(staged(_open_leaves(_blocks(down), similarity), "leaves"))
             break
         moved = down.withColumn("cid", F.col("x.cid")).join(labelled.select("cid", "sig"), "cid")

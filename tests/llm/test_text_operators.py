@@ -82,6 +82,19 @@ def test_near_duplicates(docs, n):
         assert (got[doc_id].n_shingles, got[doc_id].component_id, got[doc_id].kept) == (len(sets[i]), rows[lead[i]][0], lead[i] == i)
 
 
+def test_near_duplicates_keep_recall_in_large_nodes(spark, monkeypatch):
+    for similarity in (0.3, 0.5, 0.8, 0.9, 1.0):
+        trees, depth = near_dup.forest(similarity)
+        assert (1 - similarity**depth) ** trees <= near_dup.MISS
+    monkeypatch.setattr(near_dup, "LEAF", 8)
+    passage, rows = " ".join(f"c{i}" for i in range(150)), []
+    for doc in range(400):  # pairs at 180 of 224 words; any two documents share 150
+        shared = " ".join(f"p{doc // 2}_{i}" for i in range(30))
+        rows.append((doc, f"{passage} {shared} " + " ".join(f"d{doc}_{i}" for i in range(22))))
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {doc: doc // 2 * 2 for doc in range(400)}
+
+
 def test_near_duplicates_in_crowded_nodes(spark, monkeypatch):
     """Hundreds of texts that share most words, with small nodes, so that every way through the tree is taken."""
     for name, value in {"LEAF": 8, "DEPTH": 4, "CROWD": 2000, "TREES": 12}.items():
