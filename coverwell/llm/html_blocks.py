@@ -35,7 +35,7 @@ def _element(tag: str, attributes: str) -> str:
     if not attributes or "=" not in attributes:
         return tag
     names = [a or b or c for a, b, c in NAMED.findall(attributes)]
-    return ".".join([tag, *(p.lower() for n in names for p in PART.findall(n)[:8])])
+    return ".".join([tag, *(p.lower() for n in names for p in PART.findall(n))])
 
 
 def blocks(html: str | None) -> list[Block]:

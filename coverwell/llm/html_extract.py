@@ -137,7 +137,7 @@ def forward(p: Params, pre: np.ndarray, lengths: np.ndarray):
 
 
 def word_buckets(text: str) -> list[int]:
-    return [_word_bucket[w] for w in set(text.lower().split(None, 40)[:40])]
+    return [_word_bucket[w] for w in set(text.lower().split())]
 
 
 def word_share(n: int) -> float:
@@ -204,7 +204,7 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) ->
                 for i, t in enumerate(tokens):
                     grad["Ep"][t] += dpre[i, j]
                 for i, w in enumerate(words if spoken[j] else ()):
-                    grad["Ew"][w] += dpre[i, j] * word_share(len(w))
+                    np.add.at(grad["Ew"], w, dpre[i, j] * word_share(len(w)))  # words of one bucket all count
             step += 1
             for k, g in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * g

@@ -374,6 +374,13 @@ def test_labeller_gradients():
         assert (loss(p["Wf"] + step) - loss(p["Wf"] - step)) / 2e-2 == pytest.approx(dw[i, j], rel=0.05, abs=1e-2)
 
 
+def test_html_features_take_all_words_and_names():
+    text = " ".join(f"w{i}" for i in range(500))
+    assert sorted(html_extract.word_buckets(text)) == sorted(html_extract._word_bucket[f"w{i}"] for i in range(500))
+    (block,) = blocks("<div class='flex flex-col items-center justify-between gap px py sidebar'>x</div>")
+    assert block.path == "/div.flex.flex.col.items.center.justify.between.gap.px.py.sidebar"
+
+
 def test_html_extraction(spark):
     rows = [(1, "u", "<nav><ul><li><a href=x>Menu</a></li></ul></nav><article><h1>Head</h1><p>One &lt;two&gt;\n three.</p><p>Four five six.</p></article><footer>(c) x</footer>"), (2, None, None), (None, "v", "")]
     got = {x.page_id: x for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
