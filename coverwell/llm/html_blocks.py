@@ -7,9 +7,9 @@ from html import unescape
 from typing import NamedTuple
 
 #: Elements whose content is never shown as text of the page.
-HIDDEN = "script|style|noscript|template|svg|math|iframe|object|head|title|select|textarea|button"
+HIDDEN = "script|style|noscript|template|svg|math|iframe|object|title|select|textarea|button"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*?/>|<({HIDDEN})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -87,7 +87,7 @@ def blocks(html: str | None) -> list[Block]:
                 if not block and stack[at][0] in BLOCK:
                     break
             continue
-        if tag in VOID:
+        if tag in VOID or tag == "head":  # what a head may hold is void or hidden; all else is of the body
             continue
         if block:
             closes = SIBLINGS.get(tag, ()) if tag in SIBLINGS else ()

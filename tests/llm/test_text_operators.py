@@ -381,6 +381,23 @@ def test_html_features_take_all_words_and_names():
     assert block.path == "/div.flex.flex.col.items.center.justify.between.gap.px.py.sidebar"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>no</title><meta charset=utf-8><body><p>a<p>b", ["a", "b"]),
+        ("<head><title>no</title><style>p {}</style><p>a</p>b", ["a", "b"]),
+        ("<head><title>no</title></head><p>a", ["a"]),
+        ("<p>a <svg-icon name=x></svg-icon>b</p><button-group><p>c</p></button-group><template-x>d</template-x>", ["a b", "c", "d"]),
+        ("<p>a <svg class='x>y' width=1 />b <math/>c</p><p>d <svg><path d='' /><text>no</text></svg>e", ["a b c", "d e"]),
+        ("<header><p>a</header><button>no</button\n><p>b", ["a", "b"]),
+    ],
+)
+def test_hidden_elements_end_where_they_should(page, want):
+    got = blocks(page)
+    assert [b.text for b in got] == want
+    assert not any("head/" in f"{b.path}/" for b in got)
+
+
 def test_html_extraction(spark):
     rows = [(1, "u", "<nav><ul><li><a href=x>Menu</a></li></ul></nav><article><h1>Head</h1><p>One &lt;two&gt;\n three.</p><p>Four five six.</p></article><footer>(c) x</footer>"), (2, None, None), (None, "v", "")]
     got = {x.page_id: x for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
