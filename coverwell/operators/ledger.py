@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,10 +60,30 @@ def delivery(log: DataFrame, bad: tuple[str, ...]) -> DataFrame:
 
 
 def throttled(alerts: DataFrame, hours: int) -> DataFrame:
-    """Alerts that may go out: none of the same title within ``hours`` before. Alerts of a title are taken in order of time and id."""
-    before = F.lag("at").over(W.partitionBy("title").orderBy("at", "id"))
-    gap = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
-    return alerts.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= hours * 3_600_000_000)).drop("gap")
+    """Alerts that go out: none of the same title went out within ``hours`` before. Alerts of a title are taken in order of time and id.
+
+    A suppressed alert holds back none. The last time sent of one title at a time is the state of
+    a pass over sorted rows. Null titles are one title; alerts without a time go out.
+    """
+    gap = hours * 3_600_000_000
+    title = F.when(F.col("title").isNull(), "0").otherwise(F.concat(F.lit("1"), "title"))
+    keyed = alerts.withColumns({"_title": title, "_at": F.unix_micros(F.col("at").cast("timestamp"))})
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for rows in batches:
+            keep = []
+            for title, at in zip(rows.column("_title").to_pylist(), rows.column("_at").to_pylist(), strict=True):
+                if title != current:
+                    current, last = title, None
+                keep.append(at is None or last is None or at - last >= gap)
+                if keep[-1] and at is not None:
+                    last = at
+            yield rows.filter(pa.array(keep, pa.bool_())).select(alerts_columns)
+
+    alerts_columns = alerts.columns
+    rows = keyed.repartition("_title").sortWithinPartitions("_title", "_at", "id")
+    return rows.mapInArrow(sent, alerts.schema)
 
 
 def schema_drift(code: DataFrame, ledger: DataFrame) -> DataFrame:

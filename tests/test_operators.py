@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coverwell.functions import text as T
-from coverwell.operators import dedupe, filters, health, narratives, reports, surge, trends
+from coverwell.operators import dedupe, filters, health, ledger, narratives, reports, surge, trends
 from coverwell.plans import registry
 from coverwell.sources.staging import staged
 
@@ -128,6 +128,28 @@ def test_threads_and_candidates_take_the_documents(spark):
     assert {x.id for x in registry.QUERIES["semantic_candidates_documents"](spark, sf).collect()} <= ids
 
 
+def test_throttled_alerts_go_out_again(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(h, title, t + timedelta(hours=h)) for title in ("a", None) for h in range(0, 100, 5)] + [(7, "b", t), (8, "b", t + timedelta(hours=22)), (9, "c", None)]
+    got = ledger.throttled(spark.createDataFrame(rows, "id long, title string, at timestamp_ntz"), 22).collect()
+    assert sorted(x.id for x in got if x.title == "a") == sorted(x.id for x in got if x.title is None) == [0, 25, 50, 75]
+    assert sorted(x.id for x in got if x.title in ("b", "c")) == [7, 8, 9]
+
+
+def test_alert_throttle_equals_recursive_sql(spark):
+    sf, duckdb = "/root/testdata/sf0.001", pytest.importorskip("duckdb")
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    want = duckdb.sql(f"""
+WITH RECURSIVE e AS (SELECT event_id AS id, event_type || CAST(user_id AS VARCHAR) AS title, epoch_us(CAST(ts AS TIMESTAMP)) AS t FROM '{sf}/events.parquet'),
+n AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY t, id) AS k FROM e),
+s AS (SELECT id, title, k, t AS last, true AS sent FROM n WHERE k = 1 UNION ALL
+  SELECT n.id, n.title, n.k, CASE WHEN n.t - s.last >= 22 * 3600000000 THEN n.t ELSE s.last END, n.t - s.last >= 22 * 3600000000
+  FROM s JOIN n ON n.title = s.title AND n.k = s.k + 1)
+SELECT id FROM s WHERE sent""").fetchall()
+    assert sorted(x.id for x in registry.QUERIES["alert_throttle"](spark, sf).collect()) == sorted(x[0] for x in want)
+
+
 def test_duplicate_pairs_keep_the_earlier_within_the_window(spark):
     t = datetime(2024, 1, 10)
     rows = [(1, list("abcd"), t), (2, list("abcd"), t - timedelta(days=1)), (3, list("abcd"), t + timedelta(days=60)), (4, list("wxyz"), t)]
