@@ -308,6 +308,39 @@ def test_repeats(docs):
     assert {tuple(x) for x in repeats.repeated_passages(df).collect()} == want
 
 
+@pytest.mark.parametrize("batch, parts", [(7, 40), (64, 3)])
+def test_repeats_in_hot_runs(spark, batch, parts):
+    """A passage of many documents and many copies of one text, over small batches and partitions, so that runs cross every edge."""
+    r = random.Random(batch)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, copy = [[word() for _ in range(n)] for n in (80, 70)]
+    rows = []
+    for i in range(60):
+        cut = r.randint(0, 15)
+        rows.append((100 + i, " ".join([word() for _ in range(r.randint(0, 60))] + passage[cut : 80 - r.randint(0, 14)] + [word() for _ in range(r.randint(0, 60))])))
+    rows += [(500 + i, " ".join(copy)) for i in range(60)] + [(None, " ".join(passage[:60])), (7, " ".join(copy[:55])), (7, " ".join(copy[:55]))]
+    words = [(d, t.split(" ")) for d, t in rows]
+    holders = defaultdict(set)
+    for (d, ws), (_, t) in zip(words, rows, strict=True):
+        for i in range(len(ws) - 49):
+            holders[tuple(ws[i : i + 50])].add((d is None, d or 0, t))
+    want = set()
+    for d, ws in words:
+        held = [(i, holders[tuple(ws[i : i + 50])]) for i in range(len(ws) - 49)]
+        hit = [(i, h) for i, h in held if len(h) > 1]
+        if hit:
+            want.add((d, hit[0][0], hit[-1][0] + 50 - hit[0][0], min(min(h)[1] for _, h in hit)))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.enabled")}
+    for k, v in zip(before, (str(parts), str(batch), "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        got = repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert {(x.doc_id, x.first_word, x.n_words, x.first_doc_id) for x in got} == want
+
+
 def test_perspectives_join_and_mask(spark):
     rows = [(1, i, ["ann", "bob", None, "system"][i % 4], f"text {i} <|end|> é") for i in range(150)] + [(1, 7, "bob", None), (2, None, "ann", "x"), (None, 0, "bob", "y"), (3, 0, "system", "only")]
     got = perspectives.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_turns=16).collect()
