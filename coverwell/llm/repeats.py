@@ -23,7 +23,6 @@ Empty tables give empty results; other columns are passed over.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coverwell.llm.common import WORD, row_key, ship_package, staged
-from coverwell.llm.near_dup import WordHashes, mixed
+from coverwell.llm.common import row_key, ship_package, staged
+from coverwell.llm.near_dup import mixed
+from coverwell.llm.word_arrays import slices, word_hashes, word_spans
 
-FIND = re.compile(WORD)
 K, HEAD = 5, 15
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, after all others
 SALTS = 1024
 NO_KEY = bytes(12)  # of whole texts among the windows
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_hashes = WordHashes()
 
 
 def window_hashes(h: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -62,15 +60,24 @@ def window_hashes(h: np.ndarray, n: int, at: np.ndarray | None = None) -> np.nda
 
 
 def minimisers(h: np.ndarray, span: int, k: int = K) -> np.ndarray:
-    """Places whose k-gram hash is the least of some ``span`` in a row; the first of equals."""
-    if len(h) < k + span - 1:
+    """Places whose k-gram hash is the least of some ``span`` in a row, all of equals."""
+    n = len(h) - k + 1
+    if n < span:
         return np.zeros(0, np.int64)
-    grams = np.zeros(len(h) - k + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            grams = mixed(grams * BASE + h[i : i + len(grams)])
-    at = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1)
-    return np.unique(at + np.arange(len(at)))
+    grams = np.zeros(n, np.uint64)
+    for i in range(k):
+        grams = mixed(grams * BASE + h[i : i + n])
+
+    def sliding(x: np.ndarray, best: np.ufunc) -> np.ndarray:
+        """The best of every ``span`` in a row, by doubling."""
+        width = 1
+        while 2 * width <= span:
+            x, width = best(x[:-width], x[width:]), 2 * width
+        return best(x[: len(x) - (span - width)], x[span - width :])
+
+    # a place counts if no span that holds it has less everywhere: the greatest of their least is its own
+    least = np.concatenate([np.zeros(span - 1, np.uint64), sliding(grams, np.minimum), np.zeros(span - 1, np.uint64)])
+    return np.nonzero(sliding(least, np.maximum) == grams)[0]
 
 
 def codes(h: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
@@ -131,8 +138,8 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Columns("key", "_th", "salt", "at")
         for rows in batches:
-            for th, salt, text in zip(*[rows[c].to_pylist() for c in ("_th", "salt", "text")], strict=True):
-                h = _hashes.of(text)
+            hashed = (h for part in slices(rows["text"]) for h in word_hashes(part))
+            for th, salt, h in zip(rows["_th"].to_pylist(), rows["salt"].to_pylist(), hashed, strict=True):
                 if len(h) >= min_words:
                     at = minimisers(h, spread(min_words))
                     at = at[at + HEAD <= len(h)]
@@ -234,10 +241,9 @@ def shared_rows(ranged: DataFrame, payload: dict[str, str]) -> DataFrame:
 
     schema = "key binary, _th long, first long, lo long, hi long" + "".join(f", {c} {t}" for c, t in payload.items())
     found = staged(ranged.select("key", "least", "_th", *names).mapInArrow(of, schema), "runs")
-    edges = found.where("lo IS NOT NULL").groupBy("key").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    open_ = found.where("key IS NOT NULL AND lo IS NULL").drop("first", "lo", "hi")
-    settled = open_.join(F.broadcast(edges.where("lo != hi").select("key", "first")), "key").select("_th", "first", *names)
-    return found.where("key IS NULL").select("_th", "first", *names).unionByName(settled)
+    edges = found.where("lo IS NOT NULL").groupBy("key").agg(F.min("first").alias("_first"), (F.min("lo") != F.max("hi")).alias("_several"))
+    settled = found.where("lo IS NULL").join(F.broadcast(edges), "key", "left").where("key IS NULL OR _several")
+    return settled.select("_th", F.coalesce("_first", "first").alias("first"), *names)
 
 
 def windows(texts: DataFrame, min_words: int) -> DataFrame:
@@ -249,11 +255,12 @@ def windows(texts: DataFrame, min_words: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Columns("key", "least", "_th", "i", "n", "start", "end")
         for rows in batches:
-            for th, text, least, several, pos in zip(*[rows[c].to_pylist() for c in ("_th", "text", "least", "several", "pos")], strict=True):
-                h = _hashes.of(text)
+            hashed = (x for part in slices(rows["text"]) for x in zip(part.to_pylist(), word_hashes(part), strict=True))
+            others = [rows[c].to_pylist() for c in ("_th", "least", "several", "pos")]
+            for (text, h), th, least, several, pos in zip(hashed, *others, strict=True):
                 if len(h) < min_words:
                     continue
-                spans = np.array([m.span() for m in FIND.finditer(text)], np.int64)
+                spans = word_spans(text)
                 near = (np.asarray(pos or [], np.int64)[:, None] - np.arange(spread(min_words))).ravel()
                 at = np.unique(near[(near >= 0) & (near + min_words <= len(h))])
                 one = np.full(len(at), least), np.full(len(at), th), at, np.full(len(at), min_words)

@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverwell.llm.common import ship_package, words
+from coverwell.llm.word_arrays import slices
 
 #: Pieces that each of the two generations of a worker's cache holds, and the longest piece kept there.
 CACHE, LONGEST = 200_000, 64
-#: Bytes of text in a slice.
-SLICE = 16 << 20
 
 
 class Lengths:
@@ -92,16 +91,6 @@ class Lengths:
 _lengths: dict[str, Lengths] = {}
 
 
-def slices(texts: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
-    """``texts`` in order, in slices of about ``most`` bytes; a longer text is one by itself."""
-    size = np.cumsum(pc.binary_length(texts).to_numpy())
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
-        yield texts.slice(at, end - at)
-        at = end
-
-
 def frequent_lengths(docs: DataFrame, tokenizer: str, frequent: int, buckets: int = 64) -> dict[str, int]:
     """Token lengths of about the ``frequent`` most common pieces: a row a bucket comes back, whatever the corpus.
 

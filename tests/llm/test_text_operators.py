@@ -114,6 +114,34 @@ def test_near_duplicates_in_crowded_nodes(spark, monkeypatch):
     assert got == {i: lead[i] for i in range(150)}
 
 
+def test_word_arrays():
+    import pyarrow as pa
+    import xxhash
+
+    from coverwell.llm import word_arrays
+
+    some = [t or "" for t in texts(9, 30)]
+    for part in (pa.array(some), pa.array(["", *some]).slice(1), pa.array([""]), pa.array([], pa.string())):
+        for text, got in zip(part.to_pylist(), word_arrays.word_hashes(part), strict=True):
+            assert got.tolist() == [xxhash.xxh3_64_intdigest(w) for w in WORDS.findall(text)]
+            assert word_arrays.word_spans(text).tolist() == [list(m.span()) for m in WORDS.finditer(text)]
+    cut = list(word_arrays.slices(pa.array(some), 500))
+    assert [t for part in cut for t in part.to_pylist()] == some and len(cut) > 5
+
+
+def test_minimisers():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, span in ((200, 36), (60, 6), (40, 36), (39, 36), (3, 1), (50, 1)):
+        h = r.integers(0, 5, n).astype(np.uint64)
+        grams = [tuple(h[i : i + repeats.K]) for i in range(n - repeats.K + 1)]
+        at = set(repeats.minimisers(h, span).tolist())
+        assert all(at & set(range(i, i + span)) for i in range(len(grams) - span + 1))  # one in every span
+        picked = {grams[i] for i in at}
+        assert all(i in at for i in range(len(grams)) if span == 1) and len(picked) <= len(set(grams))
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(300, 300)]
