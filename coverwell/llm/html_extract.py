@@ -29,7 +29,7 @@ from coverwell.llm.common import ship_package
 from coverwell.llm.html_blocks import Block, blocks
 from coverwell.llm.page_maker import PageMaker
 
-TRAIN_PAGES, EPOCHS, BATCH, SEED = 600, 8, 20, 7
+TRAIN_PAGES, EPOCHS, BATCH, SEED = 1000, 6, 20, 7
 PATHS, WORDS, E, H, MEASURES = 8192, 2048, 24, 16, 7
 MARK = re.compile(r" q(\d+)q$")
 Params = dict[str, np.ndarray]

@@ -33,12 +33,19 @@ AROUND = [
 #: Parts that some sites put inside the article's own element.
 INSIDE = [x for x in AROUND if x[0] in ("aside", "form", "footer", "nav") or any(
     w in x[1] for w in ("ad", "promo", "related", "share", "comment", "newsletter", "subscribe", "notice", "tags"))]
+#: What readers' comments come in; the last ones say nothing.
+COMMENTS = [
+    'class="comments"', 'id="comments"', 'class="thread"', 'class="replies"', 'class="discussion"', 'class="responses"', 'id="disqus_thread"',
+    'class="talk"', 'class="conversation"', 'class="feedback"', 'class="forum"', 'class="reader-opinions"', "", "", "",
+]
 PLAIN = ["", "", "", 'class="wrapper"', 'class="container"', 'id="page"', 'class="row"', 'class="col"', 'class="inner"']
 SAID = {
     "links": "home about contact news sports business menu more next previous".split(),
     "form": "search subscribe email password login submit sign name".split(),
-    "short": "copyright rights reserved privacy terms sponsored advertisement".split(),
+    "short": "copyright © (c) 2024 rights reserved privacy terms sponsored advertisement".split(),
     "prose": "cookies accept consent reply posted subscribe offer buy comment said".split(),
+    "comments": "replies comments responses discussion opinions reactions".split(),
+    "comment": "reply replied wrote said says posted ago likes agree thanks".split(),
 }
 
 
@@ -56,6 +63,8 @@ class PageMaker:
         ws = [self.word() for _ in range(self.r.randint(low, high))]
         if kind in SAID and self.r.random() < 0.5:
             ws[self.r.randrange(len(ws))] = self.r.choice(SAID[kind])
+            if self.r.random() < 0.3:
+                ws[self.r.randrange(len(ws))] = self.r.choice(SAID[kind])
         ws[0] = ws[0].capitalize()
         return " ".join(ws) + self.r.choice(["", ".", ".", "!"])
 
@@ -89,6 +98,8 @@ class PageMaker:
             ws = text.split(" ")
             ws[0] = f'<a href="/x">{ws[0]}</a>'
             text = " ".join(ws)
+        if self.by_div and (keep or self.r.random() < 0.6):
+            return self.wrap("div", self.by_div.strip() if keep else "", text)
         if self.r.random() < 0.15:
             return f"<p><b>{text}<br>"  # left open, as pages often are
         return f"<p>{text}</p>" if self.r.random() < 0.9 else f"<p>{text}"
@@ -107,10 +118,42 @@ class PageMaker:
         many = [self.paragraph(False, 4, 60, kind) for _ in range(r.randint(1, 5))]
         return "".join(many) if r.random() < 0.7 else "".join(f"<li>{p}</li>" for p in many)
 
+    def comments(self) -> str:
+        """Readers' comments under names that may say nothing: a heading with a count, then who, when, what and a link to answer."""
+        r = self.r
+        tag = r.choice(["div", "div", "section", "ol", "ul"])
+        item = "li" if tag in ("ol", "ul") else r.choice(["div", "div", "article", "p"])
+        name = r.choice(["", self.unknown(), 'class="item"', 'class="reply"', 'class="post"'])
+        inner = ""
+        if r.random() < 0.8:
+            level = r.choice(["h2", "h3", "h4", "div", "p"])
+            inner = f"<{level}>{self.marked(f'{r.randint(1, 99)} ' + r.choice(SAID['comments']), False)}</{level}>"
+        for _ in range(r.randint(1, 6)):
+            parts = []
+            if r.random() < 0.7:
+                parts.append(self.marked(f"{self.word().capitalize()} {r.choice(['wrote:', 'says:', f'{r.randint(1, 23)} hours ago', f'{r.randint(1, 9)} days ago', 'said', '•'])}", False))
+            parts.append(self.marked(self.words(2, 40, "comment"), False))
+            if r.random() < 0.5:
+                parts.append(f'<a href="#">{self.marked(r.choice(["Reply", "Like Reply", "Report", "Quote"]), False)}</a>')
+            inner += self.wrap(item, name, "".join(f"<div>{x}</div>" if item != "p" else f"<p>{x}</p>" for x in parts) if r.random() < 0.7 else "<br>".join(parts[:1]))
+        return self.wrap(tag, self.dressed(r.choice([*COMMENTS, self.unknown()])), inner)
+
+    def last_line(self) -> str:
+        """A line of rights or terms in an element that says nothing."""
+        r = self.r
+        start = r.choice(["Copyright 2024", "Copyright", "© 2023", "(c)", "©"])
+        text = r.choice([f"{start} {self.words(1, 4)} All rights reserved.", f"{start} {self.words(1, 5)}", f"{self.words(1, 3)} All rights reserved", "Privacy policy · Terms of use"])
+        return self.wrap(r.choice(["div", "div", "p", "small"]), r.choice(["", "", self.unknown()]), self.marked(text, False))
+
+    def unknown(self) -> str:
+        """A class that no one has seen before."""
+        return f'class="{"".join(self.r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(self.r.randint(3, 8)))}"'
+
     def article(self) -> str:
         r, out = self.r, []
         if r.random() < 0.8:
-            head = f"<h1>{self.marked(self.words(3, 14), True)}</h1>"
+            level = "h1" if r.random() < 0.8 else r.choice(["h2", "div", 'div class="title"', 'div class="headline"'])
+            head = f"<{level}>{self.marked(self.words(3, 14), True)}</{level.split()[0]}>"
             out.append(f"<header>{head}</header>" if r.random() < 0.15 else head)
         for _ in range(r.randint(1, 14)):
             x = r.random()
@@ -133,9 +176,18 @@ class PageMaker:
         self.n, self.labels = 0, {}
         alphabet = r.choice(["abcdefghijklmnopqrstuvwxyz", "aeiouéèêàçnrstl", "äöüßaeiounrst", "абвгдежзиклмнопрст", "ابتثجحخدرزسش", "的一是不了人我在有他"])
         self.letters = ["".join(r.choice(alphabet) for _ in range(r.randint(1, 3))) for _ in range(40)]
+        #: The attribute of the divs that stand for paragraphs on this page, if any do.
+        self.by_div = r.choice([" ", " ", self.unknown(), 'class="par"', 'class="text"', 'class="paragraph"']) if r.random() < 0.3 else ""
         tag, attribute = r.choice(ARTICLE)
         draw = lambda most: [self.around(*x) for x in r.choices(AROUND, k=r.randint(0, most))]
-        inner = "".join([*draw(4), self.wrap(tag, self.dressed(attribute), self.article()), *draw(4)])
+        said, shape = self.article(), r.random()
+        if shape < 0.2:
+            body = said  # in no container of its own
+        elif shape < 0.35:
+            body = self.wrap("div", r.choice(["", self.unknown()]), said)
+        else:
+            body = self.wrap(tag, self.dressed(attribute), said)
+        inner = "".join([*draw(4), body, *([self.comments()] if r.random() < 0.35 else []), *draw(4 if r.random() < 0.8 else 0), *([self.last_line()] if r.random() < 0.15 else [])])
         for _ in range(r.randint(0, 3)):
             inner = self.wrap("div", r.choice(PLAIN), inner)
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body>{inner}</body></html>", self.labels
