@@ -334,7 +334,7 @@ def _grow(classes: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
 
 
 def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, s): the full sets of the classes in ``wanted``, from one row of each; 40 bits a shingle, in order."""
+    """(cid, s): the full sets of the classes in ``wanted``, from one row of each; 64 bits a shingle, in order, none twice."""
     one = staged(classes.select("cid", "row").join(wanted, "cid", "left_semi"), "wanted")
     one = one.select("cid", F.col("row.doc_id").alias("_id"), F.col("row._th").alias("_rh"))
     rows = row_key(docs).select("doc_id", "_th", "text")
@@ -343,15 +343,13 @@ def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) ->
 
     @F.pandas_udf("binary")
     def packed(low: pd.Series) -> pd.Series:
-        return pd.Series([(shingles(t, n) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in low])
+        return pd.Series([shingles(t, n).astype("<u8").tobytes() for t in low])
 
     return staged(texts.select("cid", packed(ascii_lower(F.col("text"))).alias("s")).dropDuplicates(["cid"]), "sets")
 
 
 def unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    return np.frombuffer(b, "<u8")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
