@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from coverwell.plans import registry
+from coverwell.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,12 +33,12 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    df = registry.QUERIES[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(repr(tuple(plain(x) for x in row)) for row in df.select(*columns).collect())
-    cursor = duck.execute(registry.ORACLES[name])
+    cursor = duck.execute(catalog.ORACLES[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
@@ -46,13 +46,13 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_other_queries_give_rows(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert set(registry.QUERIES) <= set(entry.queries())
+    assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
