@@ -136,6 +136,21 @@ def attach_merged(spark, sf_dir):
     return ingest.attach_merged(known, _into(spark, sf_dir), own).select("item_id", "outlet", "url")
 
 
+@query("""
+, own AS (SELECT item_id, outlet, 'u' || CAST(pos AS VARCHAR) || outlet AS url FROM instances),
+pairs AS (SELECT id AS drop_id, id - 3 AS keep_id FROM stories WHERE id % 30 IN (6, 7)),
+moved AS (SELECT keep_id AS item_id, drop_id, outlet, url FROM pairs JOIN own ON item_id = drop_id
+  UNION ALL SELECT keep_id, drop_id, source, 's' || CAST(user_id AS VARCHAR) FROM pairs JOIN stories ON id = drop_id WHERE drop_id NOT IN (SELECT item_id FROM own))
+SELECT item_id, outlet, url FROM own UNION ALL
+SELECT item_id, outlet, url FROM (SELECT *, row_number() OVER (PARTITION BY item_id, url ORDER BY drop_id, outlet) AS k FROM moved m
+  WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.item_id = m.item_id AND own.url = m.url)) WHERE k = 1""")
+def merge_duplicates(spark, sf_dir):
+    rows = S.stories(spark, sf_dir).withColumns({"is_relevant": F.lit(True), "url": F.concat(F.lit("s"), F.col("user_id").cast("string"))})
+    cov = S.coverage(spark, sf_dir).withColumn("url", F.concat(F.lit("u"), F.col("pos").cast("string"), F.col("outlet")))
+    pairs = rows.where("id % 30 in (6, 7)").select(F.col("id").alias("drop_id"), (F.col("id") - 3).alias("keep_id"))
+    return ingest.merge_duplicates(rows, cov, pairs)[1].select("item_id", "outlet", "url")
+
+
 @query("""
 , run AS (SELECT * FROM stories WHERE id % 3 = 0), base AS (SELECT * FROM stories WHERE id % 2 = 0 AND seen_at >= TIMESTAMP '2024-01-30' AND importance >= 2),
 d AS (SELECT * FROM base UNION ALL SELECT * FROM run WHERE id % 100 NOT IN (SELECT id % 100 FROM base))

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coverwell.sources.tables import ZONE
+
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,10 +23,10 @@ def events(spark: SparkSession, sf_dir: str, files_a_batch: int = 1) -> DataFram
 
 
 def daily_counts(stream: DataFrame, where: str) -> DataFrame:
-    """Events by day and type, through all data that there is; the watermark bounds the state."""
+    """Events by civil day and type, through all data that there is; the watermark, on the zone's clock, bounds the state."""
     day = F.window(F.col("at"), "1 day")
     counted = (
-        stream.withColumn("at", F.col("ts").cast("timestamp"))
+        stream.withColumn("at", F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.col("ts").cast("timestamp_ntz")).cast("timestamp"))
         .withWatermark("at", "48 hours")
         .groupBy(day.alias("w"), "event_type")
         .agg(F.count("*").alias("n"))
