@@ -23,7 +23,10 @@ def events(spark: SparkSession, sf_dir: str, files_a_batch: int = 1) -> DataFram
 
 
 def daily_counts(stream: DataFrame, where: str) -> DataFrame:
-    """Events by civil day and type, through all data that there is; the watermark, on the zone's clock, bounds the state."""
+    """Events by civil day and type, through all data that there is; the watermark, on the zone's clock, bounds the state.
+
+    The session's own zone has to be UTC, as windows of a day begin at midnight there.
+    """
     day = F.window(F.col("at"), "1 day")
     counted = (
         stream.withColumn("at", F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.col("ts").cast("timestamp_ntz")).cast("timestamp"))
