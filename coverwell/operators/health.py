@@ -97,3 +97,19 @@ def rollup(checks: DataFrame) -> DataFrame:
     """The worst state of all checks and how many are in each."""
     rank = F.coalesce(*[F.when(F.col("state") == s, F.lit(r)) for s, r in STATES.items()])
     return checks.agg(F.max_by("state", rank).alias("overall"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES])
+
+
+def ingest_volume(rows: DataFrame, now: datetime, hours: int = 24) -> DataFrame:
+    """Stories stored in the last ``hours``, and how many of them are relevant."""
+    age = hours_since(F.col("seen_at"), now)
+    return rows.where((age >= 0) & (age <= hours)).agg(F.count("*").alias("stored"), F.count_if("is_relevant").alias("relevant"))
+
+
+def month_projection(costs: DataFrame, now: datetime, cap: float) -> DataFrame:
+    """What this month cost so far and comes to at the same pace: critical at ``cap``, a warning if the projection passes it."""
+    at = F.lit(now).cast("timestamp_ntz")
+    month = costs.where((F.col("created_at") >= F.date_trunc("month", at)) & (F.col("created_at") <= at))
+    spent = month.agg(F.coalesce(F.round(F.sum("cost"), 6), F.lit(0.0)).alias("spent"), F.count("*").alias("calls"))
+    projected = F.col("spent") / F.greatest(F.lit(1), F.dayofmonth(at)) * F.dayofmonth(F.last_day(at))
+    state = F.when(F.col("calls") == 0, "unknown").when(F.col("spent") >= cap, "crit").when(projected > cap, "warn").otherwise("ok")
+    return spent.select("calls", "spent", F.round(projected, 4).alias("projected"), state.alias("state"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverwell.functions import text as T
-from coverwell.operators import board, dedupe, filters, ingest, trends
+from coverwell.operators import board, dedupe, filters, health, ingest, trends
 from coverwell.plans.registry import _CARRIED, _NORMAL, _TOKENS, ORACLES, _board_sql, query
 from coverwell.sources import tables as S
 from coverwell.sources.staging import staged
@@ -290,3 +290,19 @@ FROM part GROUP BY p_brand""", views=False)
 def channel_states(spark, sf_dir):
     state = F.when(F.col("p_size") == 50, "missing").when(F.col("p_size") > 45, "unknown").otherwise("ok")
     return board.channel_state(table(spark, sf_dir, "part").select(F.col("p_brand").alias("channel"), F.lit(True).alias("live"), state.alias("state")))
+
+
+@query("""SELECT count(*) AS stored, count(*) FILTER (id % 4 <> 0) AS relevant FROM stories
+WHERE seen_at BETWEEN TIMESTAMP '2024-01-30' AND TIMESTAMP '2024-01-31'""")
+def ingest_volume(spark, sf_dir):
+    return health.ingest_volume(_flagged(spark, sf_dir), NOW)
+
+
+@query("""
+WITH m AS (SELECT count(*) AS calls, coalesce(round(sum(value), 6), 0.0) AS spent FROM events
+  WHERE CAST(ts AS TIMESTAMP) BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-20')
+SELECT calls, spent, round(spent / 20 * 31, 4) AS projected,
+  CASE WHEN calls = 0 THEN 'unknown' WHEN spent >= 40000 THEN 'crit' WHEN spent / 20 * 31 > 40000 THEN 'warn' ELSE 'ok' END AS state FROM m""", views=False)
+def month_projection(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp_ntz").alias("created_at"), F.col("value").alias("cost"))
+    return health.month_projection(e, datetime(2024, 1, 20), 40_000.0)
