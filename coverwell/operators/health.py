@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rank of a state; the overall one is the highest.
@@ -40,13 +39,6 @@ def failure_streaks(outcomes: DataFrame) -> DataFrame:
     return jobs.join(since, "job", "left").join(ok, "job", "left").select("job", F.coalesce("streak", F.lit(0)).alias("streak"), "last_ok")
 
 
-def longest_streak(outcomes: DataFrame) -> DataFrame:
-    """The longest run of failures of each job, by gaps and islands."""
-    along = W.partitionBy("job").orderBy("started_at", "id")
-    islands = outcomes.withColumn("island", F.sum(F.col("ok").cast("long")).over(along)).where("not ok").groupBy("job", "island").count()
-    return islands.groupBy("job").agg(F.max("count").alias("longest"))
-
-
 def quota(log: DataFrame, now: datetime, day_cap: int, month_cap: int) -> DataFrame:
     """Distinct sends of the last 24 hours and 30 days against their caps; the worse ratio sets the state."""
     age = hours_since(F.col("created_at"), now)

@@ -1,6 +1,6 @@
 """All queries and their SQL: importing the modules of queries fills the registry."""
 
-from coverwell.plans import desk, registry
+from coverwell.plans import desk, registry, wires
 
-assert desk
+assert desk and wires
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES

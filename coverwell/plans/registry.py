@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverwell.functions import text as T
-from coverwell.operators import dedupe, filters, health, ledger, narratives, reports, surge, trends
+from coverwell.operators import dedupe, filters, health, ledger, narratives, reports, runs, surge, trends
 from coverwell.sources import feeds
 from coverwell.sources import tables as S
 from coverwell.sources.staging import staged
@@ -399,7 +399,7 @@ def failure_streak(spark, sf_dir):
 @query(_RUNS + """, i AS (SELECT *, sum(CAST(ok AS BIGINT)) OVER (PARTITION BY job ORDER BY started_at, id ROWS UNBOUNDED PRECEDING) AS island FROM runs),
 c AS (SELECT job, island, count(*) AS n FROM i WHERE NOT ok GROUP BY ALL) SELECT job, max(n) AS longest FROM c GROUP BY job""", views=False)
 def longest_streak(spark, sf_dir):
-    return health.longest_streak(_runs(spark, sf_dir))
+    return runs.longest_streak(_runs(spark, sf_dir))
 
 
 @query("""
