@@ -351,21 +351,6 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query()
-def byline_candidates(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", filters.byline_candidates(F.col("html")).alias("names"))
-    return found.select("page_id", F.array_join("names", "|").alias("names"))
-
-
-@query(r"""
-SELECT c_custkey, CASE WHEN c_name = '' THEN 'empty' WHEN contains(c_name, '@') THEN 'email' WHEN length(c_name) > 80 THEN 'too-long'
-  WHEN NOT regexp_matches(c_name, '^\p{L}[\p{L} .’''-]*$') OR len(string_split_regex(c_name, '\s+')) NOT BETWEEN 2 AND 4 THEN 'not-name-shaped' ELSE 'ok' END AS reason
-FROM (SELECT c_custkey, trim(c_name) AS c_name FROM customer)""", views=False)
-def byline_verdicts(spark, sf_dir):
-    verdict = filters.byline_verdict(F.col("c_name"), F.lit(None).cast("string"))
-    return table(spark, sf_dir, "customer").select("c_custkey", verdict["reason"].alias("reason"))
-
-
 def _runs(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("job"), F.col("ts").cast("timestamp_ntz").alias("started_at"), (F.col("event_id") % 9 != 0).alias("ok"))

@@ -1,4 +1,4 @@
-"""Queries of feed and mail text, of the run ledger and of the health ladders, with their SQL."""
+"""Queries of feed and mail text, of bylines, of the run ledger and of the health ladders, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from coverwell.functions import wires
-from coverwell.operators import runs
+from coverwell.operators import bylines, runs
 from coverwell.plans.registry import query
 from coverwell.sources import tables as S
 from coverwell.sources.tables import NOW, table
@@ -153,3 +153,42 @@ SELECT v.outcome, count(o.outcome) AS n FROM (VALUES ('filled'), ('unresolved'),
 def backfill_outcomes(spark, sf_dir):
     rows = S.stories(spark, sf_dir).withColumns({"fetchable": F.col("id") % 5 > 0, "fetched": F.col("id") % 2 == 0, "written": F.col("id") % 11 > 0})
     return runs.backfill_outcomes(rows)
+
+
+#: A credit for every rule, the page's headline being "Axis Marco speaks" and its outlet "The Outlet".
+CREDITS = [
+    ("By Rana Mamdouh", "ok", "Rana Mamdouh"), ("rana@site.example", "email", None), ("Staff Writer", "desk-word", None), ("Search here now", "ui-junk", None),
+    ('x" data-astro', "markup", None), ("one-two-three", "slug", None), ("Mona Friday", "dateline-word", None), ("Fintech Gate", "outlet-name", None),
+    ("The Outlet - Exclusive", "no-person-segment", None), ("R2 D2", "not-name-shaped", None), ("Fintech Gate: Riham Ali", "ok", "Riham Ali"),
+    ("Rana Mamdouh, Sara Seif", "ok", "Rana Mamdouh"), ("Axis Marco", "in-headline", None), ("  ", "empty", None), ("كتب محمد أحمد", "ok", "محمد أحمد"),
+]
+#: Pages that name their writer in one way each.
+PAGES = [
+    ('<script type="application/ld+json">{"@graph":[{"author":[{"name":"%s"},"Cee Dee"]}]}</script>', "json-ld"),
+    ('<meta content="%s" name="author"><p class="byline">By Cee Dee</p>', "meta"), ('<a class="x" href="/author/a">%s</a>', "byline"),
+    ("<p>Prices rise: Axis CEO %s , Thursday 6 Aug 2026</p>", "dateline"),
+]
+_text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+_list = lambda vs: f"[{', '.join(map(_text, vs))}]"
+
+
+@query(f"""SELECT c_custkey, {_list(c[1] for c in CREDITS)}[c_custkey % {len(CREDITS)} + 1] AS reason, {_list(c[2] for c in CREDITS)}[c_custkey % {len(CREDITS)} + 1] AS name
+FROM customer""", views=False)
+def byline_verdicts(spark, sf_dir):
+    raw = F.get(F.array(*[F.lit(c[0]) for c in CREDITS]), (F.col("c_custkey") % len(CREDITS)).cast("int"))
+    v = bylines.judge(raw, F.lit("The Outlet"), F.lit("Axis Marco speaks"))
+    return table(spark, sf_dir, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.reason", F.when(F.col("v.ok"), F.col("v.name")).alias("name"))
+
+
+@query(f"""SELECT c_custkey, {_list(p[1] for p in PAGES)}[c_custkey % {len(PAGES)} + 1] AS source, 'Ann ' || chr(CAST(65 + c_custkey % 26 AS INT)) || 'eel' AS name FROM customer""", views=False)
+def byline_trace(spark, sf_dir):
+    writer = F.concat(F.lit("Ann "), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.col("c_custkey") % 26 + 1).cast("int"), F.lit(1)), F.lit("eel"))
+    html = F.replace(F.get(F.array(*[F.lit(p[0]) for p in PAGES]), (F.col("c_custkey") % len(PAGES)).cast("int")), F.lit("%s"), writer)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", bylines.trace(html, F.lit("The Outlet"), F.lit(None).cast("string")).alias("t"))
+    return rows.select("c_custkey", F.get("t", F.lit(0))["source"].alias("source"), bylines.byline(F.col("t")).alias("name"))
+
+
+@query()
+def byline_candidates(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", bylines.candidates(F.col("html")).alias("c"))
+    return found.select("page_id", F.array_join(F.transform("c", lambda c: F.concat(c["source"], F.lit(":"), c["raw"])), "|").alias("names"))
