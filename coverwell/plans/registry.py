@@ -443,7 +443,10 @@ def author_backlog(spark, sf_dir):
     return health.author_backlog(S.stories(spark, sf_dir), NOW)
 
 
-@query()
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT state FROM ({ORACLES[name]})" for name in ("run_overdue", "quota", "relevance_baseline", "author_backlog")) + """)
+SELECT CASE WHEN count(*) FILTER (state = 'crit') > 0 THEN 'crit' WHEN count(*) FILTER (state = 'warn') > 0 THEN 'warn' WHEN count(*) FILTER (state = 'unknown') > 0 THEN 'unknown'
+  WHEN count(*) > 0 THEN 'ok' END AS overall, count(*) FILTER (state = 'ok') AS ok, count(*) FILTER (state = 'unknown') AS unknown, count(*) FILTER (state = 'warn') AS warn,
+  count(*) FILTER (state = 'crit') AS crit FROM s""", views=False)
 def health_rollup(spark, sf_dir):
     states = [f(spark, sf_dir).select("state") for f in (run_overdue, quota, relevance_baseline, author_backlog)]
     rows = states[0]
@@ -471,21 +474,63 @@ def _thread_stories(spark, sf_dir) -> DataFrame:
     brand = F.get(F.array(*map(F.lit, ALL_BRANDS)), (F.col("doc_id") % 5).cast("int"))
     return d.select(
         F.col("doc_id").alias("id"), brand.alias("brand"), F.concat(F.lit("cat"), (F.col("doc_id") % 3).cast("string")).alias("category"), "text",
-        F.when(F.col("doc_id") % 4 == 0, "negative").otherwise("neutral").alias("sentiment"), (F.col("doc_id") % 30).alias("idx"),
+        F.when(F.col("doc_id") % 4 == 0, "negative").when(F.col("doc_id") % 4 == 1, "positive").otherwise("neutral").alias("sentiment"),
+        (F.col("doc_id") % 30).alias("idx"), (1 + F.col("doc_id") % 7).alias("importance"), F.col("text").alias("headline"),
     )
 
 
-@query()
+def _listed(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_THREADS = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id AS id, (['home', 'rival_a', 'rival_b', 'rival_c', 'other'])[1 + doc_id % 5] AS brand, 'cat' || CAST(doc_id % 3 AS VARCHAR) AS category,
+  CASE doc_id % 4 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' ELSE 'neutral' END AS sentiment, doc_id % 30 AS idx, 1 + doc_id % 7 AS importance, text AS headline,
+  row_number() OVER (ORDER BY doc_id) AS rn,
+  [w for w in string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\x{{0600}}-\x{{06ff}} ]', ' ', 'g'), ' ') if length(w) >= 3 AND w NOT IN {_listed(narratives.STOP)}] AS ws FROM documents),
+t AS MATERIALIZED (SELECT DISTINCT rn, w, length(w) >= 4 AND NOT regexp_full_match(w, '[0-9\x{{0660}}-\x{{0669}}]+') AND w NOT IN {_listed(narratives.GENERIC)} AS strong FROM (SELECT rn, unnest(ws) AS w FROM d)),
+n AS (SELECT rn, count(*) AS n FROM t GROUP BY rn),
+p AS (SELECT x.rn AS a, y.rn AS b, count(*) AS both_, count(*) FILTER (x.strong) AS s FROM t x JOIN t y ON x.w = y.w AND x.rn < y.rn GROUP BY ALL),
+c AS (SELECT a, b, CAST(both_ AS DOUBLE) / (na.n + nb.n - both_) AS j, s, da.brand = db.brand AND da.category = db.category AS loose,
+  CASE WHEN db.category IN {_listed(narratives.CATCH_ALL)} THEN 3 ELSE 2 END + CASE WHEN da.category = db.category THEN 0 ELSE 1 END
+  + CASE WHEN da.brand <> db.brand AND da.brand <> 'other' AND db.brand <> 'other' THEN 2 ELSE 0 END AS need
+  FROM p JOIN d da ON da.rn = a JOIN d db ON db.rn = b JOIN n na ON na.rn = a JOIN n nb ON nb.rn = b),
+k AS (SELECT a, b, greatest(CASE WHEN loose AND j >= 0.22::DOUBLE THEN j ELSE -1 END, CASE WHEN s >= need THEN 0.2::DOUBLE + 0.02::DOUBLE * s ELSE -1 END) AS score FROM c),
+l AS MATERIALIZED (SELECT d.rn, d.id, f.earlier FROM d LEFT JOIN (SELECT b, list(a) AS earlier FROM (SELECT a, b FROM k WHERE score >= 0 QUALIFY score = max(score) OVER (PARTITION BY b)) GROUP BY b) f ON f.b = d.rn),
+r AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS th UNION ALL
+  SELECT l.rn, list_append(r.th, coalesce(list_min([r.th[x] for x in l.earlier]), l.id)) FROM r JOIN l ON l.rn = r.rn + 1),
+whole AS (SELECT arg_max(th, rn) AS th FROM r),
+m AS MATERIALIZED (SELECT d.*, whole.th[d.rn] AS thread FROM d, whole)"""
+
+
+@query(_THREADS + " SELECT id, thread FROM m", views=False)
 def narrative_threads(spark, sf_dir):
     rows = _thread_stories(spark, sf_dir)
     return narratives.threads(rows, narratives.thread_links(rows), staged)
 
 
-@query()
+@query(_THREADS + rf""",
+g AS (SELECT DISTINCT id, thread, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase, len([w for w in ws[i:i + n - 1] if w NOT IN {_listed(narratives.GENERIC)}]) > 0 AS telling
+  FROM (SELECT id, thread, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM m, (VALUES (2), (3), (4), (5)) AS v(n) WHERE len(ws) >= n)),
+f AS (SELECT thread, phrase, n, count(*) AS docs FROM g WHERE telling GROUP BY ALL HAVING count(*) >= 2),
+near AS (SELECT * FROM f QUALIFY docs >= max(docs) OVER (PARTITION BY thread) - 1),
+nm AS (SELECT thread, phrase FROM near QUALIFY row_number() OVER (PARTITION BY thread ORDER BY n DESC, docs DESC, phrase) = 1),
+br AS (SELECT thread, brand FROM m GROUP BY thread, brand QUALIFY row_number() OVER (PARTITION BY thread ORDER BY count(*) DESC, min(id)) = 1),
+ct AS (SELECT thread, category FROM m GROUP BY thread, category QUALIFY row_number() OVER (PARTITION BY thread ORDER BY count(*) DESC, min(id)) = 1),
+a AS (SELECT thread, count(*) AS total, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'neutral') AS neutral,
+  count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (idx >= 20) AS recent, count(*) FILTER (idx < 20) AS earlier,
+  list(id ORDER BY importance DESC, id) AS every, first(headline ORDER BY importance DESC, id) AS headline, list(idx) AS at_ FROM m GROUP BY thread HAVING count(*) >= 2),
+b AS (SELECT *, recent >= 2 AND recent / 10 > 1.5::DOUBLE * (earlier / 20) AS rising,
+  CASE WHEN earlier > 0 THEN least(99.0::DOUBLE, floor(10 * (recent / 10) / (earlier / 20) + 0.5::DOUBLE) / 10) END AS rising_score FROM a)
+SELECT b.thread, CASE WHEN br.brand = 'other' THEN '' ELSE br.brand || ' · ' END || coalesce(nm.phrase, array_to_string(regexp_split_to_array(trim(regexp_replace(
+    regexp_extract(headline, '(?s)^(.*?)(?:[:：.．…]|\s[-–—]\s|$)', 1), '["''«»“”]', '', 'g')), '\s+')[1:7], ' ')) AS name, br.brand, ct.category, total, negative, neutral, positive,
+  [CAST(len([x for x in at_ if x = day]) AS BIGINT) for day in range(30)] AS series, rising, rising_score, headline, every[1:100] AS ids, total AS ids_total
+FROM b JOIN br USING (thread) JOIN ct USING (thread) LEFT JOIN nm USING (thread)
+ORDER BY rising DESC, coalesce(rising_score, 0) DESC, total DESC, b.thread LIMIT 20""", views=False)
 def narrative_board(spark, sf_dir):
     rows = _thread_stories(spark, sf_dir)
     found = narratives.threads(rows, narratives.thread_links(rows), staged)
-    return narratives.thread_board(rows, found, 30)
+    return narratives.thread_board(rows, found, 30, stage=staged)
 
 
 @query("SELECT CAST(timezone('Africa/Cairo', timezone('UTC', CAST(ts AS TIMESTAMP))) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL", views=False)

@@ -104,13 +104,13 @@ def test_threads_equal_the_sequential_ones(spark):
 def test_best_thread_links_equal_all_pairs(spark):
     r = random.Random(5)
     words = ["alpha", "bravo", "delta", "echoes", "foxtrot", "golfing", "hotels", "indigo", "12345", "abc"]
-    rows = [(i, r.choice(["home", "rival_a", "other"]), r.choice(["cat0", "market", None]), " ".join(r.choices(words, k=r.randrange(0, 7)))) for i in range(90)]
+    rows = [(i, r.choice(["home", "rival_a", "other"]), r.choice(["cat0", "corporate", None]), " ".join(r.choices(words, k=r.randrange(0, 7)))) for i in range(90)]
     best = {}
     for b, brand_b, cat_b, text_b in rows:
         for a, brand_a, cat_a, text_a in rows[:b]:
             p, q, same = set(text_a.split()), set(text_b.split()), cat_a == cat_b and cat_a is not None
             shared, j = len({w for w in p & q if len(w) > 3 and not w.isdigit()}), len(p & q) / max(1, len(p | q))
-            need = (3 if cat_b == "market" else 2) + (not same) + 2 * ("other" not in (brand_a, brand_b) and brand_a != brand_b)
+            need = (3 if cat_b == "corporate" else 2) + (not same) + 2 * ("other" not in (brand_a, brand_b) and brand_a != brand_b)
             score = max(j if same and brand_a == brand_b and j >= 0.22 else 0, 0.2 + 0.02 * shared if shared >= need else 0)
             if score:
                 best.setdefault(b, []).append((score, a))
@@ -249,3 +249,23 @@ def test_upsert_keeps_what_is_not_given(spark):
     target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k long, v string, w string")
     got = ledger.upsert(target, spark.createDataFrame([(1, None), (3, "c")], "k long, v string"), "k").collect()
     assert sorted(map(tuple, got)) == [(1, "a", "x"), (2, "b", "y"), (3, "c", None)]
+
+
+def test_thread_board_names_and_lists_threads(spark):
+    head = ["Harbour ferry timetable changed", "New harbour ferry timetable: what changes", "harbour ferry fares", "Lone story - told once", "Lone again"]
+    rows = [
+        (1, "home", "a", "negative", 2, head[0], 0), (2, "home", None, "positive", 5, head[1], 8), (3, "other", "a", "neutral", None, head[2], 8),
+        (4, "other", "b", "neutral", 9, head[3], None), (5, "other", "c", "negative", 9, head[4], 40), (6, "home", "a", "negative", 1, None, 2),
+    ]
+    stories = spark.createDataFrame(rows, "id long, brand string, category string, sentiment string, importance int, headline string, idx int")
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)], "id long, thread long")
+    got = {x.thread: x for x in narratives.thread_board(stories, found, 9, most_ids=2).collect()}
+    assert set(got) == {1, 4}
+    a, b = got[1], got[4]
+    # three share "harbour ferry", two the longer phrase: one fewer is near enough, and the longer one wins
+    assert (a.name, a.brand, a.category, a.headline) == ("home · harbour ferry timetable", "home", "a", head[1])
+    assert (a.total, a.negative, a.neutral, a.positive, a.series, a.ids, a.ids_total) == (3, 1, 1, 1, [1, 0, 0, 0, 0, 0, 0, 0, 2], [2, 1], 3)
+    assert a.rising and a.rising_score == 4.0
+    # nothing shared: the clause of the leading story; stories off the axis are in no day
+    assert (b.name, b.category, sum(b.series), b.rising, b.rising_score) == ("Lone story", "b", 0, False, None)
+    assert narratives.thread_board(stories.limit(0), found, 9).count() == 0
