@@ -10,7 +10,9 @@ four statistics, quantiles come from mergeable summaries.
 
 Edge cases. A null text has no words and fails the hard rules. Null languages and sources
 are groups of their own. Groups under ``least`` rows that pass the hard rules use the
-estimate over all rows. A ridge keeps constant statistics from making the covariance
+estimate of their language over all its sources; where the language has too few as well, nothing is
+known of what is usual there and the hard rules alone decide (d2 is null): texts of another language never
+judge them. A ridge keeps constant statistics from making the covariance
 singular. Rows that repeat in id and text are judged alike. Empty tables give empty results; other
 columns are passed over.
 """
@@ -187,13 +189,13 @@ def judge(
     keyed = staged(vectors(keyed), "stats")
     rows = keyed.where(~F.col("base_failed")).select("g_lang", "g_source", *DIMS)
     by = ["g_lang", "g_source"]
-    own = concentrate(rows, by, support, steps, "mcd").where(F.col("n") >= least * support)
-    whole = concentrate(rows.withColumn("one", F.lit(1)), ["one"], support, steps, "mcd-all").drop("one", "n")
-    joined = join_small(keyed, own.drop("n"), by, "left", small(own))
-    d2 = distance()
-    if pooled := whole.first():  # one row of means and factors
-        joined = joined.withColumns({f"w_{k}": F.lit(v) for k, v in pooled.asDict().items()})
-        d2 = F.coalesce(d2, distance("w_"))
+    enough = F.col("n") >= least * support
+    own = concentrate(rows, by, support, steps, "mcd").where(enough).drop("n")
+    joined = join_small(keyed, own, by, "left", small(own))
+    wide = concentrate(rows, ["g_lang"], support, steps, "mcd-language").where(enough).drop("n")
+    wide = wide.select("g_lang", *[F.col(c).alias(f"w_{c}") for c in wide.columns if c != "g_lang"])
+    joined = join_small(joined, wide, ["g_lang"], "left", small(wide))
+    d2 = F.coalesce(distance(), distance("w_"))
     return joined.withColumn("d2", d2).select(
         *stats.columns, "d2", (~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_4_at(quantile), F.lit(True))).alias("kept")
     )

@@ -300,6 +300,39 @@ def test_quality_rejects_outliers_and_keeps_clean_texts(spark):
     assert {x.doc_id for x in got.where("kept").collect()} == set(range(150))
 
 
+def test_small_groups_are_judged_by_their_language_alone(spark):
+    r = random.Random(5)
+    text = lambda low, high: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(low, high))) for _ in range(60))
+    clean = [(i, text(2, 9), "en", f"s{i % 5}") for i in range(200)]
+    # 20 rows of a language whose words are long are clean; the same words in a small source of the first language are not
+    far = [(1000 + i, text(90, 110), "xx", "s0") for i in range(20)]
+    odd = [(2000 + i, text(90, 110), "en", "s0") for i in range(3)]
+    got = quality.quality(spark.createDataFrame(clean + far + odd, "doc_id long, text string, lang string, source string")).collect()
+    assert {x.doc_id for x in got if x.kept} == {d for d, *_ in clean + far}
+    assert all((x.d2 is None) == (x.lang == "xx") for x in got)
+
+
+def test_estimate_equals_concentration_steps_in_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    x = np.vstack([r.standard_normal((400, 4)) * [0.5, 1, 2, 1], r.standard_normal((60, 4)) + 12])
+    rows = spark.createDataFrame([(g, *map(float, v)) for g in (1, 2) for v in x * g], "g int, x0 double, x1 double, x2 double, x3 double")
+    got = {e.g: e for e in quality.concentrate(rows, ["g"], 0.75, 3, "test").collect()}
+    h = int(np.ceil(0.75 * len(x)))
+    for g in (1, 2):
+        y = x * g
+        mean, cov = np.sort(y, axis=0)[(len(y) + 1) // 2 - 1], np.eye(4)
+        for _ in range(3):
+            d2 = np.einsum("ij,jk,ik->i", y - mean, np.linalg.inv(cov), y - mean)
+            near = y[np.argsort(d2)[:h]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) * quality.consistency(0.75) + np.diag(np.array(quality.RIDGE) ** 2)
+        assert np.allclose([got[g][f"m{i}"] for i in range(4)], mean)
+        low = np.linalg.cholesky(cov)
+        assert np.allclose([got[g][f"l{i}{j}"] for i in range(4) for j in range(i + 1)], [low[i, j] for i in range(4) for j in range(i + 1)])
+        assert np.allclose(mean, 0, atol=0.5 * g)  # the 60 far rows do not pull it
+
+
 def test_distance_equals_the_inverse_covariance(spark):
     import numpy as np
 
