@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverwell.llm import decontaminate, html_extract, line_dedup, mixing, near_dup, perspectives, quality, repeats, secrets, token_counts
+from coverwell.llm import bpe, decontaminate, html_extract, line_dedup, mixing, near_dup, perspectives, quality, repeats, secrets, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -223,3 +223,15 @@ FROM g
 @query
 def op6_html_extraction(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_bpe_round_trip(spark, sf_dir):
+    import public_tokenizers
+
+    got = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return got.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
