@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverwell.llm import bpe, decontaminate, html_extract, line_dedup, mixing, near_dup, perspectives, quality, repeats, secrets, token_counts
+from coverwell.llm import bpe, decontaminate, divergence, html_extract, line_dedup, mixing, near_dup, perspectives, quality, repair, repeats
+from coverwell.llm import secrets, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -235,3 +236,127 @@ def op11_bpe_round_trip(spark, sf_dir):
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"), min_docs=30)
+
+
+ORACLES["op13_source_divergence"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents
+),
+w AS (SELECT n, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT n) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n, coalesce(any_value(v), 0) AS v FROM g LEFT JOIN c USING (lang, source) LEFT JOIN v USING (lang) GROUP BY ALL),
+p AS (
+  SELECT t.lang, t.source, k.term, coalesce(c, 0) AS c,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 5)) // (t.n + 5 * t.v) AS BIGINT) AS p
+  FROM total t JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)
+),
+q AS (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (sum(c) + 5)) // (any_value(n) + 5 * any_value(v)) AS BIGINT) AS q
+  FROM p JOIN (SELECT lang, sum(n) AS n, any_value(v) AS v FROM total GROUP BY lang) USING (lang) GROUP BY lang, term
+),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def _repair_sql() -> str:
+    add = lambda x, cost, letter: f"(lpad(CAST(CAST(substr({x}, 1, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({x}, 13) || '{letter}')"
+    blank = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    least = lambda *xs: f"least({', '.join(xs)})"
+    may, more = "fault < 2", "CASE WHEN fault = 1 THEN 5 ELSE 0 END"
+    when = lambda test, x: f"CASE WHEN {test} THEN {x} END"
+    to_u = "least(s0, s1, s3)"
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(0, 8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS v
+    FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS b)
+  )
+),
+keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+sums AS (
+  SELECT key, xor(4294967295, list_reduce([CAST(ascii(x) AS BIGINT) FOR x IN string_split(key, '')],
+    lambda c, x: xor(c // 256, t[CAST(xor(c % 256, x) AS INT) + 1]), CAST(4294967295 AS BIGINT))) % 20 AS d
+  FROM (SELECT DISTINCT key FROM keyed), bits
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM keyed JOIN sums USING (key), range(2) AS copy(k) WHERE d <> 0 AND (k = 0 OR d = 3)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, trim(text, {blank}) AS cut FROM damaged
+),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS sign, CASE WHEN cut = '' THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+),
+counted AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 3) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 1) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || sign NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id
+),
+steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '000000000005I' AS s2, '000000000010II' AS s3 FROM counted
+  UNION ALL
+  SELECT conv_id, i, s0, s1, least(s2, {add("least(s0, s1, s3)", 5, "I")}), least(s3, {add("s2", 5, "I")}, {add(add("least(s0, s1)", 5, "I"), 5, "I")})
+  FROM (
+    SELECT j.conv_id, j.i, {add("s0", 2, "D")} AS s0,
+      {least(add("s1", 2, "D"), when(f"{may} AND sign = 's'", add("s0", more, "K")))} AS s1,
+      {least(add("s2", 2, "D"), when(f"{may} AND sign = 'u'", add(to_u, more, "K")), when(may, add(to_u, f"1 + {more}", "R")))} AS s2,
+      {least(add("s3", 2, "D"), when(f"{may} AND sign = 'a'", add("s2", more, "K")), when(may, add("s2", f"1 + {more}", "R")))} AS s3
+    FROM steps JOIN judged j ON j.conv_id IS NOT DISTINCT FROM steps.conv_id AND j.i = steps.i + 1
+  )
+),
+best AS (
+  SELECT c.*, CAST(substr(least(s0, s3), 1, 12) AS BIGINT) AS cost, substr(least(s0, s3), 13) AS audit
+  FROM counted c JOIN steps ON c.conv_id IS NOT DISTINCT FROM steps.conv_id AND c.n = steps.i
+),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS nth FROM best WHERE audit <> ''),
+walked AS (
+  SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS place
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY nth)
+),
+said AS (
+  SELECT w.*, role, text, coalesce(max(CASE WHEN place = 1 AND letter = 'K' AND sign = 's' THEN 1 END) OVER (PARTITION BY w.conv_id), 0) AS system
+  FROM walked w LEFT JOIN judged j ON w.letter <> 'I' AND w.conv_id IS NOT DISTINCT FROM j.conv_id AND w.i = j.i
+),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY nth) AS text
+  FROM said WHERE letter <> 'D' GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN best b ON e.conv_id IS NOT DISTINCT FROM b.conv_id
+  LEFT JOIN lines l ON e.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
+
+
+ORACLES["op12_conversation_repair"] = _repair_sql()
