@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverwell.sources.tables import ZONE
+from coverwell.streaming.keyed import KeyedTable
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,18 +46,23 @@ def daily_counts(stream: DataFrame, where: str) -> DataFrame:
     return last
 
 
-def merge_by_key(stream: DataFrame, key: str, order: str, where: str) -> DataFrame:
-    """One row a key over all batches: the first in ``order``, and how many rows it stands for. Duplicates merge, none is dropped unseen."""
+def merge_by_key(stream: DataFrame, key: str, order: str, where: str, buckets: int = 64) -> DataFrame:
+    """One row a key over all batches: the first in ``order``, and how many rows it stands for. Duplicates merge, none is dropped unseen.
+
+    A batch rewrites only the buckets of its keys, and a batch that is repeated changes nothing.
+    """
+    spark, rest = stream.sparkSession, [c for c in stream.columns if c != key]
+    kinds = dict(stream.dtypes)
+    kept = "struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in rest) + ">"
+    table = KeyedTable(spark, f"{where}/state", [key], f"`{key}` {kinds[key]}, r {kept}, first {kinds[order]}, n long", buckets)
+
+    def add(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy(key).agg(F.min_by("r", "first").alias("r"), F.min("first").alias("first"), F.sum("n").alias("n"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(key).agg(F.min_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("r"), F.min(order).alias("first"), F.count("*").alias("n"))
-        if batch_id:
-            old = spark.read.parquet(f"{where}/state/{batch_id - 1}")
-            new = old.unionByName(new).groupBy(key).agg(F.min_by("r", "first").alias("r"), F.min("first").alias("first"), F.sum("n").alias("n"))
-        new.write.mode("overwrite").parquet(f"{where}/state/{batch_id}")  # a batch that is repeated writes the same
-
-    query = stream.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
-    query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress), default=0)
-    return stream.sparkSession.read.parquet(f"{where}/state/{last}").select(key, "r.*", "n")
+        new = batch.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r"), F.min(order).alias("first"), F.count("*").alias("n")).persist()
+        table.merge(new, batch_id, add)
+        new.unpersist()
+
+    stream.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return table.read().select(key, "r.*", "n")
