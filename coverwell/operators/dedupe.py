@@ -42,6 +42,64 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, condition: Co
     return with_b.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= least)
 
 
+def set_key(toks: Column) -> Column:
+    """The same for equal sets of tokens, whatever their order; null for the empty set, which is like no other."""
+    return F.when(F.size(toks) > 0, F.sha2(F.to_binary(F.to_json(F.struct(F.sort_array(toks).alias("t"))), F.lit("utf-8")), 256))
+
+
+def classes(rows: DataFrame, by: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the same tokens and ``by`` as classes: (the first row of each in ``order``, (id, first) for every row).
+
+    Copies of a text then meet others once, by their first, and never each other.
+    """
+    keyed = rows.withColumn("_set", F.coalesce(set_key(F.col("toks")), F.col("id").cast("string")))
+    first = first_wins(keyed, F.struct("_set", *by), [F.col(order)])
+    same = [F.col("_set") == F.col("_s"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]]
+    members = keyed.join(first.select(F.col("id").alias("first"), F.col("_set").alias("_s"), *[F.col(c).alias(f"_{c}") for c in by]), same)
+    return first.drop("_set"), members.select("id", "first")
+
+
+def _band_prefixes(rows: DataFrame, field: str, least: float, slot_us: int) -> DataFrame:
+    """(id, us, slot, t, size) for the tokens of ``field`` by which a row must meet all that are similar to it, rarest first."""
+    words = rows.select("id", "us", F.size(field).alias("size"), F.explode(field).alias("t"))
+    freq = words.groupBy("t").agg(F.count("*").alias("n"))
+    ranked = words.join(freq, "t").groupBy("id", "us", "size").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("ts"))
+    take = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1
+    slot = F.floor(F.col("us") / slot_us)
+    return ranked.select("id", "us", "size", slot.alias("slot"), F.explode(F.slice("ts", F.lit(1), take)).alias("x")).select("id", "us", "size", "slot", "x.t")
+
+
+def banded_pairs(rows: DataFrame, least: float = 0.4, window_days: int = 5, most: int | None = 120) -> DataFrame:
+    """(keep, drop, score, head_score, summ_score, band): pairs within ``window_days`` whose headlines or summaries are alike.
+
+    ``rows`` have (id, at, head, summ), two token sets; the score is the better one. A row without a time counts as of
+    1970. Words meet only within a slot of time and the next one, a slot being as long as the window, so a word that all
+    texts share joins rows of two slots and not of all years. The earlier row is kept, of equals the one of the least id.
+    """
+    window = window_days * 86_400_000_000
+    timed = rows.withColumn("us", F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(0)))
+    met = None
+    for field in ("head", "summ"):
+        prefixes = _band_prefixes(timed, field, least, window)
+        a = prefixes.select(F.col("id").alias("a"), F.col("us").alias("ua"), F.col("size").alias("na"), F.col("slot").alias("sa"), "slot", "t")
+        later = prefixes.select(F.col("id").alias("b"), F.col("us").alias("ub"), F.col("size").alias("nb"), F.col("slot").alias("sb"), F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"), "t")
+        near = (F.abs(F.col("ua") - F.col("ub")) <= window) & ((F.col("sa") < F.col("sb")) | (F.col("a") < F.col("b")))
+        sizes = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
+        found = a.join(later, ["slot", "t"]).where(near & sizes).select("a", "b")
+        met = found if met is None else met.unionByName(found)
+    side = lambda n: timed.select(F.col("id").alias(n), F.col("us").alias(f"u{n}"), F.col("head").alias(f"h{n}"), F.col("summ").alias(f"s{n}"))
+    both = met.distinct().join(side("a"), "a").join(side("b"), "b")
+    head, summ = jaccard(F.col("ha"), F.col("hb")), jaccard(F.col("sa"), F.col("sb"))
+    got = both.select("a", "b", "ua", "ub", head.alias("head"), summ.alias("summ")).withColumn("best", F.greatest("head", "summ")).where(F.col("best") >= least)
+    first = (F.col("ua") < F.col("ub")) | ((F.col("ua") == F.col("ub")) & (F.col("a") < F.col("b")))
+    out = got.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("drop"),
+        half_up(F.col("best"), 2).alias("score"), half_up(F.col("head"), 2).alias("head_score"), half_up(F.col("summ"), 2).alias("summ_score"),
+        F.when((F.col("head") >= 0.55) | (F.col("summ") >= 0.5), "lexical").otherwise("semantic").alias("band"),
+    )
+    return out if most is None else out.orderBy(F.desc("score"), "keep", "drop").limit(most)
+
+
 def duplicate_pairs(rows: DataFrame, least: float = 0.5, window_days: int = 5, most: int | None = 120) -> DataFrame:
     """(keep, drop, score): pairs near in time and wording; the earlier is kept, the lower id on a tie."""
     pairs = similar_pairs(rows, rows, least, F.col("a") < F.col("b"))
@@ -59,14 +117,16 @@ def duplicate_pairs(rows: DataFrame, least: float = 0.5, window_days: int = 5, m
 
 def crossrun_match(new: DataFrame, pool: DataFrame, least: float = 0.55) -> DataFrame:
     """(id, match): for new rows, the first row of the pool, by position, that is similar in the same block; null if none."""
-    pairs = similar_pairs(new, pool, least)
+    mine, members = classes(new, ["block"], "id")
+    theirs, _ = classes(pool, ["block"], "pos")
+    pairs = similar_pairs(mine, theirs, least)
     block = lambda df, n: df.select(F.col("id").alias(n), F.col("block").alias(f"block_{n}"))
-    met = pairs.join(block(new, "a"), "a").join(pool.select(F.col("id").alias("b"), F.col("block").alias("block_b"), "pos"), "b")
+    met = pairs.join(block(mine, "a"), "a").join(theirs.select(F.col("id").alias("b"), F.col("block").alias("block_b"), "pos"), "b")
     best = met.where(F.col("block_a") == F.col("block_b")).groupBy("a").agg(F.min_by("b", "pos").alias("match"))
-    return new.select("id").join(best.withColumnRenamed("a", "id"), "id", "left")
+    return members.join(best.withColumnRenamed("a", "first"), "first", "left").select("id", "match")
 
 
-def _meeting(new: DataFrame, pool: DataFrame, column: str, need) -> DataFrame:
+def _meeting(new: DataFrame, pool: DataFrame, column: str, need, seen: Column | None = None) -> DataFrame:
     """(a, b): a superset of the pairs sharing ``need`` words of ``column`` or more, ``need`` being a function of a set's size.
 
     Words are taken rarest first. The rarest shared one has all the others after it, so on
@@ -81,15 +141,17 @@ def _meeting(new: DataFrame, pool: DataFrame, column: str, need) -> DataFrame:
         take = F.size("ts") - need(F.size("ts")) + 1
         return sorted_.select(name, F.explode(F.slice("ts", F.lit(1), F.greatest(take, F.lit(0)))).alias("x")).select(name, "x.t")
 
-    return prefixes(new, "a").join(prefixes(pool, "b"), "t").select("a", "b").distinct()
+    met = prefixes(new, "a").join(prefixes(pool, "b"), "t")
+    return (met if seen is None else met.where(seen)).select("a", "b").distinct()
 
 
-def gated_candidates(new: DataFrame, pool: DataFrame, low: float = 0.12, high: float = 0.5, most: int | None = 40) -> DataFrame:
+def gated_candidates(new: DataFrame, pool: DataFrame, low: float = 0.12, high: float = 0.5, most: int | None = 40, seen: Column | None = None) -> DataFrame:
     """(id, match, score): each new row's best pool row by token, entity or phrase overlap, if it passes the gate.
 
     Rows have id, toks, strong and pairs; only pool rows sharing a word are met. The earliest of
     equals wins. Two shared entities or phrases pass and beat all that have less; so pairs with
     one, which may be best and fail, matter only to rows that have no pair of two but one of ``low``.
+    ``seen`` on the ids a (new) and b (pool) says which pool rows a new row sees.
     """
     side = lambda df, n: df.select(F.col("id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("toks", "strong", "pairs")])
     common = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b"))
@@ -104,24 +166,48 @@ def gated_candidates(new: DataFrame, pool: DataFrame, low: float = 0.12, high: f
 
     several, one = lambda n: F.lit(2), lambda n: F.lit(1)
     two = (F.col("shared") >= 2) | (F.col("phrases") >= 2)
-    sure = best(scored(_meeting(new, pool, "strong", several).unionByName(_meeting(new, pool, "pairs", several)).distinct()).where(two))
-    like = scored(_meeting(new, pool, "toks", lambda n: F.ceil(n * low - 1e-9).cast("int"))).where(F.col("j") >= low)
+    sure = best(scored(_meeting(new, pool, "strong", several, seen).unionByName(_meeting(new, pool, "pairs", several, seen)).distinct()).where(two))
+    like = scored(_meeting(new, pool, "toks", lambda n: F.ceil(n * low - 1e-9).cast("int"), seen)).where(F.col("j") >= low)
     like = like.join(sure.select("a"), "a", "left_anti")
     open_ = new.join(like.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    single = scored(_meeting(open_, pool, "strong", one).unionByName(_meeting(open_, pool, "pairs", one)).distinct()).where("score > 0")
+    single = scored(_meeting(open_, pool, "strong", one, seen).unionByName(_meeting(open_, pool, "pairs", one, seen)).distinct()).where("score > 0")
     passed = sure.unionByName(best(like.unionByName(single)).where(two | (F.col("j") >= low)))
     out = passed.select(F.col("a").alias("id"), F.col("b").alias("match"), F.round("score", 6).alias("score"))
     return out if most is None else out.orderBy(F.desc("score"), "id").limit(most)
 
 
+#: Stored rows stand before all rows of a run.
+_STORED = 1 << 60
+
+
+def gated_in_run(new: DataFrame, stored: DataFrame, low: float = 0.12, high: float = 0.5, most: int | None = 40) -> DataFrame:
+    """(id, match, run_match, score): ``gated_candidates`` where a row sees the stored pool and the earlier rows of its own run.
+
+    Rows have ``pos``, their place from 0 in the run or the pool. The best match is a stored story (``match``) or a row of the run
+    (``run_match``), which has no story to merge into yet; of equals the stored ones come first, then by place.
+    """
+    kept = ["toks", "strong", "pairs"]
+    own = new.select(F.col("pos").alias("id"), *kept)
+    pool = stored.select((F.col("pos") - F.lit(_STORED)).alias("id"), *kept).unionByName(own)
+    found = gated_candidates(own, pool, low, high, None, F.col("b") < F.col("a"))
+    mine = new.select(F.col("pos").alias("_a"), F.col("id").alias("_id"))
+    found = found.join(mine, F.col("id") == F.col("_a")).select(F.col("_id").alias("id"), F.col("match").alias("_b"), "score")
+    found = found.join(stored.select((F.col("pos") - F.lit(_STORED)).alias("_b"), F.col("id").alias("match")), "_b", "left")
+    found = found.join(new.select(F.col("pos").alias("_b"), F.col("id").alias("run_match")), "_b", "left").select("id", "match", "run_match", "score")
+    return found if most is None else found.orderBy(F.desc("score"), "id").limit(most)
+
+
 def leader_clusters(rows: DataFrame, least: float = 0.55, blocked: bool = True, stage=None) -> DataFrame:
     """(id, leader): greedy clusters in arrival order. A row joins the first leader of its block that is similar.
 
-    A row is a leader if and only if no earlier leader is similar. Rounds over the sparse
+    A copy of an earlier row has the same neighbours, so it goes where that one goes: only the first of equal token sets takes
+    part, and copies add no links. A row is a leader if and only if no earlier leader is similar. Rounds over the sparse
     links decide all rows whose earlier neighbours are decided: a row with none left open
     and no leader among them leads; a row whose first open or leading neighbour leads joins it.
     """
     stage = stage or (lambda df: df.checkpoint())
+    first, members = classes(rows, ["block"] if blocked else [], "id")
+    rows, members = stage(first), stage(members)
     links = similar_pairs(rows, rows, least, F.col("a") < F.col("b")).select("a", "b")
     if blocked:
         block = rows.select("id", "block")
@@ -138,7 +224,7 @@ def leader_clusters(rows: DataFrame, least: float = 0.55, blocked: bool = True,
         decided = F.when(F.col("lead").isNotNull() & (F.col("open").isNull() | (F.col("lead") < F.col("open"))), F.col("lead")).when(F.col("open").isNull() & F.col("lead").isNull(), F.col("id"))
         state = stage(joined.select("id", F.coalesce("leader", decided).alias("leader")))
         if state.where("leader is null").isEmpty():
-            return state
+            return members.join(state.withColumnRenamed("id", "first"), "first").select("id", "leader")
 
 
 def merge_instances(keep: DataFrame, drop: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverwell.operators.dedupe import first_wins, similar_pairs
+from coverwell.operators.dedupe import classes, first_wins, similar_pairs
 from coverwell.operators.filters import digest
 
 
@@ -71,8 +71,11 @@ def crossrun_exact(new: DataFrame, stored: DataFrame) -> DataFrame:
 def crossrun_summary(new: DataFrame, pool: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, into_id): the stored story with the same summary hash, else the first similar one by ``pos``; null if none."""
     exact = pool.where(F.col("summary_hash").isNotNull()).groupBy("summary_hash").agg(F.min("id").alias("by_hash"))
-    met = similar_pairs(new.select("id", "toks"), pool.select("id", "toks"), least).join(pool.select(F.col("id").alias("b"), "pos"), "b")
-    like = met.groupBy(F.col("a").alias("id")).agg(F.min_by("b", "pos").alias("by_words"))
+    mine, members = classes(new.select("id", "toks"), [], "id")  # copies meet others once
+    theirs, _ = classes(pool.select("id", "toks", "pos"), [], "pos")
+    met = similar_pairs(mine, theirs.select("id", "toks"), least).join(theirs.select(F.col("id").alias("b"), "pos"), "b")
+    like = met.groupBy(F.col("a").alias("first")).agg(F.min_by("b", "pos").alias("by_words"))
+    like = members.join(like, "first").select("id", "by_words")
     out = new.select("id", "summary_hash").join(exact, "summary_hash", "left").join(like, "id", "left")
     return out.select("id", F.coalesce("by_hash", "by_words").alias("into_id"))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coverwell.plans.registry import query
-from coverwell.sources.tables import table
+from coverwell.functions import text as T
+from coverwell.operators import dedupe
+from coverwell.plans.registry import _GATE_SQL, _GATE_WORDS, _PHRASE_SQL, _TOKENS, _gate_rows, query
+from coverwell.sources.tables import NOW, table
 from coverwell.streaming import state, stream
 
 
@@ -68,3 +70,47 @@ def stream_late_rows(spark, sf_dir):
     parted = []
     state.replay(rows, "slice", where, lambda s: parted.append(state.split_late(s, where, "published_at", 48)))
     return parted[-1].select("id", "published_at", "slice", "branch")
+
+
+def _band_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    at = F.when(F.col("doc_id") % 97 != 0, F.lit(NOW).cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("doc_id") * 2).cast("int")))
+    line = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    return d.select(F.col("doc_id").alias("id"), at.alias("at"), T.tokens(line).alias("head"), T.tokens(F.col("text")).alias("summ"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id AS id, CASE WHEN doc_id % 97 <> 0 THEN TIMESTAMP '2024-01-31' + to_hours(CAST(doc_id * 2 AS INTEGER)) ELSE TIMESTAMP '1970-01-01' END AS "at",
+  string_split(coalesce(text, ''), chr(10))[1] AS line, text AS whole FROM documents),
+d AS (SELECT id, "at", head, summ FROM (SELECT id, "at", whole, {_TOKENS} AS head FROM (SELECT *, line AS text FROM l)) JOIN
+  (SELECT id, {_TOKENS} AS summ FROM (SELECT id, whole AS text FROM l)) USING (id)),
+p AS (SELECT a.id AS x, b.id AS y, a."at" AS ax, b."at" AS ay, len(list_intersect(a.head, b.head)) AS h, len(a.head) + len(b.head) AS hs,
+  len(list_intersect(a.summ, b.summ)) AS s, len(a.summ) + len(b.summ) AS ss
+  FROM d a JOIN d b ON a.id < b.id AND b."at" BETWEEN a."at" - INTERVAL 5 DAY AND a."at" + INTERVAL 5 DAY),
+q AS (SELECT *, CASE WHEN h = 0 THEN 0 ELSE h / (hs - h) END AS head, CASE WHEN s = 0 THEN 0 ELSE s / (ss - s) END AS summ FROM p)
+SELECT CASE WHEN ax <= ay THEN x ELSE y END AS keep, CASE WHEN ax <= ay THEN y ELSE x END AS drop, floor(greatest(head, summ) * 100 + 0.5) / 100 AS score,
+  floor(head * 100 + 0.5) / 100 AS head_score, floor(summ * 100 + 0.5) / 100 AS summ_score, CASE WHEN head >= 0.55 OR summ >= 0.5 THEN 'lexical' ELSE 'semantic' END AS band
+FROM q WHERE greatest(head, summ) >= 0.4""", views=False)
+def banded_duplicates(spark, sf_dir):
+    """Documents as stories two hours apart, first lines as headlines; a few are undated."""
+    return dedupe.banded_pairs(_band_rows(spark, sf_dir), 0.4, most=None)
+
+
+@query(rf"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, doc_id - 4611686018427387904 AS pos, {_GATE_WORDS} AS ws FROM documents
+  UNION ALL SELECT 'b', item_id, item_id, {_GATE_WORDS} FROM benchmark),
+t AS (SELECT side, id, pos, list_distinct(list_filter(ws, lambda x: length(x) > 2 AND NOT list_contains({_GATE_SQL}, x))) AS toks,
+  list_filter(ws, lambda x: length(x) > 2 AND NOT list_contains({_PHRASE_SQL}, x)) AS pw FROM w),
+r AS (SELECT side, id, pos, toks, list_filter(toks, lambda x: length(x) >= 5) AS strong,
+  list_distinct([pw[i] || ' ' || pw[i + 1] FOR i IN range(1, len(pw))]) AS pairs FROM t),
+p AS (SELECT a.id, b.side, b.id AS other, b.pos, len(list_intersect(a.toks, b.toks)) AS n, len(a.toks) AS la, len(b.toks) AS lb,
+  len(list_intersect(a.strong, b.strong)) AS shared, len(list_intersect(a.pairs, b.pairs)) AS phrases FROM r a JOIN r b ON a.side = 'b' AND b.pos < a.pos),
+q AS (SELECT *, CASE WHEN la = 0 OR lb = 0 THEN 0 ELSE n / (la + lb - n) END AS j FROM p),
+s AS (SELECT *, greatest(j, shared / 3.0, phrases / 3.0) AS score FROM q WHERE j < 0.5 AND n > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS k FROM s WHERE score > 0)
+SELECT id, CASE WHEN side = 'd' THEN other END AS match, CASE WHEN side = 'b' THEN other END AS run_match, round(score, 6) AS score
+FROM best WHERE k = 1 AND (j >= 0.12 OR shared >= 2 OR phrases >= 2)""", views=False)
+def semantic_run_candidates(spark, sf_dir):
+    """Benchmark items as the stories of a run: each sees the stored documents and the items before it."""
+    new = _gate_rows(spark, sf_dir, "benchmark", "item_id").withColumn("pos", F.col("id"))
+    return dedupe.gated_in_run(new, _gate_rows(spark, sf_dir, "documents", "doc_id").withColumn("pos", F.col("id")), most=None)
