@@ -41,7 +41,7 @@ from coverwell.llm.word_arrays import slices
 CACHE, LONGEST, CHUNK = 200_000, 64, 1 << 19
 #: Missing pieces that go through the library in one call, and words merged together.
 AT_ONCE, TOGETHER = 8192, 4096
-NONE = 1 << 62
+NONE = (1 << 31) - 1
 #: Stands between pieces in such a call; a piece that holds it goes by itself.
 MARK = "\ue000"
 WHITE = re.compile(r"[\x20\x09-\x0D]")
@@ -111,8 +111,8 @@ def merge_many(symbols: np.ndarray, pairs: "PairTable") -> np.ndarray:
     ``symbols`` has a power of two of columns, filled up with -1; so does the result, with -1 between its ids.
     """
     m, base = symbols.shape
-    ids = symbols.astype(np.int64).ravel()
-    least = np.full((m, 2 * base), NONE, np.int64)
+    ids = symbols.astype(np.int32).ravel()
+    least = np.full((m, 2 * base), NONE, np.int32)
     least[:, base : 2 * base - 1] = pairs.ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(m, base - 1)
     for level in range(base.bit_length() - 2, -1, -1):
         k = 1 << level
@@ -126,7 +126,7 @@ def merge_many(symbols: np.ndarray, pairs: "PairTable") -> np.ndarray:
         root = least[tree + 1]
         for _ in range(base.bit_length() - 1):
             node *= 2
-            node += least[tree + node] != root
+            node += least.take(tree + node) != root
         at = node - base
         right = after[word + at]
         new = pairs.made[root]
@@ -145,8 +145,9 @@ def merge_many(symbols: np.ndarray, pairs: "PairTable") -> np.ndarray:
         least[tree + base + at] = pairs.ranks(new, nearest)
         tree3, node = np.concatenate([tree] * 3), np.concatenate([at, right, prior]) + base
         for _ in range(base.bit_length() - 1):
-            node //= 2
-            least[tree3 + node] = np.minimum(least[tree3 + 2 * node], least[tree3 + 2 * node + 1])
+            node >>= 1
+            child = tree3 + 2 * node
+            least[tree3 + node] = np.minimum(least.take(child), least.take(child + 1))
     return ids.reshape(m, base)
 
 
@@ -155,9 +156,9 @@ class PairTable:
 
     def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
         order = sorted((a << 32 | b, rank) for (a, b), (rank, _) in pairs.items())
-        self.keys = np.array([k for k, _ in order] + [NONE], np.int64)
-        self.rank = np.array([r for _, r in order] + [NONE], np.int64)
-        self.made = np.zeros(1 + max((r for r, _ in pairs.values()), default=0), np.int64)
+        self.keys = np.array([k for k, _ in order] + [1 << 62], np.int64)
+        self.rank = np.array([r for _, r in order] + [NONE], np.int32)
+        self.made = np.zeros(1 + max((r for r, _ in pairs.values()), default=0), np.int32)
         for rank, made in pairs.values():
             self.made[rank] = made
 
@@ -168,6 +169,25 @@ class PairTable:
         return np.where((self.keys[found] == key) & (a >= 0) & (b >= 0), self.rank[found], NONE)
 
 
+def _ascii_pattern(spec: dict):
+    """The pattern whose matches in a piece of printable ASCII in lower case are its pre-tokens, or None.
+
+    So it is where the normaliser only composes characters, lowers them and deals with white space, and the pre-tokeniser keeps
+    the matches of one pattern and writes bytes as signs, which leaves printable ASCII as it is.
+    """
+    import regex
+
+    parts = lambda x, key: (x or {}).get(key) or [x or {}]
+    normal = [n.get("type") for n in parts(spec.get("normalizer"), "normalizers") if (n.get("pattern") or {}).get("Regex") != r"\s+"]
+    cut = parts(spec.get("pre_tokenizer"), "pretokenizers")
+    if normal not in (["NFC", "Lowercase"], ["Lowercase"]) or [c.get("type") for c in cut] != ["Split", "ByteLevel"]:
+        return None
+    split, signs = cut
+    if split["behavior"] != "Removed" or not split["invert"] or "Regex" not in split["pattern"] or signs["add_prefix_space"] or signs["use_regex"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
 class Bpe:
     """A BPE vocabulary in the JSON format of the tokenizers library."""
 
@@ -192,6 +212,7 @@ class Bpe:
         library = Tokenizer.from_str(tokenizer)
         self.normal = library.normalizer.normalize_str if library.normalizer else str
         self.cut = library.pre_tokenizer.pre_tokenize_str if library.pre_tokenizer else lambda s: [(s, None)]
+        self.quick = _ascii_pattern(spec)
         self.whole = decoder is None
         by_id = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.tokens = pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.large_string())
@@ -208,7 +229,20 @@ class Bpe:
             raise ValueError("this vocabulary has tokens that hold white space")
 
     def pre_tokens(self, pieces: list[str]) -> list[list[str]]:
-        """The pre-tokens of each plain piece; many go through the library in one call unless one of them holds ``MARK``."""
+        """The pre-tokens of each plain piece; those of printable ASCII take the vocabulary's own pattern where it has but that."""
+        if self.quick is None:
+            return self.cut_many(pieces)
+        find = self.quick.findall
+        out = [find(p.lower()) if p.isascii() and p.isprintable() else None for p in pieces]
+        others = [i for i, words in enumerate(out) if words is None]
+        for i, words in zip(others, self.cut_many([pieces[i] for i in others])):
+            out[i] = words
+        return out
+
+    def cut_many(self, pieces: list[str]) -> list[list[str]]:
+        """The pre-tokens of each piece by the library; many go through it in one call unless one of them holds ``MARK``."""
+        if not pieces:
+            return []
         joined = f" {MARK} ".join(pieces)
         if joined.count(MARK) != len(pieces) - 1:
             return [[w for w, _ in self.cut(self.normal(p))] for p in pieces]
@@ -257,7 +291,7 @@ class Bpe:
 
     def ids_of(self, pieces: list[str]) -> list[list[int]]:
         """The ids of plain pieces, which hold no special token's string."""
-        cut = self.pre_tokens(pieces) if pieces else []
+        cut = self.pre_tokens(pieces)
         known = self.words
         if missing := {w for ws in cut for w in ws if w not in known}:
             merged = self.merge_words(list(missing))
