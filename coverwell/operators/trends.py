@@ -67,7 +67,7 @@ def carried(stories: DataFrame, coverage: DataFrame) -> DataFrame:
     )
 
 
-def _board(rows: DataFrame, key: Column, shown: str, home: str, most: int) -> DataFrame:
+def _board(rows: DataFrame, key: Column, shown: str, home: str, most: int | None) -> DataFrame:
     """Counts each story once per key, its first row in order of coverage; names keep the casing seen first."""
     keyed = rows.withColumn("key", key).where(F.col("key") != "")
     once = keyed.groupBy("key", "id").agg(
@@ -80,14 +80,14 @@ def _board(rows: DataFrame, key: Column, shown: str, home: str, most: int) -> Da
         count_if(neg & (F.col("r.brand") == home)).alias("home_negative"),
     )
     order = [F.desc("home_negative"), F.desc("negative"), F.desc("mentions"), F.asc("key")]
-    return board.orderBy(*order).limit(most)
+    return board if most is None else board.orderBy(*order).limit(most)
 
 
-def outlet_leaderboard(rows: DataFrame, home: str, most: int = 300) -> DataFrame:
+def outlet_leaderboard(rows: DataFrame, home: str, most: int | None = 300) -> DataFrame:
     return _board(rows, F.lower(F.trim("outlet")), "outlet", home, most)
 
 
-def author_leaderboard(rows: DataFrame, home: str, most: int = 300) -> DataFrame:
+def author_leaderboard(rows: DataFrame, home: str, most: int | None = 300) -> DataFrame:
     """Authors, with the first three outlets that each was seen in."""
     named = rows.where(F.col("byline").isNotNull() & ~F.trim("byline").isin("", "—")).withColumn("author", F.col("byline"))
     board = _board(named, F.lower(F.trim("byline")), "author", home, most)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coverwell.functions import text as T
-from coverwell.operators import dedupe
+from coverwell.operators import contracts, dedupe, paging, trends
+from coverwell.plans import registry
 from coverwell.plans.registry import _GATE_SQL, _GATE_WORDS, _PHRASE_SQL, _TOKENS, _gate_rows, query
+from coverwell.sources import tables as S
+from coverwell.sources.staging import staged
 from coverwell.sources.tables import NOW, table
 from coverwell.streaming import state, stream
 
@@ -114,3 +118,135 @@ def semantic_run_candidates(spark, sf_dir):
     """Benchmark items as the stories of a run: each sees the stored documents and the items before it."""
     new = _gate_rows(spark, sf_dir, "benchmark", "item_id").withColumn("pos", F.col("id"))
     return dedupe.gated_in_run(new, _gate_rows(spark, sf_dir, "documents", "doc_id").withColumn("pos", F.col("id")), most=None)
+
+
+def _provider(items: list[dict], ask: int) -> list[dict]:
+    """Answers from the labels that the items carry: fails on some, skips some at first, and some however often it is asked."""
+    if any(x["id"] % 31 == 0 for x in items):
+        raise ValueError("no JSON in the answer")
+    open_ = [(i, x) for i, x in enumerate(items) if x["quality"] == x["quality"] and x["quality"] is not None]
+    told = [(i, x) for i, x in open_ if (x["id"] % 7 or ask >= 1) and x["id"] % 13]
+    return [{"i": i, "is_relevant": x["quality"] == 1, "category": "toxic" if x["toxic"] == 1 else "clean"} for i, x in reversed(told)]
+
+
+def _labelled(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("seen_at"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    return d.join(labels, "id", "left")
+
+
+_ANSWERED = "d.doc_id % 31 <> 0 AND d.doc_id % 13 <> 0 AND l.quality IS NOT NULL"
+
+
+@query(f"""
+SELECT d.doc_id AS id, CASE WHEN {_ANSWERED} THEN quality = 1 END AS is_relevant, CASE WHEN {_ANSWERED} THEN CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END END AS category,
+  {_ANSWERED} AS resolved FROM documents d LEFT JOIN labels l USING (doc_id)""", views=False)
+def classified(spark, sf_dir):
+    """Documents in batches of 25 through a provider that fails, skips and forgets; labels are its verdicts."""
+    told = contracts.classify(_labelled(spark, sf_dir).select("id", "quality", "toxic"), _by_value(_provider), "is_relevant boolean, category string")
+    return told.select("id", "is_relevant", "category", "resolved")
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {_ANSWERED} AS done, quality = 1 AS good, row_number() OVER (ORDER BY doc_id) AS n FROM documents d LEFT JOIN labels l USING (doc_id)
+  WHERE TIMESTAMP '2024-01-31' - to_minutes(CAST(doc_id AS INTEGER)) >= TIMESTAMP '2024-01-29')
+SELECT count(*) FILTER (n <= 50) AS found, count(*) FILTER (n <= 50 AND done) AS resolved, count(*) FILTER (n <= 50 AND done AND good) AS kept,
+  count(*) FILTER (n <= 50 AND NOT done) AS still_parked, count(*) - count(*) FILTER (n <= 50 AND done) AS remaining FROM p""", views=False)
+def rescreen_report(spark, sf_dir):
+    """The newest 50 parked documents of two days, asked for again; 50 is what one call may take."""
+    return contracts.rescreen(_labelled(spark, sf_dir), _by_value(_provider), "is_relevant boolean, category string", NOW)[1]
+
+
+def _by_value(f):
+    """A copy of ``f`` that travels to the workers with its code, so they need no module of ours."""
+    import types
+
+    return types.FunctionType(f.__code__, {"__builtins__": __builtins__}, f.__name__)
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance, c_custkey % 6 = 0 AS team_share,
+  CASE WHEN c_custkey % 6 = 0 THEN TIMESTAMP '2024-01-01' END AS team_share_at FROM customer),
+p AS (SELECT o_custkey AS key,
+    arg_max({'v': nullif(trim(CASE WHEN o_orderkey % 2 = 0 THEN '  ' ELSE ' N' || o_orderkey END), '')}, o_orderkey) FILTER (o_orderkey % 3 = 0) AS name,
+    arg_max({'v': o_orderpriority}, o_orderkey) FILTER (o_orderkey % 5 = 0) AS segment,
+    arg_max({'v': CASE o_orderkey % 12 WHEN 0 THEN true WHEN 4 THEN false END, 't': CASE WHEN o_orderkey % 12 = 0 THEN CAST(o_orderdate AS TIMESTAMP) END}, o_orderkey) FILTER (o_orderkey % 4 = 0) AS pin
+  FROM orders GROUP BY 1)
+SELECT c.key, CASE WHEN p.name IS NULL THEN c.name ELSE p.name.v END AS name, CASE WHEN p.segment IS NULL THEN c.segment ELSE p.segment.v END AS segment, balance,
+  CASE WHEN p.pin IS NULL THEN c.team_share ELSE p.pin.v END AS team_share, CASE WHEN p.pin IS NULL THEN c.team_share_at ELSE p.pin.t END AS team_share_at
+FROM c LEFT JOIN p USING (key)""", views=False)
+def patched_fields(spark, sf_dir):
+    """Customers after the patches that orders stand for: names set or cleared, segments, pins with their stamps."""
+    k = F.col("o_orderkey")
+    c = table(spark, sf_dir, "customer")
+    target = c.select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"),
+        (F.col("c_custkey") % 6 == 0).alias("team_share"), F.when(F.col("c_custkey") % 6 == 0, F.lit("2024-01-01").cast("timestamp_ntz")).alias("team_share_at"),
+    )
+    name = F.when(k % 2 == 0, "  ").otherwise(F.concat(F.lit(" N"), k.cast("string")))
+    log = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("key"), k.alias("seq"), F.col("o_orderdate").cast("timestamp_ntz").alias("_at"),
+        contracts.given(contracts.text_or_null(name), k % 3 == 0).alias("name"), contracts.given(F.col("o_orderpriority"), k % 5 == 0).alias("segment"),
+        contracts.given(F.when(k % 12 == 0, True).when(k % 12 == 4, False), k % 4 == 0).alias("team_share"),
+    )
+    return contracts.patched(target, contracts.pin_patch(log, "_at").drop("_at"), "key", "seq")
+
+
+_WINDOWS = {"day": (24, 100), "month": (720, 2100)}
+
+
+@query("""
+WITH e AS (SELECT event_id AS id, event_type AS sender, CAST(ts AS TIMESTAMP) AS ts, event_id // 200 AS page FROM events),
+pg AS (SELECT sender, page, min(ts) AS oldest FROM e GROUP BY ALL),
+pn AS (SELECT *, coalesce(lead(oldest) OVER (PARTITION BY sender ORDER BY page), TIMESTAMP '2024-01-31') AS newest FROM pg),
+kept AS (SELECT sender, page, epoch_us(oldest) AS lo, epoch_us(newest) AS hi FROM pn WHERE (page * 7 + length(sender)) % 23 <> 5 OR sender = 'view'),
+o AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY sender ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM kept),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY sender ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM o),
+s AS (SELECT sender, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY sender, island),
+b AS (SELECT sender, CASE WHEN lo <= first THEN 0 ELSE lo END AS lo FROM s JOIN (SELECT sender, min(lo) FILTER (page = 0) AS first FROM kept GROUP BY 1) USING (sender)
+  WHERE hi = epoch_us(TIMESTAMP '2024-01-31')),
+w(win, hours, cap) AS (VALUES ('day', 24, 100), ('month', 720, 2100)),
+n AS (SELECT sender, win, hours, cap, count(DISTINCT id) FILTER (dated AND age BETWEEN 0 AND hours * 3600000000) AS n, count(DISTINCT id) FILTER (NOT dated) AS undated
+  FROM (SELECT *, NOT (sender = 'signup' AND id % 1000 < 3) AS dated, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts) AS age FROM e), w GROUP BY ALL),
+c AS (SELECT n.*, undated = 0 AND coalesce(lo <= epoch_us(TIMESTAMP '2024-01-31') - hours * 3600000000, false) AS complete FROM n LEFT JOIN b USING (sender))
+SELECT sender, win AS "window", n, undated, complete,
+  CASE WHEN n / cap >= 0.95 THEN 'crit' WHEN n / cap >= 0.8 THEN 'warn' WHEN NOT complete THEN 'unknown' ELSE 'ok' END AS state FROM c""", views=False)
+def log_coverage(spark, sf_dir):
+    """Each sender's sends of a day and a month, with whether the pages read of its log cover them."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("sender"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.floor(F.col("event_id") / 200).alias("page"))
+    pages = e.groupBy("sender", "page").agg(F.min("ts").alias("oldest")).withColumn("ended", F.col("page") == 0)
+    newest = F.coalesce(F.lead("oldest").over(W.partitionBy("sender").orderBy("page")), F.lit(NOW).cast("timestamp_ntz"))  # a row for each page
+    pages = pages.withColumn("newest", newest).where(((F.col("page") * 7 + F.length("sender")) % 23 != 5) | (F.col("sender") == "view"))
+    dated = ~((F.col("sender") == "signup") & (F.col("id") % 1000 < 3))
+    log = e.select("id", "sender", F.when(dated, F.col("ts")).alias("created_at"))
+    return contracts.window_coverage(pages, log, "sender", NOW, _WINDOWS)
+
+
+@query("""
+WITH r AS (SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS a, CAST(ts AS TIMESTAMP) + to_minutes(CAST(user_id % 45 AS INTEGER)) AS b FROM events WHERE user_id % 45 > 0)
+SELECT x.id, count(y.id) - 1 AS overlaps FROM r x JOIN r y ON y.a < x.b AND y.b > x.a GROUP BY x.id""", views=False)
+def overlapping_runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    at = F.col("ts").cast("timestamp_ntz")
+    return contracts.overlaps(e.select(F.col("event_id").alias("id"), at.alias("started_at"), (at + F.make_dt_interval(mins=(F.col("user_id") % 45).cast("int"))).alias("ended_at")))
+
+
+@query("""
+WITH p AS (SELECT event_id, row_number() OVER (ORDER BY CAST(ts AS TIMESTAMP) DESC, event_id) - 1 AS place FROM events)
+SELECT event_id, place, place // 1000 + 1 AS page FROM p""", views=False)
+def export_pages(spark, sf_dir):
+    """All events, newest first, with the page of 1,000 that each is on: nothing ends at a ceiling."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return paging.paged(rows, [F.col("ts").desc(), F.col("event_id").asc()], 1000, staged).select("event_id", "place", "page")
+
+
+@query(registry._CARRIED + registry._board_sql("byline", "author", "byline IS NOT NULL AND trim(byline) NOT IN ('', '—')").replace("LIMIT 300", "") + """
+, p AS (SELECT *, row_number() OVER (ORDER BY home_negative DESC, negative DESC, mentions DESC, key) - 1 AS place FROM board)
+SELECT place // 15 + 1 AS page, count(*) AS n, arg_min(key, place) AS first, arg_max(key, place) AS last, max(max(place // 15 + 1)) OVER () AS pages,
+  CAST(min(place) + 1 AS VARCHAR) || '–' || CAST(max(place) + 1 AS VARCHAR) || ' of ' || CAST(sum(count(*)) OVER () AS VARCHAR) AS label FROM p GROUP BY place // 15""")
+def author_pages(spark, sf_dir):
+    """The author board in pages of 15: first and last name of each, and what its pager says."""
+    board = trends.author_leaderboard(trends.carried(S.stories(spark, sf_dir), S.coverage(spark, sf_dir)), S.HOME, None)
+    pages = staged(paging.paged(board, [F.desc("home_negative"), F.desc("negative"), F.desc("mentions"), F.asc("key")], 15, staged))
+    index = paging.page_index(pages, ["key"]).join(paging.counter(pages, 15), "page")
+    return index.select("page", "n", F.col("first.key").alias("first"), F.col("last.key").alias("last"), "pages", "label")
