@@ -105,6 +105,10 @@ def merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) ->
     return [i for i in ids if i >= 0]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 def merge_many(symbols: np.ndarray, pairs: "PairTable") -> np.ndarray:
     """``merge`` of every row at once: the rows' trees are the rows of one array, and each step walks all of them.
 
@@ -217,9 +221,9 @@ class Bpe:
         by_id = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.tokens = pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.large_string())
         self.most = most
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.new: dict[str, bytes] = {}  # ids by piece, packed: a list of numbers takes several times the memory
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def check(self) -> None:
         """Refuses a vocabulary in which white space or our mark changes the words beside it, as texts are cut there."""
@@ -261,27 +265,29 @@ class Bpe:
         found = [vocab.get(c + self.end if i == last else c, -1) for i, c in enumerate(word)]
         return [i for i in found if i >= 0] if -1 in found else found
 
-    def merge_words(self, words: list[str]) -> dict[str, list[int]]:
+    def merge_words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each distinct pre-token; words of like length are merged together, long ones by themselves."""
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         alike: dict[int, list[tuple[str, list[int]]]] = {}
         for w in words:
             signs = self.symbols(w)
             if len(signs) < 2 or len(signs) > LONGEST:
-                out[w] = merge(signs, self.pairs)
+                out[w] = _packed(merge(signs, self.pairs))
             else:
                 alike.setdefault((len(signs) - 1).bit_length(), []).append((w, signs))
         for bits, found in alike.items():
             for at in range(0, len(found), TOGETHER):
                 some = found[at : at + TOGETHER]
-                rows = np.array([s + [-1] * ((1 << bits) - len(s)) for _, s in some], np.int64)
+                rows = np.full((len(some), 1 << bits), -1, np.int32)
+                sizes = np.array([len(s) for _, s in some])
+                rows[np.arange(1 << bits) < sizes[:, None]] = [i for _, s in some for i in s]
                 merged = merge_many(rows, self.table)
                 kept = merged >= 0
-                ends, flat = np.cumsum(kept.sum(1)).tolist(), merged[kept].tolist()
+                ends, flat = (4 * np.cumsum(kept.sum(1))).tolist(), merged[kept].tobytes()
                 out.update((w, flat[a:b]) for (w, _), a, b in zip(some, [0, *ends], ends))
         return out
 
-    def _cached(self, pieces: list[str]) -> list[list[int] | None]:
+    def _cached(self, pieces: list[str]) -> list[bytes | None]:
         """What the caches hold; the newer generation becomes the older one when it is full."""
         found = [self.new.get(p) for p in pieces]
         for i, ids in enumerate(found):
@@ -289,7 +295,7 @@ class Bpe:
                 found[i] = self.new[pieces[i]] = ids
         return found
 
-    def ids_of(self, pieces: list[str]) -> list[list[int]]:
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
         """The ids of plain pieces, which hold no special token's string."""
         cut = self.pre_tokens(pieces)
         known = self.words
@@ -299,10 +305,10 @@ class Bpe:
                 known = {w: known[w] for ws in cut for w in ws if w in known}
             known.update(merged)
             self.words = {w: i for w, i in known.items() if len(w) <= LONGEST} if any(len(w) > LONGEST for w in merged) else known
-        return [known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]] for ws in cut]
+        return [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in cut]
 
-    def of(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of distinct texts or parts of texts."""
+    def of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct texts or parts of texts, as the bytes of 32-bit numbers."""
         found = self._cached(pieces)
         for at in range(0, len(missing := [i for i, ids in enumerate(found) if ids is None]), AT_ONCE):
             some = missing[at : at + AT_ONCE]
@@ -310,7 +316,7 @@ class Bpe:
             if self.marks and self.marks.search(" ".join(texts)):
                 cut = [self.marks.split(t) for t in texts]  # specials stand at odd places
                 each = iter(self.ids_of([part for parts in cut for part in parts[::2]]))
-                ids = [[i for k, part in enumerate(parts) for i in ([self.special[part]] if k % 2 else next(each))] for parts in cut]
+                ids = [b"".join([_packed([self.special[part]]) if k % 2 else next(each) for k, part in enumerate(parts)]) for parts in cut]
             else:
                 ids = self.ids_of(texts)
             for i, text, n in zip(some, texts, ids):
@@ -330,8 +336,8 @@ class Bpe:
         for at in range(0, len(flat), CHUNK):
             pieces = flat.slice(at, CHUNK).dictionary_encode()
             found = self.of(pieces.dictionary.to_pylist())
-            length = np.array([len(f) for f in found], np.int64)
-            joined = np.array([i for f in found for i in f], np.int32)
+            length = np.array([len(f) // 4 for f in found], np.int64)
+            joined = np.frombuffer(b"".join(found), np.int32)
             index = pieces.indices.to_numpy()
             n = length[index]
             counts[at + 1 : at + 1 + len(n)] = n

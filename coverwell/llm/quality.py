@@ -1,19 +1,24 @@
 """Quality rules: hard rules, then robust multivariate outliers.
 
 Per language and source, the minimum covariance determinant is estimated by concentration
-steps: start from medians, keep the nearest ``support`` share of rows, take their mean and
-covariance, measure again. Rows far away by Mahalanobis distance are rejected. Statistics
-are transformed first, so that clean texts lie close to a normal cloud.
+steps: keep the nearest ``support`` share of rows, take their mean and covariance, measure
+again, until no determinant falls any more. Steps start from the medians with two scales, one unit and
+one from the quartiles; of the two ends the one of lesser determinant counts. Rows far away by Mahalanobis
+distance are rejected. Statistics are transformed first, so that clean texts lie close to a normal cloud.
+
+A group of n rows says n / (n + ``prior``) of its own estimate, its language the rest, and likewise the
+language and a stated wide ``PRIOR`` of what texts look like. The spread between the two means adds to
+the covariance by w * w * (1 - w), w being the group's weight: a group of several rows that agree is evidence
+of a way of writing, one or two rows are not. So small groups lean on what is known around them, large
+ones on themselves, and nothing jumps at any size.
 
 Everything is column arithmetic: moments are sums, the Cholesky factor is unrolled over the
 four statistics, quantiles come from mergeable summaries.
 
 Edge cases. A null text has no words and fails the hard rules. Null languages and sources
-are groups of their own. Groups under ``least`` rows that pass the hard rules use the
-estimate of their language over all its sources; where the language has too few as well, nothing is
-known of what is usual there and the hard rules alone decide (d2 is null): texts of another language never
-judge them. A ridge keeps constant statistics from making the covariance
-singular. Rows that repeat in id and text are judged alike. Empty tables give empty results; other
+are groups of their own. Texts of another language never judge a text. A ridge keeps constant
+statistics from making the covariance singular. d2 is null only where a group has no row that passes
+the hard rules. Rows that repeat in id and text are judged alike. Empty tables give empty results; other
 columns are passed over.
 """
 
@@ -29,6 +34,9 @@ DIMS = ("x0", "x1", "x2", "x3")
 P = len(DIMS)
 #: Least standard deviation of each: what lies within a few of these is never an outlier.
 RIDGE = (0.1, 0.1, 0.15, 0.1)
+#: Mean and standard deviation of each in texts of whatever language: words of 5.5 letters, give or take a factor of e (scripts
+#: without spaces lie within a few of these), hardly a symbol, few repeats.
+PRIOR = ((1.7, 1.0), (0.1, 0.25), (0.15, 0.25), (0.15, 0.25))
 
 
 def _repeated(ws: Column, n: int = 5) -> Column:
@@ -125,14 +133,22 @@ def distance(prefix: str = "") -> Column:
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
-def moments(rows: DataFrame, by: list[str], scale: Column | float = 1.0) -> DataFrame:
-    """Mean and factored covariance of x0.. by ``by``: sums only, so they combine on the map side."""
-    sums = [F.count("*").alias("n")] + [F.avg(x).alias(f"a{i}") for i, x in enumerate(DIMS)]
-    sums += [F.covar_pop(DIMS[i], DIMS[j]).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
-    got = rows.groupBy(*by).agg(*sums)
-    ridge = lambda i, j: F.lit(RIDGE[i] ** 2 if i == j else 0.0)
-    cov = {(i, j): F.col(f"c{i}{j}") * scale + ridge(i, j) for i in range(P) for j in range(i + 1)}
-    return got.select(*by, "n", *_factor([F.col(f"a{i}") for i in range(P)], cov))
+def sums(rows: DataFrame, by: list[str], scale: float = 1.0) -> DataFrame:
+    """n, means a0.. and covariances c00, c10, .. (times ``scale``) of x0.. by ``by``: sums only, so they combine on the map side."""
+    means = [F.avg(x).alias(f"a{i}") for i, x in enumerate(DIMS)]
+    covs = [(F.covar_pop(DIMS[i], DIMS[j]) * scale).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *means, *covs)
+
+
+def factored(found: DataFrame, kept: list[str]) -> DataFrame:
+    """``kept`` columns of ``sums`` with the mean and the factor of the covariance plus the ridge."""
+    cov = {(i, j): F.col(f"c{i}{j}") + F.lit(RIDGE[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)}
+    return found.select(*kept, *_factor([F.col(f"a{i}") for i in range(P)], cov))
+
+
+def moments(rows: DataFrame, by: list[str], scale: float = 1.0) -> DataFrame:
+    """Mean and factored covariance of x0.. by ``by``."""
+    return factored(sums(rows, by, scale), [*by, "n"])
 
 
 def chi2_4(x: float) -> float:
@@ -158,26 +174,58 @@ def consistency(support: float) -> float:
     return support / (1 - exp(-x / 2) * (1 + x / 2 + x * x / 8))
 
 
-def concentrate(rows: DataFrame, by: list[str], support: float, steps: int, name: str) -> DataFrame:
-    """The estimate of each group after ``steps`` concentration steps, one row a group."""
-    centre = rows.groupBy(*by).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(DIMS)])
-    start = [F.lit(1.0 if i == j else 0.0).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)]
-    estimate = staged(centre.select(*by, *[f"m{i}" for i in range(P)], *start), name)
+def concentrate(rows: DataFrame, by: list[str], support: float, steps: int, name: str, tolerance: float = 1e-3) -> DataFrame:
+    """``sums`` of the nearest ``support`` share of each group where its determinant is least, one row a group.
+
+    At most ``steps`` steps from two starts; they end when no group's log determinant falls by more than ``tolerance``.
+    """
+    quantile = lambda x, q: F.percentile_approx(x, q, 1000)
+    centre = rows.groupBy(*by).agg(
+        *[quantile(x, 0.5).alias(f"m{i}") for i, x in enumerate(DIMS)],
+        *[((quantile(x, 0.75) - quantile(x, 0.25)) / 1.349).alias(f"s{i}") for i, x in enumerate(DIMS)],
+    )
+    scale = lambda i: F.when(F.col("start") == 0, 1.0).otherwise(F.greatest(F.col(f"s{i}"), F.lit(RIDGE[i])))
+    begin = [(scale(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)]
+    starts = F.explode(F.array(F.lit(0), F.lit(1))).alias("start")
+    key = [*by, "start"]
+    estimate = staged(centre.select("*", starts).select(*key, *[f"m{i}" for i in range(P)], *begin), name)
     known_small = small(estimate)
+    rows = rows.select(*by, *DIMS)
+    log_det = sum((2 * F.log(f"l{i}{i}") for i in range(1, P)), 2 * F.log("l00"))
+    before = None
     for _ in range(steps):
-        measured = join_small(rows, estimate, by, "inner", known_small).select(*by, *DIMS, distance().alias("d2"))
-        within = measured.groupBy(*by).agg(F.percentile_approx("d2", support, 1000).alias("most"))
-        near = join_small(measured, within, by, "inner", known_small).where(F.col("d2") <= F.col("most"))
-        estimate = staged(moments(near, by, consistency(support)), name)
-    return estimate
+        measured = join_small(rows, estimate, by, "inner", known_small).select(*key, *DIMS, distance().alias("d2"))
+        within = measured.groupBy(*key).agg(F.percentile_approx("d2", support, 1000).alias("most"))
+        near = join_small(measured, within, key, "inner", known_small).where(F.col("d2") <= F.col("most"))
+        found = sums(near, key, consistency(support))
+        held = [*key, "n", *[f"a{i}" for i in range(P)], *[f"c{i}{j}" for i in range(P) for j in range(i + 1)]]
+        estimate = staged(factored(found, held).withColumn("det", log_det), name)
+        if before is not None:
+            fell = join_small(estimate.select(*key, "det"), before, key, "inner", known_small).agg(F.max(F.col("_det") - F.col("det"))).first()[0]
+            if fell is None or fell <= tolerance:
+                break
+        before = estimate.select(*key, F.col("det").alias("_det"))
+    best = estimate.groupBy(*by).agg(F.min_by(F.struct(*held[len(key) :]), F.struct("det", "start")).alias("r"))
+    return best.select(*by, "r.*")
+
+
+def shrunk(own: list[Column], base: list[Column], n: Column, prior: float) -> list[Column]:
+    """Means and covariances (a0.., c00, c10, ..) of ``own`` with weight n / (n + prior) and ``base`` with the rest."""
+    w = n / (n + F.lit(float(prior)))
+    mix = lambda x, y: F.coalesce(w * x + (1 - w) * y, y)
+    apart = [x - y for x, y in zip(own[:P], base[:P])]
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    covs = [F.coalesce(w * x + (1 - w) * y + w * w * (1 - w) * apart[i] * apart[j], y) for (i, j), x, y in zip(pairs, own[P:], base[P:])]
+    return [mix(x, y) for x, y in zip(own[:P], base[:P])] + covs
 
 
 def judge(
-    stats: DataFrame, support: float = 0.75, steps: int = 3, least: int = 50, quantile: float = 1 - 1e-7
+    stats: DataFrame, support: float = 0.75, steps: int = 8, prior: float = 50, quantile: float = 1 - 1e-7
 ) -> DataFrame:
     """Adds d2, the squared distance, and kept: not failed by the hard rules and not an outlier.
 
-    ``quantile`` is the share of a clean normal cloud that lies within the cut.
+    ``prior`` is the number of rows that what is known around a group counts as; ``quantile`` is the share of a clean
+    normal cloud that lies within the cut.
     """
     none = F.lit("")
     keyed = stats.withColumns(
@@ -189,14 +237,15 @@ def judge(
     keyed = staged(vectors(keyed), "stats")
     rows = keyed.where(~F.col("base_failed")).select("g_lang", "g_source", *DIMS)
     by = ["g_lang", "g_source"]
-    enough = F.col("n") >= least * support
-    own = concentrate(rows, by, support, steps, "mcd").where(enough).drop("n")
-    joined = join_small(keyed, own, by, "left", small(own))
-    wide = concentrate(rows, ["g_lang"], support, steps, "mcd-language").where(enough).drop("n")
-    wide = wide.select("g_lang", *[F.col(c).alias(f"w_{c}") for c in wide.columns if c != "g_lang"])
-    joined = join_small(joined, wide, ["g_lang"], "left", small(wide))
-    d2 = F.coalesce(distance(), distance("w_"))
-    return joined.withColumn("d2", d2).select(
+    names = [*[f"a{i}" for i in range(P)], *[f"c{i}{j}" for i in range(P) for j in range(i + 1)]]
+    known = [F.lit(m) for m, _ in PRIOR] + [F.lit(PRIOR[i][1] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)]
+    wide = concentrate(rows, ["g_lang"], support, steps, "mcd-language")
+    wide = wide.select("g_lang", *[x.alias(f"w_{c}") for c, x in zip(names, shrunk([F.col(c) for c in names], known, F.col("n"), prior))])
+    own = concentrate(rows, by, support, steps, "mcd").join(wide, "g_lang")
+    own = own.select(*by, *[x.alias(c) for c, x in zip(names, shrunk([F.col(c) for c in names], [F.col(f"w_{c}") for c in names], F.col("n"), prior))])
+    estimate = staged(factored(staged(own, "shrunk"), by), "estimates")
+    joined = join_small(keyed, estimate, by, "left", small(estimate))
+    return joined.withColumn("d2", distance()).select(
         *stats.columns, "d2", (~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_4_at(quantile), F.lit(True))).alias("kept")
     )
 
