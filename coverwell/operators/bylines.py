@@ -24,7 +24,7 @@ FURNITURE_AR = "بحث البحث ابحث كلمة اشترك اشتراك تس
 FURNITURE = ["search", "login", "log ?in", "sign ?up", "register", "subscribe", "menu", "password", "keywords?", "homepage", "sidebar", "widget", "click"]
 # Weekdays and months, and the markers of a publication.
 DAYS_AR = "السبت الأحد الاحد الإثنين الاثنين الثلاثاء الأربعاء الاربعاء الخميس الجمعة".split()
-MONTHS_AR = "يناير فبراير مارس أبريل ابريل مايو يونيو يوليو أغسطس اغسطس سبتمبر أكتوبر اكتوبر نوفمبر ديسمبر".split()
+MONTHS_AR = "يناير فبراير مارس أبريل إبريل ابريل مايو يونيو يوليو أغسطس اغسطس سبتمبر أكتوبر اكتوبر نوفمبر ديسمبر".split()
 LEVANT_MONTHS = "كانون شباط آذار اذار نيسان أيار ايار حزيران تموز آب أيلول ايلول تشرين".split()
 DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 MONTHS = "january february march april june july august september october november december".split()

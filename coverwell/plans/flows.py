@@ -9,6 +9,7 @@ from coverwell.functions import text as T
 from coverwell.operators import contracts, dedupe, paging, trends
 from coverwell.plans import registry
 from coverwell.plans.registry import _GATE_SQL, _GATE_WORDS, _PHRASE_SQL, _TOKENS, _gate_rows, query
+from coverwell.sources import feeds
 from coverwell.sources import tables as S
 from coverwell.sources.staging import staged
 from coverwell.sources.tables import NOW, table
@@ -250,3 +251,59 @@ def author_pages(spark, sf_dir):
     pages = staged(paging.paged(board, [F.desc("home_negative"), F.desc("negative"), F.desc("mentions"), F.asc("key")], 15, staged))
     index = paging.page_index(pages, ["key"]).join(paging.counter(pages, 15), "page")
     return index.select("page", "n", F.col("first.key").alias("first"), F.col("last.key").alias("last"), "pages", "label")
+
+
+def _fetched(spark, sf_dir):
+    """Feeds of up to 20 documents each, RSS or Atom by turns; some answer 500, some bodies are hostile, cut off or missing."""
+    d = table(spark, sf_dir, "documents")
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 .,]+", " "))
+    k, feed = F.col("doc_id"), F.floor(F.col("doc_id") / 20)
+    tag = lambda name, body: F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name.split(' ')[0]}>"))
+    title = F.concat(F.substring(plain, 1, 40), F.lit(" &amp;amp; "), k.cast("string"), F.when(k % 3 == 0, " - Outlet One").otherwise(""))
+    link = F.when(k % 11 == 0, "javascript:x").otherwise(F.concat(F.lit("https://a.example/"), k.cast("string")))
+    body = F.concat(F.lit("&lt;p&gt;"), F.substring(plain, 1, 400), F.lit("&lt;/p&gt;"))
+    date = F.date_format(F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(hours=k.cast("int")), "dd MMM yyyy HH:mm:ss")
+    iso = F.date_format(F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(hours=k.cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
+    credit = F.when(k % 4 == 0, "Mona Adel").when(k % 4 == 1, "newsroom").when(k % 4 == 2, "By Ann Bee")
+    rss_body = F.when(k % 5 == 0, tag("description", body)).when(k % 5 == 1, F.concat(F.lit("<description> </description>"), tag("content:encoded", body))).when(k % 5 == 2, tag("summary", body)).otherwise("")
+    rss = tag("item", F.concat(tag("title", title), tag("link", link), F.coalesce(tag("dc:creator", credit), F.lit("")), F.when(k % 6 != 0, tag("pubDate", F.concat(F.lit("Mon, "), date, F.lit(" +0000")))).otherwise("<pubDate>soon</pubDate>"), rss_body))
+    atom = tag("entry", F.concat(
+        tag("title", title), F.lit('<link href="'), link, F.lit('"/>'), F.coalesce(tag("author", tag("name", credit)), F.lit("")),
+        F.when(k % 6 != 0, tag("updated", F.concat(iso, F.lit("+00:00")))).otherwise(""), F.when(k % 5 == 0, tag("summary", body)).when(k % 5 == 1, tag("content", body)).otherwise(""),
+    ))
+    entries = d.select(feed.alias("f"), F.struct(k.alias("k"), F.when(feed % 2 == 0, rss).otherwise(atom).alias("x")).alias("e"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["x"]), "")  # 20 documents to a feed
+    bodies = entries.groupBy("f").agg(joined.alias("x"))
+    head = F.when(F.col("f") % 7 == 3, '<!DOCTYPE r [<!ENTITY x "y">]>').otherwise("")
+    full = F.when(F.col("f") % 2 == 0, F.concat(head, F.lit('<rss xmlns:dc="d" xmlns:content="c"><channel>'), F.col("x"), F.lit("</channel>"), F.when(F.col("f") % 7 == 2, "").otherwise("</rss>")))
+    full = full.otherwise(F.concat(head, F.lit("<feed>"), F.col("x"), F.lit("</feed>")))
+    status = F.when(F.col("f") % 7 == 5, 500).otherwise(200)
+    return bodies.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("feed_id"), status.alias("status"), F.when(F.col("f") % 7 != 6, full).alias("body"))
+
+
+_FETCHED = """
+WITH d AS (SELECT doc_id AS k, doc_id // 20 AS f, 'f' || (doc_id // 20) AS feed_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]+', ' ', 'g')) AS plain,
+  row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS pos FROM documents),
+why AS (SELECT DISTINCT f, feed_id, CASE WHEN f % 7 = 5 THEN 'http 500' WHEN f % 7 = 6 THEN 'missing' WHEN f % 7 = 3 THEN 'entities' WHEN f % 7 = 2 AND f % 2 = 0 THEN 'not a feed' END AS error FROM d),
+t AS (SELECT d.*, error, trim(substr(plain, 1, 40) || ' & ' || k) || CASE WHEN k % 3 = 0 THEN ' - Outlet One' ELSE '' END AS title FROM d JOIN why USING (f)),
+i AS (SELECT feed_id, CAST(pos AS INT) AS pos, CASE WHEN k % 3 = 0 AND length(title) - 13 > 20 THEN left(title, length(title) - 13) ELSE title END AS headline,
+    CASE WHEN k % 3 = 0 AND length(title) - 13 > 20 THEN 'Outlet One' ELSE feed_id END AS source,
+    CASE k % 4 WHEN 0 THEN 'Mona Adel' WHEN 2 THEN 'Ann Bee' END AS author, 'https://a.example/' || k AS url,
+    CASE WHEN k % 6 <> 0 THEN CAST(TIMESTAMP '2024-01-31' - to_hours(CAST(k AS INT)) AS TIMESTAMP) END AS published_at,
+    CASE WHEN k % 5 < 2 OR (k % 5 = 2 AND f % 2 = 0) THEN substr(trim(regexp_replace(substr(plain, 1, 400), '\s+', ' ', 'g')), 1, 300) ELSE '' END AS snippet
+  FROM t WHERE error IS NULL AND k % 11 <> 0),
+v AS (SELECT * FROM i WHERE length(headline) > 15)
+"""
+
+
+@query(_FETCHED + "SELECT * FROM v", views=False)
+def feed_scan(spark, sf_dir):
+    """The valid items of feeds made of documents, with every field."""
+    return feeds.scan(_fetched(spark, sf_dir))[0].withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@query(_FETCHED + """SELECT feed_id, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN (SELECT count(*) FROM d WHERE d.f = why.f) ELSE 0 END AS entries,
+  (SELECT count(*) FROM v WHERE v.feed_id = why.feed_id) AS valid FROM why""", views=False)
+def feed_scan_health(spark, sf_dir):
+    """The health row of each feed of ``feed_scan``."""
+    return feeds.scan(_fetched(spark, sf_dir))[1]
