@@ -110,6 +110,20 @@ def spread(min_words: int) -> int:
     return min_words + 1 - HEAD
 
 
+def around(pos: np.ndarray, span: int, n: int) -> np.ndarray:
+    """The places from 0 to ``n`` that lie up to ``span - 1`` before one of ``pos``, by marking where ranges open and close."""
+    marks = np.zeros(n + span + 1, np.int32)
+    pos = pos[pos < n + span]
+    np.add.at(marks, np.maximum(pos - span + 1, 0), 1)
+    np.add.at(marks, pos + 1, -1)
+    return np.nonzero(np.cumsum(marks)[:n])[0]
+
+
+def once(rows: np.ndarray) -> np.ndarray:
+    """The columns of ``rows`` without those that equal the one before; sorted rows that repeat stand together."""
+    return rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])] if rows.shape[1] else rows
+
+
 class Columns:
     """Collects arrays by column and gives them out as batches of bounded length."""
 
@@ -168,17 +182,17 @@ def shared_rows(ranged: DataFrame, payload: dict[str, str]) -> DataFrame:
         made = 0  # runs begun
         key = None  # of the open run
         first = lo = hi = 0
-        held: set[tuple] = set()  # rows of the open run while all are of one text
+        held: list[np.ndarray] = []  # rows of the open run while all are of one text
 
         def give(k, th, firsts, los, his, *rest) -> pa.RecordBatch:
             n = len(th)
             keys = pa.nulls(n, pa.binary()) if k is None else pa.array([k] * n, pa.binary())
             return pa.RecordBatch.from_arrays([keys, *[pa.array(c, pa.int64()) for c in (th, firsts, los, his, *rest)]], ["key", "_th", "first", "lo", "hi", *names])
 
-        def rows_of(k, f, rows) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * (1 + len(names))
-            n = len(rows)
-            return give(k, cols[0], [f] * n, [None] * n, [None] * n, *cols[1:])
+        def rows_of(k, f, rows: np.ndarray) -> pa.RecordBatch:
+            cols = once(rows)
+            n = cols.shape[1]
+            return give(k, cols[0], np.full(n, f), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *cols[1:])
 
         def summary() -> pa.RecordBatch:
             return give(key, [None], [first], [lo], [hi], *[[None]] * len(names))
@@ -196,12 +210,13 @@ def shared_rows(ranged: DataFrame, payload: dict[str, str]) -> DataFrame:
                 part = slice(0, ends[0])
                 lo, hi, at = min(lo, th[part].min()), max(hi, th[part].max()), 1
                 if made == 1:  # it may have begun before this partition
-                    yield rows_of(key, first, set(zip(*data[:, part].tolist(), strict=True)))
+                    yield rows_of(key, first, data[:, part])
                 elif lo == hi:
-                    held |= set(zip(*data[:, part].tolist(), strict=True))
+                    held.append(once(data[:, part]))
                 else:
-                    yield rows_of(None, first, held | set(zip(*data[:, part].tolist(), strict=True)))
-                    held = set()
+                    for rows in [*held, data[:, part]]:
+                        yield rows_of(None, first, rows)
+                    held = []
             if at == len(starts):
                 continue
             if key is not None and made == 1:
@@ -212,7 +227,7 @@ def shared_rows(ranged: DataFrame, payload: dict[str, str]) -> DataFrame:
             inside = slice(0, len(begin) - 1)
             if made == 0 and len(begin) > 1:
                 key, first, lo, hi, made = keys[begin[0]].tobytes(), least[begin[0]], los[0], his[0], 1
-                yield rows_of(key, first, set(zip(*data[:, begin[0] : end[0]].tolist(), strict=True)))
+                yield rows_of(key, first, data[:, begin[0] : end[0]])
                 yield summary()
                 inside = slice(1, len(begin) - 1)
             several = (los != his)[inside]
@@ -226,17 +241,18 @@ def shared_rows(ranged: DataFrame, payload: dict[str, str]) -> DataFrame:
                 yield give(None, cols[0][~again], firsts[~again], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[c[~again] for c in cols[1:]])
             made += len(begin[inside]) + 1
             key, first, lo, hi = keys[begin[-1]].tobytes(), least[begin[-1]], los[-1], his[-1]
-            rows = set(zip(*data[:, begin[-1] : end[-1]].tolist(), strict=True))
-            held = set()
+            rows = data[:, begin[-1] : end[-1]]
+            held = []
             if made == 1:
                 yield rows_of(key, first, rows)
             elif lo == hi:
-                held = rows
+                held = [once(rows)]
             else:
                 yield rows_of(None, first, rows)
         if key is not None:
-            if made > 1 and held:
-                yield rows_of(key, first, held)
+            if made > 1:
+                for rows in held:
+                    yield rows_of(key, first, rows)
             yield summary()
 
     schema = "key binary, _th long, first long, lo long, hi long" + "".join(f", {c} {t}" for c, t in payload.items())
@@ -261,8 +277,7 @@ def windows(texts: DataFrame, min_words: int) -> DataFrame:
                 if len(h) < min_words:
                     continue
                 spans = word_spans(text)
-                near = (np.asarray(pos or [], np.int64)[:, None] - np.arange(spread(min_words))).ravel()
-                at = np.unique(near[(near >= 0) & (near + min_words <= len(h))])
+                at = around(np.asarray(pos or [], np.int64), spread(min_words), len(h) - min_words + 1)
                 one = np.full(len(at), least), np.full(len(at), th), at, np.full(len(at), min_words)
                 yield from out.add(digests(h, min_words, at), *one, spans[at, 0], spans[at + min_words - 1, 1])
                 if several:
@@ -284,7 +299,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     kept = suffixes(rows, min_words).withColumn("least", F.lit(0).cast("long"))
-    ranged = kept.repartitionByRange("key", "_th", "salt").sortWithinPartitions("key", "_th")
+    ranged = kept.repartitionByRange("key", "_th", "salt").sortWithinPartitions("key", "_th", "at")
     found = shared_rows(ranged, {"at": "long"}).groupBy("_th").agg(F.collect_set("at").alias("pos"))
     held = rows.where(F.col("text").isNotNull()).groupBy("_th")
     holders = held.agg(F.min("doc_id").alias("least"), (F.min("doc_id") != F.max("doc_id")).alias("several"))
