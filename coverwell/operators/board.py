@@ -5,10 +5,10 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coverwell.functions.text import half_up
+from coverwell.operators import paging
 
 MOST_IDS = 100
 
@@ -87,15 +87,33 @@ def confidence_tier(high: float = 0.8, low: float = 0.5) -> Column:
     return F.when(F.col("confidence") >= high, "high").when(F.col("confidence") >= low, "medium").when(F.col("confidence").isNotNull(), "low")
 
 
+def coverage_lists(coverage: DataFrame, ids: DataFrame) -> DataFrame:
+    """(item_id, instances): for the stories of ``ids`` their instances (outlet, author, url, published_at), earliest first, undated last."""
+    mine = coverage.join(ids.select(F.col("id").alias("item_id")).distinct(), "item_id", "left_semi")
+    one = F.struct(F.col("published_at").isNull().alias("_u"), "published_at", "outlet", "url", "author")
+    shown = F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["outlet"].alias("outlet"), x["author"].alias("author"), x["url"].alias("url"), x["published_at"].alias("published_at")))
+    return mine.groupBy("item_id").agg(shown.alias("instances"))
+
+
 def broken_feeds(health: DataFrame, feeds: DataFrame, now: datetime, days: int = 3) -> DataFrame:
     """Feeds of the registry that never worked or last did so over ``days`` days ago; retired feeds are passed over."""
     cut = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days")
     return health.where(F.col("last_ok_at").isNull() | (F.col("last_ok_at") < cut)).join(feeds.select("feed_id").distinct(), "feed_id", "left_semi")
 
 
-def queue(rows: DataFrame, wanted: Column, *order: Column) -> DataFrame:
-    """The rows of a queue in its order, with their place; places are given by one sort of the whole queue."""
-    return rows.where(wanted).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
+def queue(rows: DataFrame, wanted: Column, *order: Column, stage) -> DataFrame:
+    """The rows of a queue in its order, which must tell them apart, with their place from 1: a range-partitioned sort, not one task."""
+    found = paging.placed(rows.where(wanted), list(order), stage)
+    return found.withColumn("place", F.col("place") + 1)
+
+
+def queues(every: dict[str, tuple[DataFrame, Column, list[Column]]], stage) -> DataFrame:
+    """(queue, id, place) of several queues: by name the rows (id, ..), which of them wait, and their order."""
+    parts = [queue(rows, wanted, *order, stage=stage).select(F.lit(name).alias("queue"), F.col("id").cast("string").alias("id"), "place") for name, (rows, wanted, order) in every.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def failed_signins(log: DataFrame, email: str | None, ip: str | None, since_at: datetime, most: int = 100) -> DataFrame:

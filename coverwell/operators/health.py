@@ -105,3 +105,44 @@ def month_projection(costs: DataFrame, now: datetime, cap: float) -> DataFrame:
     projected = F.col("spent") / F.greatest(F.lit(1), F.dayofmonth(at)) * F.dayofmonth(F.last_day(at))
     state = F.when(F.col("calls") == 0, "unknown").when(F.col("spent") >= cap, "crit").when(projected > cap, "warn").otherwise("ok")
     return spent.select("calls", "spent", F.round(projected, 4).alias("projected"), state.alias("state"))
+
+
+def cache_efficiency(usage: DataFrame, known: tuple[str, ...], now: datetime, hours: int = 24, least_calls: int = 5) -> DataFrame:
+    """One row: calls that cached, tokens read and written, the share read, and whether the latest call still caches.
+
+    Calls of known stages count that are undated or at most ``hours`` old. The share is null under ``least_calls``; the latest call is
+    the last dated one, of equals the one of the greatest id, whether it cached or not.
+    """
+    rows = usage.where(F.col("stage").isin(*known)).withColumn("_age", hours_since(F.col("created_at"), now)).where("_age IS NULL OR _age <= %d" % hours)
+    cached = (F.coalesce("cache_read", F.lit(0)) + F.coalesce("cache_write", F.lit(0))) > 0
+    dated = F.when(F.col("created_at").isNotNull(), F.struct("created_at", "id"))
+    found = rows.agg(
+        F.count_if(cached).alias("calls"), F.coalesce(F.sum("cache_read"), F.lit(0)).alias("reads"), F.coalesce(F.sum("cache_write"), F.lit(0)).alias("writes"),
+        F.coalesce(F.max_by(cached, dated), F.lit(False)).alias("still_caching"),
+    )
+    ratio = F.when((F.col("calls") >= least_calls) & (F.col("reads") + F.col("writes") > 0), F.round(F.col("reads") / (F.col("reads") + F.col("writes")), 6))
+    return found.withColumn("ratio", ratio)
+
+
+def digest_eligible(rows: DataFrame, now: datetime, until: datetime | None = None, hours: int = 24, least: int = 2) -> DataFrame:
+    """How many relevant stories a digest would carry now, or would have carried at ``until``, which is not in its window."""
+    end = F.lit(until or now).cast("timestamp_ntz")
+    hit = rows.where(F.col("is_relevant") & (F.col("importance") >= least) & (F.col("seen_at") >= end - F.make_dt_interval(hours=F.lit(hours))))
+    return (hit if until is None else hit.where(F.col("seen_at") < end)).agg(F.count("*").alias("eligible"))
+
+
+def audit_findings(answers: DataFrame) -> DataFrame:
+    """Audited answers (engine, question, verdict fields) as findings: sentiments outside the three are neutral, severity is 1 to 5,
+    at most six issues and 300 characters of note; flagged by negative framing, an issue or a negative sentiment. No verdict is no flag."""
+    known = F.when(F.col("sentiment").isin("negative", "positive"), F.col("sentiment")).otherwise("neutral")
+    severity = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.coalesce(F.nullif(F.expr("try_cast(severity AS double)"), F.lit(0.0)), F.lit(1.0))))
+    issues = F.slice(F.filter(F.coalesce("issues", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != ""), 1, 6)
+    judged = F.col("judged")
+    out = answers.withColumns({"sentiment": F.when(judged, known), "severity": F.when(judged, severity), "issues": F.when(judged, issues), "note": F.when(judged, F.substring(F.coalesce("note", F.lit("")), 1, 300))})
+    flagged = judged & (F.coalesce("negative_framing", F.lit(False)) | (F.size("issues") > 0) | (F.col("sentiment") == "negative"))
+    return out.withColumn("flagged", F.coalesce(flagged, F.lit(False)))
+
+
+def audit_summary(findings: DataFrame) -> DataFrame:
+    """(engine, checked, flagged, worst): a row for each engine that answered."""
+    return findings.groupBy("engine").agg(F.count("*").alias("checked"), F.count_if("flagged").alias("flagged"), F.max("severity").alias("worst"))

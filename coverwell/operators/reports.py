@@ -62,3 +62,25 @@ def coverage_log(rows: DataFrame, most: int = 400) -> DataFrame:
     """The newest stories of the range, grouped by brand, newest first in a group."""
     newest = rows.where("now").orderBy(F.desc("at"), "id").limit(most)
     return newest.select("brand", "id", "at", "source", "sentiment", "importance")
+
+
+def sources(rows: DataFrame) -> DataFrame:
+    """Mentions and distinct sources of the range and of the one before; a story without a source has none."""
+    named = F.nullif(F.trim("source"), F.lit(""))
+    return rows.agg(
+        F.count_if("now").alias("now"), F.count_if(~F.col("now")).alias("before"),
+        F.count_distinct(F.when(F.col("now"), named)).alias("sources_now"), F.count_distinct(F.when(~F.col("now"), named)).alias("sources_before"),
+    )
+
+
+def appendix(rows: DataFrame, order: tuple[str, ...], rest: str, most: int = 400) -> DataFrame:
+    """The newest ``most`` stories of the range with ``grp`` and ``place``: groups in ``order``, others as ``rest`` last, newest first within;
+    ``truncated`` says how many older ones are left out, of whatever group."""
+    now = rows.where("now")
+    newest = now.orderBy(F.desc("at"), "id").limit(most)  # so many at most from here on
+    group = F.when(F.col("brand").isin(*order), F.col("brand")).otherwise(rest)
+    rank = F.coalesce(*[F.when(F.col("brand") == b, F.lit(i)) for i, b in enumerate(order)], F.lit(len(order)))
+    places = W.partitionBy(F.lit(1)).orderBy(rank, F.desc("at"), "id")
+    left = now.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("truncated"))
+    placed = newest.select("id", group.alias("grp"), "at", "source", "sentiment", "importance", F.row_number().over(places).cast("long").alias("place"))
+    return placed.crossJoin(F.broadcast(left))

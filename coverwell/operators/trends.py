@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from coverwell.operators import bylines
+
 def is_negative() -> Column:
     return F.col("sentiment") == "negative"
 
@@ -112,3 +114,24 @@ def half_movement(series: DataFrame, n_days: int) -> DataFrame:
     first, second = F.sum(F.when(F.col("idx") < half, F.col("negatives")).otherwise(0)), F.sum(F.when(F.col("idx") >= n_days - half, F.col("negatives")).otherwise(0))
     rows = series.groupBy("brand").agg(first.alias("before"), second.alias("after"))
     return rows.withColumn("change_pct", F.when(F.col("before") > 0, F.floor(100.0 * (F.col("after") - F.col("before")) / F.col("before") + 0.5)))
+
+
+def series(rows: DataFrame, key: Column, days: int, idx: str = "idx") -> DataFrame:
+    """(key, total, series): how many rows a key has on each day of an axis of ``days``; rows off the axis count in neither."""
+    by_day = rows.where(F.col(idx).between(0, days - 1)).groupBy(key.alias("key"), F.col(idx).alias("_i")).agg(F.count("*").alias("n"))
+    found = by_day.groupBy("key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("_i", "n"))).alias("m"))  # an entry a day
+    each = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    return found.select("key", "total", each.cast("array<bigint>").alias("series"))
+
+
+def once_per_key(rows: DataFrame, key: Column) -> DataFrame:
+    """``rows`` of ``carried`` with ``key``, each story once a key: its first row in order of coverage; empty keys go."""
+    keyed = rows.withColumn("key", key).where(F.col("key") != "")
+    kept = [F.col(c) for c in keyed.columns]
+    return keyed.groupBy(F.col("key").alias("_k"), F.col("id").alias("_i")).agg(F.min_by(F.struct(*kept), F.struct("pos", "outlet")).alias("r")).select("r.*")
+
+
+def people(rows: DataFrame) -> DataFrame:
+    """Rows of ``carried`` whose byline names a person: none that is empty, a dash, or reads like a publication."""
+    named = F.col("byline").isNotNull() & ~F.trim("byline").isin("", "—")
+    return rows.where(named & ~F.coalesce(bylines.outlet_like(F.col("byline"), F.col("outlet")), F.lit(False)))

@@ -230,17 +230,18 @@ def board_filters(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT event_type AS feed_id, max(CAST(ts AS TIMESTAMP)) FILTER (event_id % 97 = 0) AS last_ok_at FROM events GROUP BY 1)
-SELECT feed_id, last_ok_at FROM h WHERE (last_ok_at IS NULL OR last_ok_at < TIMESTAMP '2024-01-28') AND feed_id <> 'click'""", views=False)
+WITH h AS (SELECT event_type || user_id AS feed_id, max(CAST(ts AS TIMESTAMP)) FILTER (event_id % 7 = 0) AS last_ok_at FROM events GROUP BY 1)
+SELECT feed_id, last_ok_at FROM h WHERE (last_ok_at IS NULL OR last_ok_at < TIMESTAMP '2024-01-28') AND feed_id NOT LIKE 'click%'""", views=False)
 def broken_feeds(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp_ntz"))
-    health = e.groupBy(F.col("event_type").alias("feed_id")).agg(F.max(F.when(F.col("event_id") % 97 == 0, F.col("at"))).alias("last_ok_at"))
-    return board.broken_feeds(health, e.where("event_type <> 'click'").select(F.col("event_type").alias("feed_id")), NOW)
+    e = e.withColumn("feed_id", F.concat("event_type", F.col("user_id").cast("string")))
+    health = e.groupBy("feed_id").agg(F.max(F.when(F.col("event_id") % 7 == 0, F.col("at"))).alias("last_ok_at"))
+    return board.broken_feeds(health, e.where("event_type <> 'click'").select("feed_id"), NOW)
 
 
 @query("""SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS place FROM supplier WHERE s_nationkey % 2 = 0""", views=False)
 def pending_queue(spark, sf_dir):
-    return board.queue(table(spark, sf_dir, "supplier"), F.col("s_nationkey") % 2 == 0, F.col("s_acctbal"), F.col("s_suppkey")).select("s_suppkey", "place")
+    return board.queue(table(spark, sf_dir, "supplier"), F.col("s_nationkey") % 2 == 0, F.col("s_acctbal"), F.col("s_suppkey"), stage=staged).select("s_suppkey", "place")
 
 
 @query("""SELECT least(count(*), 100) AS n FROM events WHERE event_type = 'error' AND CAST(ts AS TIMESTAMP) >= TIMESTAMP '2024-01-20'

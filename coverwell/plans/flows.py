@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coverwell.functions import text as T
-from coverwell.operators import contracts, dedupe, paging, trends
+from coverwell.operators import board, contracts, dedupe, health, ingest, paging, reports, trends
 from coverwell.plans import registry
 from coverwell.plans.registry import _GATE_SQL, _GATE_WORDS, _PHRASE_SQL, _TOKENS, _gate_rows, query
 from coverwell.sources import feeds
@@ -307,3 +309,149 @@ def feed_scan(spark, sf_dir):
 def feed_scan_health(spark, sf_dir):
     """The health row of each feed of ``feed_scan``."""
     return feeds.scan(_fetched(spark, sf_dir))[1]
+
+
+def _carried(spark, sf_dir):
+    """Stories by outlet, one byline in nine being the outlet's own name."""
+    rows = trends.carried(S.stories(spark, sf_dir), S.coverage(spark, sf_dir))
+    return rows.withColumn("byline", F.when(F.col("id") % 9 == 0, F.concat(F.lit("The "), F.initcap("outlet"))).otherwise(F.col("byline")))
+
+
+_BYLINES = registry._CARRIED + """
+, named AS (SELECT *, CASE WHEN id % 9 = 0 THEN 'The ' || upper(outlet[1]) || lower(outlet[2:]) ELSE byline END AS credit FROM carried)
+, people AS (SELECT * FROM named WHERE credit IS NOT NULL AND trim(credit) NOT IN ('', '—') AND id % 9 <> 0)
+"""
+
+
+@query(_BYLINES + """
+, once AS (SELECT * FROM (SELECT *, lower(trim(credit)) AS key, row_number() OVER (PARTITION BY lower(trim(credit)), id ORDER BY pos, outlet) AS k FROM people) WHERE k = 1)
+SELECT key, arg_min(credit, id) AS author, count(*) AS mentions, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'positive') AS positive,
+  count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative' AND brand = 'home') AS home_negative FROM once GROUP BY key""")
+def people_board(spark, sf_dir):
+    """The whole author board of people: credits that read like a publication are no authors."""
+    return trends.author_leaderboard(trends.people(_carried(spark, sf_dir)), S.HOME, None).drop("outlets")
+
+
+def _series_sql(rows: str, key: str) -> str:
+    return f"""
+, d AS (SELECT {key} AS key, date_diff('day', DATE '2024-01-01', day) AS i, count(*) AS n FROM ({rows}) JOIN (SELECT id AS sid, day FROM stories) ON sid = id
+  WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY ALL)
+, a AS (SELECT k.key, x.i, coalesce(d.n, 0) AS n FROM (SELECT DISTINCT key FROM d) k CROSS JOIN range(31) AS x(i) LEFT JOIN d ON d.key = k.key AND d.i = x.i)
+SELECT key, CAST(sum(n) AS BIGINT) AS total, list(CAST(n AS BIGINT) ORDER BY i) AS series FROM a GROUP BY key"""
+
+
+_ONCE = "SELECT * FROM (SELECT *, lower(trim({0})) AS k, row_number() OVER (PARTITION BY lower(trim({0})), id ORDER BY pos, outlet) AS n_ FROM {1} WHERE {0} <> '') WHERE n_ = 1"
+
+
+def _on_axis(rows):
+    return rows.withColumn("idx", F.datediff("day", F.lit(registry.FIRST)))
+
+
+@query(registry._CARRIED + _series_sql(_ONCE.format("outlet", "carried"), "k"))
+def outlet_series(spark, sf_dir):
+    rows = trends.carried(S.stories(spark, sf_dir), S.coverage(spark, sf_dir))
+    return trends.series(_on_axis(trends.once_per_key(rows, F.lower(F.trim("outlet")))), F.col("key"), 31)
+
+
+@query(_BYLINES + _series_sql(_ONCE.format("credit", "people"), "k"))
+def author_series(spark, sf_dir):
+    return trends.series(_on_axis(trends.once_per_key(trends.people(_carried(spark, sf_dir)), F.lower(F.trim("byline")))), F.col("key"), 31)
+
+
+@query(_series_sql("SELECT id, coalesce(category, 'other') AS c FROM stories", "c"))
+def category_series(spark, sf_dir):
+    return trends.series(_on_axis(S.stories(spark, sf_dir)), F.coalesce("category", F.lit("other")), 31)
+
+
+@query(registry._PERIODS + """
+SELECT count(*) FILTER (now) AS now, count(*) FILTER (NOT now) AS before, count(DISTINCT trim(source)) FILTER (now) AS sources_now,
+  count(DISTINCT trim(source)) FILTER (NOT now) AS sources_before FROM p""")
+def report_sources(spark, sf_dir):
+    return reports.sources(reports.periods(S.stories(spark, sf_dir), *registry.RANGE))
+
+
+@query(registry._PERIODS + """
+, n AS (SELECT * FROM p WHERE now ORDER BY "at" DESC, id LIMIT 400), t AS (SELECT greatest(count(*) - 400, 0) AS truncated FROM p WHERE now)
+SELECT id, CASE WHEN brand = 'other' THEN 'Market' ELSE brand END AS grp, "at", source, sentiment, importance,
+  row_number() OVER (ORDER BY list_position(['home', 'rival_a', 'rival_b', 'rival_c', 'other'], brand), "at" DESC, id) AS place, truncated FROM n, t""")
+def report_appendix(spark, sf_dir):
+    return reports.appendix(reports.periods(S.stories(spark, sf_dir), *registry.RANGE), S.BRANDS, "Market")
+
+
+@query("""
+WITH u AS (SELECT conv_id * 100 + turn AS id, role AS stage, CASE WHEN conv_id % 10 <> 0 THEN TIMESTAMP '2024-01-31' - to_hours(CAST(conv_id % 60 AS INT)) - to_minutes(CAST(turn AS INT)) END AS created_at,
+  CASE WHEN turn % 3 = 0 THEN length(text) ELSE 0 END AS w, CASE WHEN turn % 3 = 1 THEN length(text) * 2 ELSE 0 END AS r FROM conversations),
+k AS (SELECT * FROM u WHERE stage IN ('assistant', 'system') AND (created_at IS NULL OR created_at >= TIMESTAMP '2024-01-30'))
+SELECT count(*) FILTER (r + w > 0) AS calls, CAST(sum(r) AS BIGINT) AS reads, CAST(sum(w) AS BIGINT) AS writes,
+  coalesce(arg_max(r + w > 0, {'a': created_at, 'b': id}) FILTER (created_at IS NOT NULL), false) AS still_caching, round(sum(r) / (sum(r) + sum(w)), 6) AS ratio FROM k""", views=False)
+def cache_efficiency(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    n, at = F.length("text").cast("long"), F.lit(NOW).cast("timestamp_ntz")
+    at = F.when(F.col("conv_id") % 10 != 0, at - F.make_dt_interval(hours=(F.col("conv_id") % 60).cast("int"), mins=F.col("turn").cast("int")))
+    usage = c.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("stage"), at.alias("created_at"),
+        F.when(F.col("turn") % 3 == 0, n).otherwise(0).alias("cache_write"), F.when(F.col("turn") % 3 == 1, n * 2).otherwise(0).alias("cache_read"),
+    )
+    return health.cache_efficiency(usage, ("assistant", "system"), NOW)
+
+
+@query("""SELECT count(*) AS eligible FROM stories WHERE id % 4 <> 0 AND importance >= 2 AND seen_at >= TIMESTAMP '2024-01-28 05:00:00' AND seen_at < TIMESTAMP '2024-01-29 05:00:00'""")
+def digest_eligible(spark, sf_dir):
+    rows = S.stories(spark, sf_dir).withColumn("is_relevant", F.col("id") % 4 != 0)
+    return health.digest_eligible(rows, NOW, datetime(2024, 1, 29, 5))
+
+
+@query("""SELECT id, id % 2 = 0 AND NOT (id % 30 IN (6, 7)) AS is_relevant FROM stories""")
+def merged_stories(spark, sf_dir):
+    """The other half of a merge: the dropped stories are hidden, all others stay as they are."""
+    rows = S.stories(spark, sf_dir).withColumns({"is_relevant": F.col("id") % 2 == 0, "url": F.concat(F.lit("s"), F.col("user_id").cast("string"))})
+    cov = S.coverage(spark, sf_dir).withColumn("url", F.concat(F.lit("u"), F.col("pos").cast("string"), F.col("outlet")))
+    pairs = rows.where("id % 30 in (6, 7)").select(F.col("id").alias("drop_id"), (F.col("id") - 3).alias("keep_id"))
+    return ingest.merge_duplicates(rows, cov, pairs)[0].select("id", "is_relevant")
+
+
+@query("""
+, c AS (SELECT item_id, outlet, author, 'u' || pos AS url, CASE WHEN pos < 2 THEN TIMESTAMP '2024-01-31' - to_hours(CAST(pos * 5 + item_id % 7 AS INT)) END AS published_at FROM instances)
+SELECT item_id, count(*) AS n, string_agg(outlet || '|' || url, ',' ORDER BY published_at NULLS LAST, outlet, url) AS shown FROM c WHERE item_id % 2 = 0 GROUP BY item_id""")
+def coverage_lists(spark, sf_dir):
+    """The instances of the even stories, earliest first."""
+    at = F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(hours=(F.col("pos") * 5 + F.col("item_id") % 7).cast("int"))
+    cov = S.coverage(spark, sf_dir).select("item_id", "outlet", "author", F.concat(F.lit("u"), F.col("pos").cast("string")).alias("url"), F.when(F.col("pos") < 2, at).alias("published_at"))
+    found = board.coverage_lists(cov, S.stories(spark, sf_dir).where("id % 2 = 0").select("id"))
+    shown = F.array_join(F.transform("instances", lambda x: F.concat(x["outlet"], F.lit("|"), x["url"])), ",")
+    return found.select("item_id", F.size("instances").cast("long").alias("n"), shown.alias("shown"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS id, c_acctbal, c_nationkey, c_mktsegment FROM customer), q AS (
+SELECT 'access' AS queue, id, row_number() OVER (ORDER BY c_acctbal, id) AS place FROM c WHERE c_nationkey % 3 = 0 UNION ALL
+SELECT 'resets', id, row_number() OVER (ORDER BY c_acctbal DESC, id) FROM c WHERE c_nationkey % 3 = 1 UNION ALL
+SELECT 'subscribers', id, row_number() OVER (ORDER BY id) FROM c WHERE c_mktsegment = 'BUILDING' UNION ALL
+SELECT 'feedback', id, row_number() OVER (ORDER BY c_nationkey % 2, c_acctbal DESC, id) FROM c UNION ALL
+SELECT 'users', id, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, id) FROM c)
+SELECT queue, CAST(id AS VARCHAR) AS id, place FROM q""", views=False)
+def desk_queues(spark, sf_dir):
+    """The five queues of the desk over customers: access and resets, active subscribers, feedback (open first), users by role."""
+    c = table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey"))
+    i, old, new, k = F.col("id").asc(), F.col("c_acctbal").asc(), F.col("c_acctbal").desc(), F.col("c_nationkey")
+    return board.queues({
+        "access": (c, k % 3 == 0, [old, i]), "resets": (c, k % 3 == 1, [new, i]), "subscribers": (c, F.col("c_mktsegment") == "BUILDING", [i]),
+        "feedback": (c, F.lit(True), [(k % 2).asc(), new, i]), "users": (c, F.lit(True), [F.col("c_mktsegment").asc(), new, i]),
+    }, staged)
+
+
+@query("""
+WITH a AS (SELECT item_id, 'engine ' || item_id % 3 AS engine, item_id % 13 <> 0 AS judged, CASE item_id % 4 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' WHEN 2 THEN 'mixed' END AS s,
+  item_id % 9 AS sev, item_id % 6 = 0 AS framing, item_id % 5 AS issues FROM benchmark),
+f AS (SELECT *, judged AND (framing OR issues > 3 OR s = 'negative') AS flagged, CASE WHEN judged THEN CAST(greatest(1, least(5, sev)) AS DOUBLE) END AS severity FROM a)
+SELECT engine, count(*) AS checked, count(*) FILTER (flagged) AS flagged, max(severity) AS worst FROM f GROUP BY engine""", views=False)
+def audit_summary(spark, sf_dir):
+    """Benchmark items as answers of three engines with verdicts of all shapes."""
+    k = F.col("item_id")
+    issues = F.when(k % 5 > 3, F.array(F.lit(""), F.lit("wrong owner"))).when(k % 5 > 0, F.array(F.lit(""), F.lit(None)))
+    answers = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("engine "), (k % 3).cast("string")).alias("engine"), F.col("text").alias("question"), (k % 13 != 0).alias("judged"),
+        F.when(k % 4 == 0, "negative").when(k % 4 == 1, "positive").when(k % 4 == 2, "mixed").alias("sentiment"), (k % 9).cast("string").alias("severity"),
+        F.when(k % 6 == 0, True).alias("negative_framing"), issues.alias("issues"), F.lit("note").alias("note"),
+    )
+    return health.audit_summary(health.audit_findings(answers))
