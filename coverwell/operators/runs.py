@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,17 +15,20 @@ from coverwell.operators.health import hours_since
 OUTCOMES = ("filled", "unresolved", "fetchFailed", "noByline", "writeFailed")
 
 
-def feed_registry(spark: SparkSession, queries: list[tuple], sites: list[tuple], direct: list[tuple], base: str) -> DataFrame:
-    """(feed_id, brand, url, direct, urgent), a row per feed, so small by nature.
+def feed_registry(queries: DataFrame, sites: DataFrame, direct: DataFrame, base: str) -> DataFrame:
+    """(feed_id, brand, url, direct, urgent): a row for each search, each group of sites and each feed of an outlet's own.
 
-    ``queries`` are (id, brand, query, locale), ``sites`` (id, domains, terms, locale), ``direct`` (id, url). Items of the last two must
-    pass the prefilter; the urgent poll reads the first only.
+    ``queries`` are (id, brand, q, locale), ``sites`` (id, domains, terms, locale), ``direct`` (id, url). Items of the last two must
+    pass the prefilter; the urgent poll reads the first only. A row without a query, a domain or a known locale has no URL.
     """
-    searches = [(i, b, q, loc, None, False) for i, b, q, loc in queries]
-    searches += [(i, None, f"({' OR '.join(f'site:{d}' for d in domains)}) {terms}", loc, None, True) for i, domains, terms, loc in sites]
-    rows = spark.createDataFrame([*searches, *[(i, None, None, None, url, True) for i, url in direct]], "feed_id string, brand string, q string, locale string, own string, direct boolean")
+    none = F.lit(None).cast("string")
+    any_of = F.array_join(F.transform("domains", lambda d: F.concat(F.lit("site:"), d)), " OR ")
+    scoped = F.when(F.size("domains") > 0, F.concat(F.lit("("), any_of, F.lit(") "), F.col("terms")))
+    rows = queries.select("id", "brand", "q", "locale", none.alias("own"), F.lit(False).alias("direct"))
+    rows = rows.unionByName(sites.select("id", none.alias("brand"), scoped.alias("q"), "locale", none.alias("own"), F.lit(True).alias("direct")))
+    rows = rows.unionByName(direct.select("id", none.alias("brand"), none.alias("q"), none.alias("locale"), F.col("url").alias("own"), F.lit(True).alias("direct")))
     url = F.coalesce("own", *[F.when(F.col("locale") == loc, wires.search_url(F.col("q"), loc, base)) for loc in wires.LOCALES])
-    return rows.select("feed_id", "brand", url.alias("url"), "direct", (~F.col("direct")).alias("urgent"))
+    return rows.select(F.col("id").alias("feed_id"), "brand", url.alias("url"), "direct", (~F.col("direct")).alias("urgent"))
 
 
 def decode_links(rows: DataFrame, targets: DataFrame, host: str) -> DataFrame:

@@ -26,14 +26,24 @@ def search_urls(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", wires.search_url(q, "ar", SEARCH).alias("url"))
 
 
-@query(f"""SELECT * FROM (VALUES
-  ('brand-en', 'home', '{SEARCH}?q=%22Home%20Brand%22%20when%3A2d&hl=en-US&gl=US&ceid=US:en', false, true),
-  ('site-a', NULL, '{SEARCH}?q=(site%3Aa.example%20OR%20site%3Ab.example)%20(home%20OR%20rival)%20when%3A2d&hl=ar&gl=EG&ceid=EG:ar', true, false),
-  ('daily', NULL, 'https://daily.example/feed', true, false)) AS f(feed_id, brand, url, direct, urgent)""", views=False)
+@query(f"""
+WITH esc AS (SELECT p_partkey, replace(replace(url_encode('"' || p_name || '" when:2d'), '%28', '('), '%29', ')') AS q FROM part),
+st AS (SELECT n_regionkey, '(' || string_agg('site%3A' || lower(replace(n_name, ' ', '-')) || '.example', '%20OR%20' ORDER BY n_nationkey) || ')' AS q FROM nation GROUP BY 1)
+SELECT 'p' || p_partkey AS feed_id, p_brand AS brand, '{SEARCH}?q=' || q || CASE WHEN p_partkey % 2 = 0 THEN '&hl=en-US&gl=US&ceid=US:en' ELSE '&hl=ar&gl=EG&ceid=EG:ar' END AS url, false AS direct, true AS urgent
+FROM esc JOIN part USING (p_partkey)
+UNION ALL SELECT 'r' || r_regionkey, NULL, '{SEARCH}?q=' || st.q || '%20(home%20OR%20rival)%20when%3A2d&hl=ar&gl=EG&ceid=EG:ar', true, false FROM region JOIN st ON n_regionkey = r_regionkey
+UNION ALL SELECT 's' || s_suppkey, NULL, 'https://feeds.example/' || s_suppkey, true, false FROM supplier""", views=False)
 def feed_registry(spark, sf_dir):
-    return runs.feed_registry(
-        spark, [("brand-en", "home", '"Home Brand"', "en")], [("site-a", ["a.example", "b.example"], "(home OR rival)", "ar")], [("daily", "https://daily.example/feed")], SEARCH
-    )
+    """Parts as searches by name, regions as groups of their nations' sites, suppliers as outlets with a feed of their own."""
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    p = table(spark, sf_dir, "part")
+    queries = p.select(key("p", "p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.concat(F.lit('"'), "p_name", F.lit('"')).alias("q"), F.when(F.col("p_partkey") % 2 == 0, "en").otherwise("ar").alias("locale"))
+    domain = F.concat(F.lower(F.replace(F.col("n_name"), F.lit(" "), F.lit("-"))), F.lit(".example"))
+    own = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", domain.alias("d")))).alias("ds"))
+    sites = table(spark, sf_dir, "region").join(own, F.col("n_regionkey") == F.col("r_regionkey"))
+    sites = sites.select(key("r", "r_regionkey").alias("id"), F.transform("ds", lambda x: x["d"]).alias("domains"), F.lit("(home OR rival)").alias("terms"), F.lit("ar").alias("locale"))
+    direct = table(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("id"), F.concat(F.lit("https://feeds.example/"), F.col("s_suppkey").cast("string")).alias("url"))
+    return runs.feed_registry(queries, sites, direct, SEARCH)
 
 
 @query("""
@@ -192,3 +202,24 @@ def byline_trace(spark, sf_dir):
 def byline_candidates(spark, sf_dir):
     found = table(spark, sf_dir, "pages").select("page_id", bylines.candidates(F.col("html")).alias("c"))
     return found.select("page_id", F.array_join(F.transform("c", lambda c: F.concat(c["source"], F.lit(":"), c["raw"])), "|").alias("names"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 8 < 4 THEN ['json-ld', 'meta', 'byline', 'dateline'][doc_id % 8 + 1] WHEN doc_id % 8 = 6 THEN 'dateline' END AS source,
+  CASE WHEN doc_id % 8 < 4 OR doc_id % 8 = 6 THEN 'Ann ' || chr(CAST(65 + n_nationkey AS INT)) || 'eel' END AS name
+FROM documents JOIN nation ON n_nationkey = doc_id % 25""", views=False)
+def byline_pages(spark, sf_dir):
+    """Documents as pages with their whole text, signed in the ways that sites sign, by a desk, or not at all; writers come from the nations."""
+    d = table(spark, sf_dir, "documents").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("doc_id") % 25)  # 25 rows
+    letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("n_nationkey") + 1, F.lit(1))
+    name, k = F.concat(F.lit("Ann "), letter, F.lit("eel")), F.col("doc_id") % 8
+    around = lambda before, after: F.concat(F.lit(before), name, F.lit(after))
+    signed = F.when(k == 0, around('<script type="application/ld+json">{"@graph":[{"author":[{"name":"', '"},"Cee Dee"]},{"x":1}]}</script>'))
+    signed = signed.when(k == 1, around('<meta content="', '" name="author"><p class="byline">By Cee Dee</p>')).when(k == 2, around('<div class="meta byline"> By ', "</div>"))
+    signed = signed.when(k == 3, around("<p>Prices rise: Axis CEO ", " , Thursday 6 Aug 2026</p>")).when(k == 4, '<p class="byline">By Newsroom</p>')
+    signed = signed.when(k == 6, around("<p>Prices rise: Axis CEO ", " , 6 \u0625\u0628\u0631\u064a\u0644 2026</p>")).otherwise("")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " ")
+    html = F.concat(F.lit("<html><body>"), signed, F.lit("<p>"), text, F.lit("</p></body></html>"))
+    t = d.select("doc_id", bylines.trace(html, F.lit("The Outlet"), F.lit(None).cast("string")).alias("t"))
+    found = F.get(F.filter("t", lambda x: x["ok"]), F.lit(0))
+    return t.select("doc_id", found["source"].alias("source"), found["name"].alias("name"))

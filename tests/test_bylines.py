@@ -22,7 +22,7 @@ def test_pages(spark):
         ('<script type="application/ld+json">{"@graph":[{"author":[{"name":"Ann Bee"},"Cee Dee"]},{"x":1}]}</script>', "json-ld"),
         ('<script type="application/ld+json">{bad</script><script type="application/ld+json">[{"author":"Ann Bee"}]</script>', "json-ld"),
         ('<meta property="article:author" content="https://x.y"><meta content="Ann Bee" name="author">', "meta"), ('<p class="byline">By Ann Bee</p>', "byline"),
-        ("<p>targets users: Axis CEO Ann Bee , Thursday 6 Aug 2026</p>", "dateline"), ("<p>Ann Bee went home on Thursday</p>", None), ("", None), (None, None),
+        ("<p>targets users: Axis CEO Ann Bee , Thursday 6 Aug 2026</p>", "dateline"), ("<p>Ann Bee , 6 \u0625\u0628\u0631\u064a\u0644 2026</p>", "dateline"), ("<p>Ann Bee went home on Thursday</p>", None), ("", None), (None, None),
     ]
     t = bylines.trace(F.col("html"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "i int, html string, want string").select("want", t.alias("t"), bylines.byline(t).alias("name")).collect()
