@@ -86,3 +86,15 @@ def html_text(html: Column) -> Column:
     """Scripts, styles, comments and tags become spaces; white space is one space."""
     bare = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"[ \t\n\x0B\f\r]+", " "))
+
+
+def article_text(html: Column, most: int = 3500) -> Column:
+    """The text of a page from its article on: from the first article or main element, else from the first heading, else all of it."""
+    page = F.coalesce(html, F.lit(""))
+    place = lambda p: F.length(F.regexp_extract(page, rf"(?is)^(.*?)<(?:{p})[\s>]", 1))
+    has = lambda p: page.rlike(rf"(?i)<(?:{p})[\s>]")
+    at = F.when(has("article|main"), place("article|main")).when(has("h1"), place("h1")).otherwise(0)
+    text = F.substring(page, at + 1, F.length(page))
+    for gone in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>", "&nbsp;|&#160;"):
+        text = F.regexp_replace(text, gone, " ")
+    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)

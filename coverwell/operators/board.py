@@ -130,7 +130,21 @@ def stale_lines(documents: DataFrame, now: datetime, days: int = 45, shown: int
         "id", "pos", F.regexp_extract("raw", pattern, 1).alias("date"), F.substring(F.regexp_extract("raw", pattern, 2), 1, shown).alias("line")
     )
     age = F.datediff(F.lit(now.date()), F.try_to_date("date", "yyyy-MM-dd"))
-    return dated.withColumn("age_days", age.cast("long")).where(F.col("age_days") > days).drop("pos")
+    return dated.withColumn("age_days", age.cast("long")).where(F.col("age_days") > days)
+
+
+def document_review(documents: DataFrame, now: datetime, stale_days: int = 45, review_days: int = 60) -> DataFrame:
+    """(id, state, stale, oldest, age_days): whether documents (id, content, updated_at) want pruning or a review.
+
+    Stale dated lines warn, and the oldest is named, of equals the first; else an update over ``review_days`` ago warns. An empty document is fine,
+    one that could not be read (null content) is unknown.
+    """
+    found = stale_lines(documents, now, stale_days).groupBy("id").agg(F.count("*").alias("stale"), F.max_by("line", F.struct("age_days", F.expr("-pos"))).alias("oldest"))
+    age = F.floor((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp"))) / 86_400_000_000)
+    rows = documents.join(found, "id", "left").withColumn("age_days", age)
+    empty = F.trim(F.regexp_replace("content", r"\s+", " ")) == ""
+    state = F.when(F.col("content").isNull(), "unknown").when(empty, "ok").when(F.col("stale") > 0, "warn").when(F.col("age_days") > review_days, "warn").otherwise("ok")
+    return rows.select("id", state.alias("state"), F.coalesce("stale", F.lit(0)).alias("stale"), "oldest", "age_days")
 
 
 def callouts(outlets: DataFrame, authors: DataFrame, categories: DataFrame, least: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,20 @@ def delivery(log: DataFrame, bad: tuple[str, ...]) -> DataFrame:
     return log.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin(*bad)).alias("bad"))
 
 
+def recent_delivery(log: DataFrame, bad: tuple[str, ...], sender: str | None, now: datetime, hours: int = 26) -> DataFrame:
+    """(status, n, bad): sends by status of the last ``hours`` and the undated ones; with a ``sender`` only its own, whatever its display name.
+
+    Addresses stand alone or as ``Name <address>``, in any case. Rows without a status count nowhere.
+    """
+    address = F.lower(F.trim(F.coalesce(F.nullif(F.regexp_extract("sender", "<([^>]+)>", 1), F.lit("")), F.col("sender"))))
+    since = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
+    rows = log.where(F.col("created_at").isNull() | (F.col("created_at") >= since))
+    rows = rows if sender is None else rows.where(address == sender.strip().lower())
+    status = F.lower(F.coalesce("status", F.lit("")))
+    by = rows.where(status != "").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return by.withColumn("bad", F.col("status").isin(*bad))
+
+
 def throttled(alerts: DataFrame, hours: int) -> DataFrame:
     """Alerts that go out: none of the same title went out within ``hours`` before. Alerts of a title are taken in order of time and id.
 

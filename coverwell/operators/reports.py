@@ -23,6 +23,15 @@ def parse_range(first: str, last: str) -> tuple[date, date]:
     return a, b
 
 
+def clamped(days: int | str | None, default: int = 30, most: int = 90) -> int:
+    """A number of days from a link: 1 to ``most``, ``default`` where there is none. Only such numbers are clamped, ranges are refused."""
+    try:
+        n = int(float(days)) if days else default
+    except (ValueError, OverflowError):
+        n = default
+    return max(1, min(n or default, most))
+
+
 def periods(stories: DataFrame, first: date, last: date) -> DataFrame:
     """The rows of the range and of the equally long one before it, with ``now``: whether a row is of the range."""
     before = first - timedelta(days=(last - first).days + 1)

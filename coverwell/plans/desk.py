@@ -259,7 +259,7 @@ FROM orders WHERE DATE '2001-09-01' - CAST(o_orderdate AS DATE) > 45""", views=F
 def stale_lines(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     line = F.concat(F.lit("a note\r\n ["), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("] "), F.col("o_orderpriority"), F.lit("\n(2001-02-30) no day"))
-    return board.stale_lines(o.select(F.col("o_orderkey").alias("id"), line.alias("content")), datetime(2001, 9, 1))
+    return board.stale_lines(o.select(F.col("o_orderkey").alias("id"), line.alias("content")), datetime(2001, 9, 1)).drop("pos")
 
 
 _CALLOUTS = (

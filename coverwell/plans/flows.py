@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coverwell.functions import text as T
-from coverwell.operators import board, contracts, dedupe, health, ingest, paging, reports, trends
+from coverwell.operators import board, contracts, dedupe, health, ingest, ledger, paging, reports, trends
 from coverwell.plans import registry
 from coverwell.plans.registry import _GATE_SQL, _GATE_WORDS, _PHRASE_SQL, _TOKENS, _gate_rows, query
 from coverwell.sources import feeds
@@ -455,3 +455,39 @@ def audit_summary(spark, sf_dir):
         F.when(k % 6 == 0, True).alias("negative_framing"), issues.alias("issues"), F.lit("note").alias("note"),
     )
     return health.audit_summary(health.audit_findings(answers))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+c AS (SELECT page_id, html, CASE WHEN regexp_matches(html, '(?i)<(article|main)[\s>]') THEN length(regexp_extract(html, '(?is)^(.*?)<(?:article|main)[\s>]', 1))
+  WHEN regexp_matches(html, '(?i)<h1[\s>]') THEN length(regexp_extract(html, '(?is)^(.*?)<h1[\s>]', 1)) ELSE 0 END AS at_ FROM p)
+SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(html, at_ + 1), '(?is)<script.*?</script>', ' ', 'g'),
+  '(?is)<style.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;|&#160;', ' ', 'g'), '\s+', ' ', 'g')), 1, 3500) AS text FROM c""", views=False)
+def article_texts(spark, sf_dir):
+    """The opening of each page's article; 3,500 characters are what the byline check reads."""
+    return table(spark, sf_dir, "pages").select("page_id", T.article_text(F.col("html")).alias("text"))
+
+
+@query("""
+SELECT lower(event_type) AS status, count(*) AS n, lower(event_type) IN ('error', 'signup') AS bad FROM events
+WHERE (event_id % 50 = 0 OR CAST(ts AS TIMESTAMP) >= TIMESTAMP '2024-01-29 22:00:00') AND user_id % 3 < 2 GROUP BY ALL""", views=False)
+def recent_delivery(spark, sf_dir):
+    """Sends of one sender in the last 26 hours by status; one in fifty is undated."""
+    e = table(spark, sf_dir, "events")
+    sender = F.when(F.col("user_id") % 3 == 0, "Desk <Desk@A.example>").when(F.col("user_id") % 3 == 1, "desk@a.example ").otherwise("other@a.example")
+    log = e.select(F.initcap("event_type").alias("status"), sender.alias("sender"), F.when(F.col("event_id") % 50 != 0, F.col("ts").cast("timestamp_ntz")).alias("created_at"))
+    return ledger.recent_delivery(log, ("error", "signup"), "desk@a.example", NOW)
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS line, o_orderkey % 7 AS k FROM orders),
+s AS (SELECT *, CASE WHEN k < 5 AND DATE '2001-09-01' - d > 45 THEN 1 ELSE 0 END AS stale, DATE '2001-09-01' - d AS age FROM o)
+SELECT id, CASE WHEN k = 6 THEN 'unknown' WHEN k = 5 THEN 'ok' WHEN stale > 0 OR age > 60 THEN 'warn' ELSE 'ok' END AS state, CAST(stale AS BIGINT) AS stale,
+  CASE WHEN stale > 0 THEN line END AS oldest, CAST(age AS BIGINT) AS age_days FROM s""", views=False)
+def document_reviews(spark, sf_dir):
+    """Orders as documents of one dated line; some are empty or could not be read."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 7
+    line = F.concat(F.lit("["), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("] "), F.col("o_orderpriority"))
+    day = F.col("o_orderdate").cast("date").cast("timestamp_ntz")
+    docs = o.select(F.col("o_orderkey").alias("id"), F.when(k < 5, line).when(k == 5, " \n").alias("content"), day.alias("updated_at"))
+    return board.document_review(docs, datetime(2001, 9, 1))

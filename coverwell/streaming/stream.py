@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coverwell.sources.staging import shared_root
 from coverwell.sources.tables import ZONE
 from coverwell.streaming.keyed import KeyedTable
 
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(found or tempfile.mkdtemp(prefix='coverwell-')).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str, files_a_batch: int = 1) -> DataFrame:
@@ -26,18 +25,19 @@ def events(spark: SparkSession, sf_dir: str, files_a_batch: int = 1) -> DataFram
 def daily_counts(stream: DataFrame, where: str) -> DataFrame:
     """Events by civil day and type, through all data that there is; the watermark, on the zone's clock, bounds the state.
 
-    The session's own zone has to be UTC, as windows of a day begin at midnight there.
+    Windows of a day begin at midnight UTC, so the zone's clock is read as if it were UTC, whatever the session's own zone is.
     """
     day = F.window(F.col("at"), "1 day")
+    clock = F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.col("ts").cast("timestamp_ntz"))
     counted = (
-        stream.withColumn("at", F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.col("ts").cast("timestamp_ntz")).cast("timestamp"))
+        stream.withColumn("at", F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), clock)))
         .withWatermark("at", "48 hours")
         .groupBy(day.alias("w"), "event_type")
         .agg(F.count("*").alias("n"))
     )
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.to_date("w.start").alias("day"), "event_type", "n", F.lit(batch_id).alias("batch")).write.mode("append").parquet(f"{where}/out")
+        batch.select(F.date_from_unix_date((F.unix_micros("w.start") / 86_400_000_000).cast("int")).alias("day"), "event_type", "n", F.lit(batch_id).alias("batch")).write.mode("append").parquet(f"{where}/out")
 
     query = counted.writeStream.outputMode("update").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
