@@ -25,6 +25,32 @@ def board(rows: DataFrame, now: datetime, days: int = 7, most: int = 200) -> Dat
     return since(rows.where("is_relevant"), now, days).orderBy(*order).limit(most)
 
 
+def newest_first(rows: DataFrame, now: datetime, days: int = 7, most: int = 200) -> DataFrame:
+    """The board's other order: relevant rows of the window by time, latest first; of equals the most important, then the lower id."""
+    order = [F.desc(F.coalesce("published_at", "seen_at")), F.desc(F.coalesce("importance", F.lit(0))), F.asc("id")]
+    return since(rows.where("is_relevant"), now, days).orderBy(*order).limit(most)
+
+
+def linked(rows: DataFrame, ids: list, total: int, most: int = MOST_IDS) -> DataFrame:
+    """``by_ids`` with what a link of ids declares: how many of the ``total`` stories behind it are shown, and whether that is not all."""
+    found = by_ids(rows, ids, most)
+    n = found.agg(F.count("*").alias("shown"))  # at most ``most``
+    return found.crossJoin(F.broadcast(n)).withColumns({"total": F.lit(total).cast("long"), "subset": F.col("shown") < total})
+
+
+def pin_state(now: datetime, days: int) -> Column:
+    """``pinned``, ``hidden`` or ``auto``: a pin holds for ``days`` after its stamp, a hide until it is lifted; a pin without a stamp holds."""
+    fresh = F.col("team_share_at").isNull() | (F.col("team_share_at") >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days)))
+    return F.when(F.col("team_share") & fresh, "pinned").when(~F.col("team_share"), "hidden").otherwise("auto")
+
+
+def team_board(rows: DataFrame, now: datetime, days: int = 7, pin_days: int = 7, least: int = 2) -> DataFrame:
+    """What the team sees, with ``pin``: pinned rows first; of the others those of the first tier that matter and that nobody turned down; no hidden ones."""
+    judged = since(rows.where("is_relevant"), now, days).withColumn("pin", pin_state(now, pin_days))
+    own = (F.col("tier") == 1) & (F.coalesce("importance", F.lit(0)) >= least) & (F.coalesce("feedback", F.lit(0)) != -1)
+    return judged.where((F.col("pin") == "pinned") | ((F.col("pin") == "auto") & own))
+
+
 def by_ids(rows: DataFrame, ids: list, most: int = MOST_IDS) -> DataFrame:
     """Rows of the given ids; what is no whole number is passed over, and no more than ``most`` are asked for."""
     wanted = [int(i) for i in ids if str(i).strip().isdecimal()][:most]
@@ -161,6 +187,13 @@ def callouts(outlets: DataFrame, authors: DataFrame, categories: DataFrame, leas
     return top(outlets, "outlet", "outlet").unionByName(top(authors, "author", "author")).unionByName(worst)
 
 
+def rising_callout(threads: DataFrame) -> DataFrame:
+    """(kind, name, n, share) of the narratives board: how many rise, and the biggest of them by total, then the least id; no row if none does."""
+    rising = threads.where("rising")
+    first = rising.agg(F.min_by("name", F.struct(-F.col("total"), "thread")).alias("name"), F.count("*").alias("n"))
+    return first.where("n > 0").select(F.lit("rising").alias("kind"), "name", "n", F.lit(None).cast("long").alias("share"))
+
+
 def manual_alert(rows: DataFrame, sent: DataFrame, qualifies: Column, force: bool = False) -> DataFrame:
     """(id, verdict): whether an alert may go out by hand: hidden and unqualified stories are refused, and one per story unless forced."""
     known = sent.select("id").distinct().withColumn("_sent", F.lit(True))

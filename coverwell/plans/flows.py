@@ -491,3 +491,28 @@ def document_reviews(spark, sf_dir):
     day = F.col("o_orderdate").cast("date").cast("timestamp_ntz")
     docs = o.select(F.col("o_orderkey").alias("id"), F.when(k < 5, line).when(k == 5, " \n").alias("content"), day.alias("updated_at"))
     return board.document_review(docs, datetime(2001, 9, 1))
+
+
+@query("""SELECT id, "at" FROM stories WHERE id % 4 <> 0 AND "at" >= TIMESTAMP '2024-01-24' ORDER BY "at" DESC, importance DESC, id LIMIT 200""")
+def board_newest(spark, sf_dir):
+    return board.newest_first(S.stories(spark, sf_dir).withColumn("is_relevant", F.col("id") % 4 != 0), NOW).select("id", "at")
+
+
+@query("""SELECT id, count(*) OVER () AS shown, CAST(5 AS BIGINT) AS total, count(*) OVER () < 5 AS subset FROM stories WHERE id IN (3, 14, 159)""")
+def board_linked(spark, sf_dir):
+    return board.linked(S.stories(spark, sf_dir), ["3", 14, "x", " 159 ", "-2"], 5).select("id", "shown", "total", "subset")
+
+
+@query("""
+, r AS (SELECT *, CASE id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS team_share, CASE WHEN id % 10 <> 5 THEN seen_at END AS stamp, id % 3 AS tier, CASE id % 7 WHEN 0 THEN -1 WHEN 1 THEN 1 END AS feedback
+  FROM stories WHERE id % 4 <> 0 AND "at" >= TIMESTAMP '2024-01-24'),
+p AS (SELECT *, CASE WHEN team_share AND (stamp IS NULL OR stamp >= TIMESTAMP '2024-01-28') THEN 'pinned' WHEN NOT team_share THEN 'hidden' ELSE 'auto' END AS pin FROM r)
+SELECT id, pin FROM p WHERE pin = 'pinned' OR (pin = 'auto' AND tier = 1 AND importance >= 2 AND coalesce(feedback, 0) <> -1)""")
+def team_board(spark, sf_dir):
+    """Stories with pins, hides and thumbs; pins hold three days."""
+    k = F.col("id")
+    rows = S.stories(spark, sf_dir).withColumns({
+        "is_relevant": k % 4 != 0, "team_share": F.when(k % 5 == 0, True).when(k % 5 == 1, False), "team_share_at": F.when(k % 10 != 5, F.col("seen_at")),
+        "tier": k % 3, "feedback": F.when(k % 7 == 0, -1).when(k % 7 == 1, 1),
+    })
+    return board.team_board(rows, NOW, 7, 3).select("id", "pin")

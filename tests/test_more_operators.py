@@ -142,3 +142,13 @@ def test_a_cluster_needs_a_shared_folder(tmp_path):
     for master in ("spark://x", "yarn", "local-cluster[1,1,1024]"):
         with pytest.raises(RuntimeError):
             shared_root(session(master, None))
+
+
+def test_pins_links_and_rising(spark):
+    rows = [(1, True, NOW - timedelta(days=2)), (2, True, NOW - timedelta(days=4)), (3, True, None), (4, False, None), (5, None, None), (6, False, NOW)]
+    df = spark.createDataFrame(rows, "id long, team_share boolean, team_share_at timestamp_ntz")
+    assert [x.p for x in df.select(board.pin_state(NOW, 3).alias("p")).collect()] == ["pinned", "auto", "pinned", "hidden", "auto", "hidden"]
+    assert [(x.id, x.shown, x.subset) for x in board.linked(df, [1, "9", 5], 2).collect()] == [(1, 2, False), (5, 2, False)]
+    assert board.linked(df, ["x"], 2).collect() == []
+    t = spark.createDataFrame([(1, "a", 5, True), (2, "b", 9, True), (3, "c", 99, False)], "thread long, name string, total long, rising boolean")
+    assert [tuple(x) for x in board.rising_callout(t).collect()] == [("rising", "b", 2, None)] and board.rising_callout(t.where("not rising")).collect() == []
