@@ -84,19 +84,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, c0: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (time, batch, H) of inputs (time, batch, E), and what the way back needs."""
+#: Steps whose inputs are multiplied at once.
+STEPS = 4096
+
+
+def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, c0: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+    """Hidden states (time, batch, H) of inputs (time, batch, E), and with ``keep`` what the way back needs, which grows with time."""
     h = np.zeros((x.shape[1], H), np.float32)
     c = np.zeros_like(h)
-    z_in = x @ w + c0
     out, saved = np.empty((len(x), x.shape[1], H), np.float32), []
     for t in range(len(x)):
-        z = z_in[t] + h @ u
+        if t % STEPS == 0:
+            z_in = x[t : t + STEPS] @ w + c0
+        z = z_in[t % STEPS] + h @ u
         gates = sigmoid(z[:, : 3 * H])
         i, f, o, g = gates[:, :H], gates[:, H : 2 * H], gates[:, 2 * H :], np.tanh(z[:, 3 * H :])
         before, c = c, f * c + i * g
         tc = np.tanh(c)
-        saved.append((i, f, o, g, before, tc, h))
+        if keep:
+            saved.append((i, f, o, g, before, tc, h))
         h = o * tc
         out[t] = h
     return out, saved
@@ -126,12 +132,12 @@ def flipped(lengths: np.ndarray, longest: int) -> np.ndarray:
     return np.where(t < lengths, lengths - 1 - t, t)
 
 
-def forward(p: Params, pre: np.ndarray, lengths: np.ndarray):
-    """Logits (time, batch) of summed inputs ``pre`` (time, batch, E), and what training needs."""
+def forward(p: Params, pre: np.ndarray, lengths: np.ndarray, keep: bool = True):
+    """Logits (time, batch) of summed inputs ``pre`` (time, batch, E), and with ``keep`` what training needs."""
     x = np.tanh(pre)
     turn, column = flipped(lengths, len(x)), np.arange(len(lengths))
-    hf, sf = lstm(x, p["Wf"], p["Uf"], p["cf"])
-    hb, sb = lstm(x[turn, column], p["Wb"], p["Ub"], p["cb"])
+    hf, sf = lstm(x, p["Wf"], p["Uf"], p["cf"], keep)
+    hb, sb = lstm(x[turn, column], p["Wb"], p["Ub"], p["cb"], keep)
     states = np.concatenate([hf, hb[turn, column], x], axis=2)
     return states @ p["Wo"] + p["bo"], (x, turn, column, sf, sb, states)
 
@@ -245,7 +251,7 @@ class Labeller:
             while end < len(order) and (end - at + 1) * len(pages[order[end]]) <= cells:
                 end += 1
             pre, lengths = padded([self.pre(pages[j]) for j in order[at:end]])
-            logits, _ = forward(self.p, pre, lengths)
+            logits, _ = forward(self.p, pre, lengths, keep=False)
             for k, j in enumerate(order[at:end]):
                 out[j] = logits[: lengths[k], k] > 0
             at = end
