@@ -57,6 +57,8 @@ ADDED = (
 RULES = BASE + ADDED
 #: What a text must contain, by one fast test, before a rule without trigrams extracts matches.
 QUICK = {"hex": r"[0-9a-f]{16}"}
+#: Matches to a block.
+STEP = 256
 
 Query = list[list[frozenset[str]]]
 
@@ -163,25 +165,32 @@ def rule_spans(rule: Rule, order: int, text: Column) -> Column:
         F.arrays_zip(upto.alias("u"), whole.alias("w"), part.alias("p")),
         lambda m: F.struct(F.length(m["u"]).alias("u"), F.length(m["w"]).alias("w"), F.length(m["p"]).alias("p")),
     )
+    return let(sized, lambda found: _placed(rule, order, found))
+
+
+def _placed(rule: Rule, order: int, found: Column) -> Column:
+    """Spans of matches (u: length up to and with the match, w: of the match, p: of the part that counts), linear in their number.
+
+    Spans are appended within blocks of ``STEP`` matches, each from the length of the blocks before it, and the blocks are joined.
+    """
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    ends = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["u"]).alias("at"),
-            F.when(
-                m["p"] >= rule.least,
-                F.array_append(
-                    acc["out"],
-                    F.struct(
-                        (acc["at"] + m["u"] - m["w"]).alias("start"), F.lit(order).alias("ord"),
-                        (acc["at"] + m["u"]).alias("end"), F.lit(rule.kind).alias("kind"),
-                    ),
-                ),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-    )["out"]
-    return ends
+
+    def block(matches: Column, at: Column) -> Column:
+        span = lambda acc, m: F.struct(
+            (acc["at"] + m["u"] - m["w"]).alias("start"), F.lit(order).alias("ord"), (acc["at"] + m["u"]).alias("end"), F.lit(rule.kind).alias("kind")
+        )
+        step = lambda acc, m: F.struct(
+            (acc["at"] + m["u"]).alias("at"), F.when(m["p"] >= rule.least, F.array_append(acc["out"], span(acc, m))).otherwise(acc["out"]).alias("out")
+        )
+        return F.aggregate(matches, F.struct(at.alias("at"), none.alias("out")), step)["out"]
+
+    def joined(blocks: Column) -> Column:
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, m: n + m["u"]))
+        before = lambda sums, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda n, x: n + x)
+        return let(lengths, lambda sums: F.flatten(F.transform(blocks, lambda b, k: block(b, before(sums, k)))))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / STEP).cast("int")), lambda k: F.slice(found, k * STEP + 1, F.lit(STEP)))
+    return F.when(F.size(found) == 0, none).when(F.size(found) <= STEP, block(found, F.lit(0))).otherwise(let(cut, joined))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ids_a_segment: int = 4096) -> DataFrame:

@@ -564,3 +564,45 @@ def test_rows_with_one_id_are_one_component(spark):
 def test_kept_digest_is_of_utf8(spark):
     got = spark.createDataFrame([("é",)], "t string").select(F.sha2(F.encode("t", "UTF-8"), 256)).first()[0]
     assert got == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_places_around_candidates():
+    import numpy as np
+
+    r = random.Random(8)
+    for _ in range(200):
+        span, n = r.randint(1, 9), r.randint(0, 40)
+        pos = np.array(sorted(r.choices(range(50), k=r.randint(0, 12))), np.int64)
+        assert repeats.around(pos, span, n).tolist() == sorted({p - k for p in pos.tolist() for k in range(span) if 0 <= p - k < n})
+    many = np.arange(1_000_000)
+    assert len(repeats.around(many, 36, 1_000_000)) == 1_000_000  # a million candidates in a text: a few MB
+
+
+def test_a_text_of_many_secrets(spark):
+    """100,000 matches in one text, some too short, cost no more than their number."""
+    n = 100_000
+    text = " ".join(f"{i:016x}" if i % 3 else "ab" for i in range(n)) + " AKIA" + "A" * 16
+    got = secrets.find_secrets(spark.createDataFrame([(1, text), (2, "ab " * 300 + "0123456789abcdef")], "doc_id long, text string")).collect()
+    want = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    spans = {x.doc_id: x.spans for x in got}
+    assert [(s.start, s.end) for s in spans[1] if s.kind == "hex"] == want and [s.kind for s in spans[1]][-1] == "access"
+    assert [(s.start, s.end, s.kind) for s in spans[2]] == [(900, 916, "hex")]
+
+
+def test_labelling_keeps_no_gates_and_takes_long_pages():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    e, h = html_extract.E, html_extract.H
+    w, u, c = (r.standard_normal(n).astype(np.float32) * 0.1 for n in ((e, 4 * h), (h, 4 * h), (4 * h,)))
+    x = r.standard_normal((2 * html_extract.STEPS + 5, 1, e)).astype(np.float32)
+    states, saved = html_extract.lstm(x, w, u, c, keep=False)
+    whole, kept = html_extract.lstm(x, w, u, c)
+    assert saved == [] and len(kept) == len(x) and np.array_equal(states, whole)
+    at, state, cell = 0, np.zeros((1, h), np.float32), np.zeros((1, h), np.float32)
+    for at in range(len(x)):  # step by step, without blocks of steps
+        z = x[at] @ w + c + state @ u
+        i, f, o = (1 / (1 + np.exp(-z[:, k * h : (k + 1) * h])) for k in range(3))
+        cell = f * cell + i * np.tanh(z[:, 3 * h :])
+        state = o * np.tanh(cell)
+        assert np.allclose(state, states[at], atol=1e-4)
