@@ -283,7 +283,7 @@ def _fetched(spark, sf_dir):
     return bodies.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("feed_id"), status.alias("status"), F.when(F.col("f") % 7 != 6, full).alias("body"))
 
 
-_FETCHED = """
+_FETCHED = r"""
 WITH d AS (SELECT doc_id AS k, doc_id // 20 AS f, 'f' || (doc_id // 20) AS feed_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]+', ' ', 'g')) AS plain,
   row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS pos FROM documents),
 why AS (SELECT DISTINCT f, feed_id, CASE WHEN f % 7 = 5 THEN 'http 500' WHEN f % 7 = 6 THEN 'missing' WHEN f % 7 = 3 THEN 'entities' WHEN f % 7 = 2 AND f % 2 = 0 THEN 'not a feed' END AS error FROM d),
