@@ -298,7 +298,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
         raise ValueError(f"passages have {HEAD} words at least")
     ship_package(docs.sparkSession)
     rows = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    kept = suffixes(rows, min_words).withColumn("least", F.lit(0).cast("long"))
+    # written first: the sort by ranges reads its input twice, once to find the ranges
+    kept = staged(suffixes(rows, min_words), "suffixes").withColumn("least", F.lit(0).cast("long"))
     ranged = kept.repartitionByRange("key", "_th", "salt").sortWithinPartitions("key", "_th", "at")
     found = shared_rows(ranged, {"at": "long"}).groupBy("_th").agg(F.collect_set("at").alias("pos"))
     held = rows.where(F.col("text").isNotNull()).groupBy("_th")
