@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,26 +101,26 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     low = row_key(docs).select("doc_id", "_th", ascii_lower(F.col("text")).alias("text"))
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "_th", "n_shingles", "cid", "sig", "b1", "b2"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            sizes, cids, sigs, bits = [], [], [], []
-            for text in rows["text"]:
-                s = shingles(text, n)
-                sizes.append(len(s))
-                cids.append(xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0)
-                sig = signature(s)
-                sigs.append(sig.view(np.int32))
-                one = (mixed(sig.astype(np.uint64)) & np.uint64(1)).reshape(2, 64)
-                bits.append((one * weights).sum(axis=1, dtype=np.uint64).view(np.int64))
-            got = pd.DataFrame({"doc_id": rows["doc_id"], "_th": rows["_th"], "n_shingles": sizes, "sig": sigs})
-            got["cid"] = np.array(cids, np.uint64).view(np.int64)
-            both = np.array(bits, np.int64).reshape(-1, 2)
-            got["b1"], got["b2"] = both[:, 0], both[:, 1]
-            yield got[["doc_id", "_th", "n_shingles", "cid", "sig", "b1", "b2"]]
+            m = len(rows)
+            sizes, cids = np.zeros(m, np.int64), np.zeros(m, np.uint64)
+            sigs, bits = np.zeros((m, K), np.uint32), np.zeros((m, 2), np.uint64)
+            for r, text in enumerate(rows["text"]):  # one text at a time leaves Arrow's memory
+                s = shingles(text.as_py(), n)
+                sizes[r], cids[r] = len(s), xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0
+                sigs[r] = signature(s)
+                one = (mixed(sigs[r].astype(np.uint64)) & np.uint64(1)).reshape(2, 64)
+                bits[r] = (one * weights).sum(axis=1, dtype=np.uint64)
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * K), pa.array(sigs.view(np.int32).ravel()))
+            both = bits.view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["_th"], pa.array(sizes), pa.array(cids.view(np.int64)), sig, pa.array(both[:, 0]), pa.array(both[:, 1])], names)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, _th long, n_shingles long, cid long, sig array<int>, b1 long, b2 long"
-    return low.mapInPandas(of, schema)
+    return low.mapInArrow(of, schema)
 
 
 def _descend(rows: DataFrame, levels: int) -> DataFrame:
@@ -341,9 +342,9 @@ def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) ->
     same = rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_th"] == F.col("_rh"))
     texts = rows.join(F.broadcast(one) if small(one) else one.hint("shuffle_hash"), same).select("cid", "text")
 
-    @F.pandas_udf("binary")
-    def packed(low: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, n).astype("<u8").tobytes() for t in low])
+    @F.arrow_udf("binary")
+    def packed(low: pa.Array) -> pa.Array:
+        return pa.array([shingles(t.as_py(), n).astype("<u8").tobytes() for t in low], pa.binary())
 
     return staged(texts.select("cid", packed(ascii_lower(F.col("text"))).alias("s")).dropDuplicates(["cid"]), "sets")
 
@@ -355,15 +356,15 @@ def unpack(b: bytes) -> np.ndarray:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose full sets have 100 * intersection >= percent * union."""
 
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(left, right, strict=True):
-            p, q = unpack(a), unpack(b)
+            p, q = unpack(a.as_buffer()), unpack(b.as_buffer())  # no copy
             both = np.sort(np.concatenate([p, q]))
             inter = int((both[1:] == both[:-1]).sum())
             out.append(100 * inter >= percent * (len(p) + len(q) - inter))
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     ends = sets.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
     met = ends.join(F.broadcast(pairs), "b") if small(pairs) else pairs.join(ends, "b")
