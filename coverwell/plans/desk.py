@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coverwell.functions import text as T
 from coverwell.operators import board, dedupe, filters, health, ingest, trends
+from coverwell.operators.meeting import hashed
 from coverwell.plans.registry import _CARRIED, _NORMAL, _TOKENS, ORACLES, _board_sql, query
 from coverwell.sources import tables as S
 from coverwell.sources.staging import staged
@@ -114,7 +115,7 @@ t AS (SELECT i.id, coalesce(h.id, p.match) AS into_id FROM i LEFT JOIN h ON i.id
 
 
 def _into(spark, sf_dir) -> DataFrame:
-    items = _items(spark, sf_dir)
+    items = staged(_items(spark, sf_dir).select("id", "summary_hash", "source", hashed(F.col("toks")).alias("toks")))  # words are cut once
     return ingest.crossrun_summary(items, _stored(items).withColumn("pos", F.col("id")))
 
 

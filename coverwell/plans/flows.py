@@ -100,7 +100,7 @@ SELECT CASE WHEN ax <= ay THEN x ELSE y END AS keep, CASE WHEN ax <= ay THEN y E
 FROM q WHERE greatest(head, summ) >= 0.4""", views=False)
 def banded_duplicates(spark, sf_dir):
     """Documents as stories two hours apart, first lines as headlines; a few are undated."""
-    return dedupe.banded_pairs(_band_rows(spark, sf_dir), 0.4, most=None)
+    return dedupe.banded_pairs(_band_rows(spark, sf_dir), 0.4, most=None, stage=staged)
 
 
 @query(rf"""

@@ -235,7 +235,7 @@ p AS (SELECT a.doc_id AS keep, b.doc_id AS drop, len(list_intersect(a.toks, b.to
 SELECT keep, drop, floor(n / (la + lb - n) * 100 + 0.5) / 100 AS score, CASE WHEN n / (la + lb - n) >= 0.55 THEN 'lexical' ELSE 'semantic' END AS band
 FROM p WHERE n / (la + lb - n) >= 0.5""", views=False)
 def jaccard_pairs(spark, sf_dir):
-    return dedupe.duplicate_pairs(_doc_tokens(spark, sf_dir), least=0.5, most=None)
+    return dedupe.duplicate_pairs(_doc_tokens(spark, sf_dir), least=0.5, most=None, stage=staged)
 
 
 @query(rf"""

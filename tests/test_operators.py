@@ -269,3 +269,23 @@ def test_thread_board_names_and_lists_threads(spark):
     # nothing shared: the clause of the leading story; stories off the axis are in no day
     assert (b.name, b.category, sum(b.series), b.rising, b.rising_score) == ("Lone story", "b", 0, False, None)
     assert narratives.thread_board(stories.limit(0), found, 9).count() == 0
+
+
+def test_meeting_leaves_out_no_similar_pair_and_few_others(spark):
+    """Sets over four sizes of slices, with near copies and subsets: all similar pairs meet, and nearly none else does."""
+    import random
+
+    from coverwell.operators import dedupe, meeting
+
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(40_000)]
+    sets = [set(rng.sample(words, n)) for n in [1, 2, 3, 10, 40, 60, 200, 900] * 20]
+    sets += [set(rng.sample(sorted(s), max(1, int(len(s) * f)))) | set(rng.sample(words, len(s) // 10)) for s in sets[:80] for f in (0.5, 0.6, 0.9)]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, toks array<string>")
+    keyed = df.select("id", F.lit(0).alias("key"), meeting.hashed(F.col("toks")).alias("words"))
+    for least in (0.4, 0.5, 0.55):
+        want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-12}
+        got = {(r.a, r.b) for r in dedupe.similar_pairs(df, df, least, F.col("a") < F.col("b")).collect()}
+        assert got == want
+        met = meeting.meeting(keyed, keyed, least, F.col("a") < F.col("b")).count()
+        assert met < len(sets) ** 2 // 10  # half of len(sets) ** 2 are there
