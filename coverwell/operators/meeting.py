@@ -105,3 +105,61 @@ def meeting(left: DataFrame, right: DataFrame, least: float, condition: Column |
     near = full | (smaller & (F.least(na, nb) >= F.greatest(na, nb) * least - 1e-9) & (bits <= (na + nb) * ((1 - least) / (1 + least)) + 1e-9))
     met = a.join(b, "key").where(near if condition is None else condition & near)
     return met.select("a", "b").distinct()
+
+
+#: A side of at most so many rows is given to every worker, to be compared with whole batches of the other.
+FEW = 1000
+
+
+def few(rows: DataFrame, columns: tuple[str, ...]) -> dict | None:
+    """The ids (in order) of ``rows`` and their hashed words by column, if they are 1 to ``FEW`` with fewer than a million words a column, else None."""
+    if not 0 < rows.select("id").limit(FEW + 1).count() <= FEW:
+        return None
+    sizes = rows.agg(*[F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in columns]).first()
+    if max(sizes) >= 1_000_000:
+        return None
+    table = rows.select("id", *[hashed(F.col(c)).alias(c) for c in columns]).toArrow().sort_by("id").combine_chunks()
+    found = {"id": table["id"].to_numpy()}
+    for c in columns:
+        lists = table[c].combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        found[c] = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n), n.astype(np.int64)
+    return found
+
+
+def against_few(rows: DataFrame, some: dict, columns: tuple[str, ...], judge: Callable, schema: str) -> DataFrame:
+    """What ``judge`` gives for slices of ``rows`` (id and words by column) and all of ``some``.
+
+    It takes the ids of a slice in order, those of ``some``, and by column (matrix of shared words, sizes of the slice, sizes of ``some``).
+    Shared words are products of matrices, 4,096 words at a time. ``judge`` travels by value, so it may use nothing of the package.
+    """
+
+    def compared(batches):
+        names = {c: np.unique(some[c][0]) for c in columns}
+        places = {c: np.searchsorted(names[c], some[c][0]) for c in columns}
+        for whole in batches:
+            whole = whole.sort_by("id")
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                shared = {}
+                for c in columns:
+                    lists = batch.column(batch.schema.get_field_index(c))
+                    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                    words, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+                    at = np.minimum(np.searchsorted(names[c], words), max(len(names[c]) - 1, 0))
+                    known = names[c][at] == words if len(names[c]) else np.zeros(len(words), bool)
+                    row, at = row[known], at[known]
+                    both = np.zeros((len(n), len(some["id"])), np.float32)
+                    for low in range(0, len(names[c]), 4096):
+                        wide = min(4096, len(names[c]) - low)
+                        x, y = np.zeros((len(n), wide), np.float32), np.zeros((wide, len(some["id"])), np.float32)
+                        inside = (at >= low) & (at < low + wide)
+                        x[row[inside], at[inside] - low] = 1
+                        inside = (places[c] >= low) & (places[c] < low + wide)
+                        y[places[c][inside] - low, some[c][1][inside]] = 1
+                        both += x @ y
+                    shared[c] = both.astype(np.int64), n, some[c][2]
+                ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
+                yield judge(ids, some["id"], shared)
+
+    return rows.select("id", *[hashed(F.col(c)).alias(c) for c in columns]).mapInArrow(compared, schema)

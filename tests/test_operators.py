@@ -289,3 +289,29 @@ def test_meeting_leaves_out_no_similar_pair_and_few_others(spark):
         assert got == want
         met = meeting.meeting(keyed, keyed, least, F.col("a") < F.col("b")).count()
         assert met < len(sets) ** 2 // 10  # half of len(sets) ** 2 are there
+
+
+def test_few_rows_meet_batches_with_the_same_results(spark, monkeypatch):
+    """A side of few rows is compared whole, without moving a word of the other; both ways give the same rows."""
+    import random
+
+    from coverwell.operators import dedupe
+
+    rng = random.Random(3)
+    names = [f"word{i}" for i in range(60)]
+
+    def rows(n, start):
+        made = [(start + i, rng.sample(names, rng.randrange(12))) for i in range(n)]
+        df = spark.createDataFrame([(i, t, t[::2], [f"{x} {y}" for x, y in zip(t, t[1:])]) for i, t in made], "id long, toks array<string>, strong array<string>, pairs array<string>")
+        return df.withColumns({"block": F.lit("x"), "pos": -F.col("id")})
+
+    new, pool = rows(70, 0), rows(90, 20)
+    ways = [
+        lambda: dedupe.gated_candidates(new, pool, most=None), lambda: dedupe.gated_candidates(pool, new, most=None, earlier=True),
+        lambda: dedupe.crossrun_match(new, pool, 0.3),
+    ]
+    some = [sorted(map(tuple, f().collect())) for f in ways]
+    assert all("MapInArrow" in f()._jdf.queryExecution().executedPlan().toString() for f in ways)
+    monkeypatch.setattr(dedupe, "few", lambda rows, columns: None)
+    assert some == [sorted(map(tuple, f().collect())) for f in ways]
+    assert all(len(s) > 20 for s in some)
