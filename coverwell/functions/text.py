@@ -60,6 +60,11 @@ def phrases(text: Column) -> Column:
     )
 
 
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once a row: lambdas have no common subexpressions, so each use would be worked out anew."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two token arrays without repeats; 0 if either is empty."""
     inter = F.size(F.array_intersect(a, b))

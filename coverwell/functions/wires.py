@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from coverwell.functions.text import bound
+
 # The entities that feeds use, and what each stands for.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
@@ -60,7 +62,7 @@ def _decode_once(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric entities as characters, in two passes as feeds encode twice; what is unknown stays. Null for null."""
-    return _decode_once(_decode_once(text))
+    return bound(bound(text, _decode_once), _decode_once)
 
 
 def clean_date(text: Column) -> Column:

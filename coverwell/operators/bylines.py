@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from coverwell.functions.text import html_text
+from coverwell.functions.text import bound, html_text
 
 # Credits that name a desk, not a person.
 DESKS = [
@@ -95,13 +95,20 @@ def _person(s: Column) -> Column:
 
 def story_subject(name: Column, text: Column) -> Column:
     """Whether the story is about the one named: an office or a verb of speech beside the name, and nowhere a credit or a date. Eight mentions are read."""
-    parts = F.split(F.lower(text), F.concat(F.lit(r"\Q"), F.lower(name), F.lit(r"\E")), 9)
-    met = F.transform(
+    split = F.split(F.lower(text), F.concat(F.lit(r"\Q"), F.lower(name), F.lit(r"\E")), 9)
+    return bound(split, lambda parts: bound(_mentions(parts), lambda met: _about(name, parts, met)))
+
+
+def _mentions(parts: Column) -> Column:
+    return F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
         lambda i: F.struct(
             F.coalesce(F.substring(F.get(parts, i - 1), -60, 60), F.lit("")).alias("before"), F.coalesce(F.substring(F.get(parts, i), 1, 60), F.lit("")).alias("after")
         ),
     )
+
+
+def _about(name: Column, parts: Column, met: Column) -> Column:
     credited = F.exists(met, lambda m: _has(m["before"], _CREDIT) | _has(m["after"], rf"(?iu)^\s*[,،|·•\-–—]?\s*{_DATE}"))
     near = lambda m: F.concat(F.substring(m["before"], -30, 30), F.lit(" "), F.substring(m["after"], 1, 30))
     verb = lambda m: _has(m["after"], rf"^[\s,،:;.—–-]{{0,3}}(?:{_or(SAID)})\b") | _has(m["before"], rf"\b(?:{_or([*SAID, 'according to', 'وأشار'])})[\s,،:;—–-]{{0,3}}\z")
@@ -111,11 +118,21 @@ def story_subject(name: Column, text: Column) -> Column:
 
 def judge(raw: Column, outlet: Column, headline: Column | None = None, text: Column | None = None) -> Column:
     """(ok, name, reason): the first rule that a credit fails, or ``ok`` with the person; of several people the first counts."""
-    n = clean_credit(raw)
+    return bound(clean_credit(raw), lambda n: _judge(n, outlet, headline, text))
+
+
+def _judge(n: Column, outlet: Column, headline: Column | None, text: Column | None) -> Column:
     segments = F.filter(F.transform(F.split(n, _SPLIT), lambda s: _trim(s)), lambda s: s != "")
-    people = F.filter(segments, lambda s: ~F.lower(s).isin(DESKS) & ~outlet_like(s, outlet) & _person(s))
-    one = F.size(segments) <= 1
-    name = F.when(one, n).otherwise(F.get(people, F.lit(0)))
+
+    def parted(parts: Column) -> Column:
+        people = F.filter(parts, lambda s: ~F.lower(s).isin(DESKS) & ~outlet_like(s, outlet) & _person(s))
+        one = F.size(parts) <= 1
+        return F.struct(one.alias("one"), F.when(one, n).otherwise(F.get(people, F.lit(0))).alias("name"))
+
+    return bound(bound(segments, parted), lambda p: _verdict(n, p["one"], p["name"], outlet, headline, text))
+
+
+def _verdict(n: Column, one: Column, name: Column, outlet: Column, headline: Column | None, text: Column | None) -> Column:
     rules = [
         (n == "", "empty"), (F.contains(n, F.lit("@")), "email"), (F.lower(n).isin(DESKS), "desk-word"),
         (_has(n, rf"(?:^|\s)(?:{_or(FURNITURE_AR)})(?:\s|\z)") | _has(n, rf"(?i)\b(?:{_or(FURNITURE)})\b"), "ui-junk"),
@@ -129,7 +146,7 @@ def judge(raw: Column, outlet: Column, headline: Column | None = None, text: Col
     if text is not None:
         rules.append((story_subject(name, text), "story-subject"))
     reason = reduce(lambda so_far, r: so_far.when(*r), rules[1:], F.when(*rules[0])).otherwise("ok")
-    return F.struct((reason == "ok").alias("ok"), F.when(n != "", F.coalesce(name, n)).alias("name"), reason.alias("reason"))
+    return bound(reason, lambda r: F.struct((r == "ok").alias("ok"), F.when(n != "", F.coalesce(name, n)).alias("name"), r.alias("reason")))
 
 
 def _linked(html: Column) -> Column:
@@ -164,20 +181,25 @@ def _dated(text: Column) -> Column:
 
 def candidates(html: Column) -> Column:
     """(source, raw) of all credits on a page, in order of trust; null has none."""
-    page = F.coalesce(html, F.lit(""))
+    return bound(F.coalesce(html, F.lit("")), lambda page: _candidates(page, html_text(page)))
+
+
+def _candidates(page: Column, text: Column) -> Column:
     tagged = lambda source, names: F.transform(names, lambda x: F.struct(F.lit(source).alias("source"), x.alias("raw")))
-    return F.concat(tagged("json-ld", _linked(page)), tagged("meta", _meta(page)), tagged("byline", _visible(page)), tagged("dateline", _dated(html_text(page))))
+    return F.concat(tagged("json-ld", _linked(page)), tagged("meta", _meta(page)), tagged("byline", _visible(page)), tagged("dateline", _dated(text)))
 
 
 def trace(html: Column, outlet: Column, headline: Column) -> Column:
     """(source, raw, ok, name, reason) of every candidate; the byline is the first that is ok."""
-    text = html_text(F.coalesce(html, F.lit("")))
+    return bound(F.coalesce(html, F.lit("")), lambda page: bound(html_text(page), lambda text: _traced(page, text, outlet, headline)))
+
 
-    def judged(c: Column) -> Column:
-        v = judge(c["raw"], outlet, headline, text)
+def _traced(page: Column, text: Column, outlet: Column, headline: Column) -> Column:
+    def told(c: Column, v: Column) -> Column:
         return F.struct(c["source"].alias("source"), F.substring(c["raw"], 1, 80).alias("raw"), v["ok"].alias("ok"), v["name"].alias("name"), v["reason"].alias("reason"))
 
-    return F.transform(candidates(html), judged)
+    judged = lambda c: bound(judge(c["raw"], outlet, headline, text), lambda v: told(c, v))
+    return F.transform(_candidates(page, text), judged)
 
 
 def byline(traced: Column) -> Column:
