@@ -315,3 +315,26 @@ def test_few_rows_meet_batches_with_the_same_results(spark, monkeypatch):
     monkeypatch.setattr(dedupe, "few", lambda rows, columns: None)
     assert some == [sorted(map(tuple, f().collect())) for f in ways]
     assert all(len(s) > 20 for s in some)
+
+
+def test_values_bound_once_and_outputs_that_are_not_compared(spark):
+    from coverwell.functions.wires import decode_entities
+    from coverwell.operators import filters, narratives
+
+    row = spark.createDataFrame([("&amp;lt;b&amp;amp;",), (None,)], "t string")
+    decoded = row.select(decode_entities(F.col("t")).alias("d"))
+    assert [r.d for r in decoded.collect()] == ["<b&", None]
+    assert decoded._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2  # one for each pass
+
+    subs = spark.createDataFrame([(1, ["x", "y"]), (1, ["x"]), (2, None), (2, ["x"]), (None, ["y"])], "subscriber long, topics array<string>")
+    items = spark.createDataFrame([(10, "x"), (10, "x"), (11, "y"), (12, "z")], "id long, category string")
+    got = filters.subscriber_items(subs, items)
+    assert sorted(map(str, got.collect())) == sorted(f"Row(subscriber={s}, id={i})" for s, i in [(1, 10), (1, 11), (2, 10), (2, 11), (2, 12), (None, 11)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.split("\n")[0]  # nothing is made distinct after the pairs are made
+    twice = filters.subscriber_items(subs, items.unionByName(spark.createDataFrame([(10, "y")], items.schema)))
+    assert twice.count() == twice.distinct().count() == 7
+
+    texts = spark.createDataFrame([(i, f"red fox{i} a b c {i} x y" + (" a b" if i % 2 else "")) for i in range(9)] + [(99, None)], "id long, text string")
+    assert [tuple(r) for r in narratives.best_phrases(texts, most=4).collect()] == [("a b c", 9), ("a b", 9), ("b c", 9), ("x y", 9)]
+    assert narratives.best_phrases(texts, most=5).collect()[4].n_docs == 4
