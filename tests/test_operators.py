@@ -119,6 +119,26 @@ def test_best_thread_links_equal_all_pairs(spark):
     assert {(x.a, x.b) for x in narratives.thread_links(stories, block=20).collect()} == want
 
 
+def shuffled(spark, run):
+    """What ``run`` gives, and the bytes that it wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    total = lambda: sum(x.apply(i).shuffleWriteBytes() for x in [stages()] for i in range(x.size()))
+    before = total()
+    out = run()
+    return out, total() - before
+
+
+def test_more_blocks_of_stories_write_no_more(spark):
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows = [(i, "home", f"cat{i % 2}", " ".join(r.choices(words, k=60))) for i in range(800)]
+    stories = spark.createDataFrame(rows, "id long, brand string, category string, text string")
+    got = [shuffled(spark, lambda b=block: sorted((x.a, x.b, x.score) for x in narratives.thread_links(stories, block=b).collect())) for block in (400, 20)]
+    assert got[0][0] == got[1][0] and len(got[0][0]) > 700
+    assert got[1][1] < 3 * got[0][1]
+
+
 def test_threads_and_candidates_take_the_documents(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
