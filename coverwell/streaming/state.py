@@ -141,29 +141,40 @@ def failure_streaks(stream: DataFrame, where: str, delay: str = "48 hours", buck
 
 
 def _throttle_processor(gap_us: int):
+    import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     class Throttle(StatefulProcessor):
-        """Per title: when it last went out, until the event clock has passed the gap after that."""
+        """Per bucket of titles: when each last went out, until the event clock has passed the gap after that."""
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "us long")
+            self.last = handle.getValueState("last", "titles array<string>, us array<long>")
 
         def handleInputRows(self, key, rows, timerValues):
-            last = before = self.last.get()[0] if self.last.exists() else None
-            for us, id_ in sorted((r["_us"], r["id"]) for r in rows):
-                if last is None or us - last >= gap_us:
-                    last = us
-                    yield Row(id=id_, title=key[0], us=us)
+            held = self.last.get() if self.last.exists() else ([], [])
+            behind = timerValues.getCurrentWatermarkInMs() * 1000
+            before = dict(zip(*held))
+            last = {title: us for title, us in before.items() if us + gap_us >= behind}
+            alerts = pd.concat(list(rows)).sort_values(["us", "id"], kind="stable")
+            titles = [t if isinstance(t, str) else None for t in alerts["title"]]
+            goes = []
+            for title, us in zip(titles, alerts["us"].tolist()):
+                goes.append(title not in last or us - last[title] >= gap_us)
+                if goes[-1]:
+                    last[title] = us
+            yield pd.DataFrame({"id": alerts["id"], "title": pd.Series(titles, alerts.index, object), "us": alerts["us"]})[goes]
             if last != before:
                 for old in list(self.handle.listTimers()):
                     self.handle.deleteTimer(old)
-                self.last.update((last,))
-                self.handle.registerTimer((last + gap_us) // 1000 + 1)
+                if last:
+                    self.last.update((list(last), list(last.values())))
+                    self.handle.registerTimer((max(last.values()) + gap_us) // 1000 + 1)
+                else:
+                    self.last.clear()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            self.last.clear()
+            self.last.clear()  # it is set for the last of the bucket's titles
             yield from ()
 
         def close(self) -> None:
@@ -172,18 +183,20 @@ def _throttle_processor(gap_us: int):
     return Throttle()
 
 
-def throttled(stream: DataFrame, where: str, hours: int, delay: str = "1 hour") -> DataFrame:
+def throttled(stream: DataFrame, where: str, hours: int, delay: str = "1 hour", buckets: int = 1024) -> DataFrame:
     """Alerts (id, title, at) that go out: none of the same title went out within ``hours`` before. Null titles are one title.
 
     Alerts of a batch are taken by time and id, batches as they arrive; those more than ``delay`` behind are late and held
     back. Alerts without a time always go out, by a branch of their own. The same guards what may happen once in a while, such as a
     daily send: its marker is the title. What went out of a batch is a folder of its own, so a repeated batch sends nothing twice.
+    The state is kept by bucket of titles, as reading and writing it costs more than the alerts do; ``buckets`` must not change
+    between restarts.
     """
-    rows = stream.withColumn("_us", F.unix_micros(F.col("at").cast("timestamp")))
-    timed = rows.where("at IS NOT NULL").withColumn("_at", F.timestamp_micros("_us")).withWatermark("_at", delay)
+    rows = stream.withColumns({"us": F.unix_micros(F.col("at").cast("timestamp")), "bucket": F.pmod(F.xxhash64("title"), F.lit(buckets))})
+    timed = rows.where("at IS NOT NULL").select("id", "title", "us", "bucket", F.timestamp_micros("us").alias("_at")).withWatermark("_at", delay)
     with rocksdb(stream.sparkSession):
         kinds = dict(stream.dtypes)
-        sent = timed.groupBy("title").transformWithState(_throttle_processor(hours * 3_600_000_000), f"id {kinds['id']}, title string, us long", "append", "eventTime")
+        sent = timed.groupBy("bucket").transformWithStateInPandas(_throttle_processor(hours * 3_600_000_000), f"id {kinds['id']}, title string, us long", "append", "eventTime")
         sent = sent.select("id", "title", F.timestamp_micros("us").cast("timestamp_ntz").alias("at"))
         every = sent.unionByName(stream.where("at IS NULL").select("id", "title", F.col("at").cast("timestamp_ntz").alias("at")))
         _through(every, where, "alerts", lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/alerts/batch={n}"))

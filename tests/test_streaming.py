@@ -106,6 +106,16 @@ def test_throttle_equals_the_batch_and_forgets(spark, tmp_path):
     assert held <= recent + 1 < titles
 
 
+def test_throttle_keeps_a_bucket_not_a_row_a_title(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else f"t{i % 1500}", T0 + timedelta(hours=i * 0.01), i // 1500) for i in range(4500)]
+    df = spark.createDataFrame(rows, "id long, title string, at timestamp_ntz, slice int")
+    sent = []
+    state.replay(df, "slice", str(tmp_path), lambda s: sent.append(state.throttled(s.drop("slice"), str(tmp_path), 22)))
+    assert sorted(x.id for x in sent[-1].collect()) == sorted(x.id for x in ledger.throttled(df.drop("slice"), 22).collect())
+    held = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/checkpoint-alerts")
+    assert held.count() <= 1024 < held.agg(F.sum(F.size("value.titles"))).first()[0]
+
+
 def test_split_late_loses_nothing(spark, tmp_path):
     rows = [(i, None if i % 10 == 0 else T0 + timedelta(hours=i), min(4, i // 40 + (2 if i % 7 == 0 else 0))) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, at timestamp_ntz, slice int")
