@@ -152,3 +152,14 @@ def test_pins_links_and_rising(spark):
     assert board.linked(df, ["x"], 2).collect() == []
     t = spark.createDataFrame([(1, "a", 5, True), (2, "b", 9, True), (3, "c", 99, False)], "thread long, name string, total long, rising boolean")
     assert [tuple(x) for x in board.rising_callout(t).collect()] == [("rising", "b", 2, None)] and board.rising_callout(t.where("not rising")).collect() == []
+
+
+def test_subscribers_and_items_meet_in_chunks(spark):
+    subs = spark.createDataFrame([(i, None if i % 10 == 0 else ["x"] if i % 2 else ["x", "y"]) for i in range(4000)], "subscriber long, topics array<string>")
+    items = spark.createDataFrame([(j, ["x", "y", "z", None][j % 4]) for j in range(200)] + [(0, "y")], "id long, category string")
+    got = filters.subscriber_items(subs, items)
+    want = {(i, j) for i in range(4000) for j in range(200) if i % 10 == 0 or j % 4 == 0 or (i % 2 == 0 and j % 4 == 1)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want  # an item without a category goes to those who want all, and none comes twice
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline") < plan.index("Join")  # no pair is moved
