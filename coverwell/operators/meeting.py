@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coverwell.operators.blocks import cutter, overlap_tools, packing
+from coverwell.sources.staging import staged
+
 #: Words are ordered by how often their hash bucket is met: a table of fixed size, whatever the input.
 BUCKETS = 1 << 16
 #: Most words that a slice has on average; four times as many slices where a set has more.
@@ -107,6 +110,78 @@ def meeting(left: DataFrame, right: DataFrame, least: float, condition: Column |
     return met.select("a", "b").distinct()
 
 
+#: Least and most sets in a block; in between a 24th of them.
+_LEAST_SETS, _MOST_SETS = 256, 4096
+#: Blocks are dealt into at most so many parts; any two of them are a task.
+PARTS = 128
+#: What a block of sets holds: id, key, size; then the index of the words.
+_PACKED = ("i8", "i8", "i8") + ("i8", "i4", "u2", "i4")
+
+
+def set_blocks(sets: DataFrame, block: int | None = None, stage=None) -> DataFrame:
+    """(first, keys and sizes from and to, data): sets (id, key, words) of equal keys and like sizes as blocks of one packed row each."""
+    if block is None:
+        block = min(max(-(-sets.count() // 24), _LEAST_SETS), _MOST_SETS)
+    indexed, _, _, _ = overlap_tools()
+    pack, _ = packing(_PACKED)
+
+    def block_of(table: pa.Table) -> pa.RecordBatch:
+        ids, keys = (table[c].to_numpy() for c in ("id", "key"))
+        lists = table["words"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        out = [ids[0], keys.min(), keys.max(), sizes.min(), sizes.max()]
+        data = pack([ids, keys, sizes, *indexed(lists.flatten().to_numpy(), sizes)])
+        return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in out], pa.array([data], pa.binary())], names=["first", "key_from", "key_to", "least", "most", "data"])
+
+    rows = sets.select(F.col("id").cast("long").alias("id"), F.col("key").cast("long").alias("key"), F.size("words").alias("size"), "words").where("size > 0")
+    rows = rows.repartitionByRange("key", "size", "id").sortWithinPartitions("key", "size", "id").select("id", "key", "words")
+    return (stage or staged)(rows.mapInArrow(cutter(block, ("words",), block_of), "first long, key_from long, key_to long, least long, most long, data binary"))
+
+
+def alike(left: DataFrame, right: DataFrame, least: float, block: int | None = None, stage=None) -> DataFrame:
+    """(a, b, score): all pairs of sets (id, key, words) from both sides with equal keys and a Jaccard similarity of ``least`` or more.
+
+    Sets are cut into blocks by key and size, which are written once; blocks that may hold similar sets meet in a Cartesian product, which reads
+    them again and writes nothing. A similar set shares so many of a set's rarest words; those are looked for, and what has them is
+    counted in full. So disk grows with the sets, and only pairs that are similar leave a task. ``stage`` writes and rereads the blocks.
+    """
+    same = left is right
+    mine = set_blocks(left, block, stage)
+    theirs = mine if same else set_blocks(right, block, stage)
+    _, places, meet, common = overlap_tools()
+    _, unpack = packing(_PACKED)
+
+    def compared(batches):
+        for batch in batches:
+            for data_a, data_b in zip(batch.column(0), batch.column(1)):
+                (ids, keys, sizes, *index), (ids_b, keys_b, sizes_b, *other) = (unpack(x.as_buffer()) for x in (data_a, data_b))
+                low = np.maximum(sizes_b.min(), np.ceil(least * sizes - 1e-9))  # what a similar set has at least
+                need = np.ceil(np.maximum(least * np.maximum(sizes, low), least / (1 + least) * (sizes + low)) - 1e-9).astype(np.int64)
+                need = np.maximum(need, 1)
+                rows = np.flatnonzero((need <= sizes) & (least * sizes <= sizes_b.max() + 1e-9))
+                take = np.minimum(sizes, sizes - need + np.maximum(1, sizes // 10))
+                place = places(index[0], other[0])
+                r, c, n = meet(index[3], sizes, place, other, len(ids_b), rows, take, np.maximum(take - (sizes - need), 1))
+                fits = (keys[r] == keys_b[c]) & (np.minimum(sizes[r], sizes_b[c]) >= least * np.maximum(sizes[r], sizes_b[c]) - 1e-9)
+                r, c, n = r[fits], c[fits], n[fits]
+                n += common(index[3], sizes, place, other, len(ids_b), r, c, take)
+                score = n / (sizes[r] + sizes_b[c] - n)
+                kept = score >= least
+                a, b, score = ids[r[kept]], ids_b[c[kept]], score[kept]
+                if same and ids[0] != ids_b[0]:  # two blocks meet once
+                    a, b, score = np.r_[a, b], np.r_[b, a], np.r_[score, score]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], names=["a", "b", "score"])
+
+    def side(blocks: DataFrame, n: str) -> DataFrame:
+        parts = max(1, min(blocks.count(), PARTS))
+        return blocks.repartition(parts).select(*[F.col(c).alias(f"{c}_{n}") for c in blocks.columns])
+
+    near = (F.col("key_from_a") <= F.col("key_to_b")) & (F.col("key_from_b") <= F.col("key_to_a"))
+    near = near & (F.col("most_a") >= F.col("least_b") * least - 1e-9) & (F.col("most_b") >= F.col("least_a") * least - 1e-9)
+    near = near & (F.col("first_a") <= F.col("first_b")) if same else near
+    return side(mine, "a").hint("shuffle_replicate_nl").join(side(theirs, "b"), near).select("data_a", "data_b").mapInArrow(compared, "a long, b long, score double")
+
+
 #: A side of at most so many rows is given to every worker, to be compared with whole batches of the other.
 FEW = 1000
 
