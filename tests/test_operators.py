@@ -382,3 +382,40 @@ def test_values_bound_once_and_outputs_that_are_not_compared(spark):
     texts = spark.createDataFrame([(i, f"red fox{i} a b c {i} x y" + (" a b" if i % 2 else "")) for i in range(9)] + [(99, None)], "id long, text string")
     assert [tuple(r) for r in narratives.best_phrases(texts, most=4).collect()] == [("a b c", 9), ("a b", 9), ("b c", 9), ("x y", 9)]
     assert narratives.best_phrases(texts, most=5).collect()[4].n_docs == 4
+
+
+def test_similar_pairs_move_their_words_little(spark):
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(3000)]
+    sets = []
+    for _ in range(700):
+        sets.append(r.sample(words, 100) if len(sets) < 5 or r.random() < 0.7 else r.sample(sets[-r.randrange(1, 5)], 80) + r.sample(words, 20))
+    rows = spark.createDataFrame([(i, list(dict.fromkeys(s)), "ab"[i % 2]) for i, s in enumerate(sets)], "id long, toks array<string>, block string")
+    like = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    want = {(a, b) for b in range(700) for a in range(b) if a % 2 == b % 2 and like(a, b) >= 0.5}
+    got, moved = shuffled(spark, lambda: {(x.a, x.b) for x in dedupe.similar_pairs(rows, rows, 0.5, F.col("a") < F.col("b"), "block").collect()})
+    assert got == want and len(want) > 30
+    assert moved < 5 * 8 * sum(map(len, sets))
+
+
+def test_thread_links_of_long_texts_need_no_full_comparison(spark, monkeypatch):
+    r = random.Random(10)
+    words = ["".join(r.choices("bcdfghjk", k=6)) for _ in range(2000)]
+    texts = []
+    for i in range(300):
+        size = 900 if i % 40 == 3 else r.choice([8, 60, 150])
+        texts.append(r.sample(words, size) if i < 5 or r.random() < 0.7 else r.sample(t := texts[-r.randrange(1, 5)], len(t) * 9 // 10) + r.sample(words, 6))
+    rows = [(i, ["home", "rival_a", "other"][i % 3], f"cat{i % 2}", " ".join(t)) for i, t in enumerate(texts)]
+    want = set()
+    for b, brand_b, cat_b, _ in rows:
+        found = []
+        for a, brand_a, cat_a, _ in rows[:b]:
+            p, q = set(texts[a]), set(texts[b])
+            n, j = len(p & q), len(p & q) / len(p | q)
+            need = 2 + (cat_a != cat_b) + 2 * ("other" not in (brand_a, brand_b) and brand_a != brand_b)
+            found.append((max(j if cat_a == cat_b and brand_a == brand_b and j >= 0.22 else 0, 0.2 + 0.02 * n if n >= need else 0), a))
+        want |= {(a, b) for s, a in found if s and s == max(found)[0]}
+    stories = spark.createDataFrame(rows, "id long, brand string, category string, text string")
+    assert {(x.a, x.b) for x in narratives.thread_links(stories, block=50).collect()} == want
+    monkeypatch.setattr(narratives, "_DENSE", -1)  # all counted by products of matrices
+    assert {(x.a, x.b) for x in narratives.thread_links(stories, block=50).collect()} == want
