@@ -395,7 +395,7 @@ def test_similar_pairs_move_their_words_little(spark):
     want = {(a, b) for b in range(700) for a in range(b) if a % 2 == b % 2 and like(a, b) >= 0.5}
     got, moved = shuffled(spark, lambda: {(x.a, x.b) for x in dedupe.similar_pairs(rows, rows, 0.5, F.col("a") < F.col("b"), "block").collect()})
     assert got == want and len(want) > 30
-    assert moved < 5 * 8 * sum(map(len, sets))
+    assert moved < 2.5 * 8 * sum(map(len, sets))
 
 
 def test_thread_links_of_long_texts_need_no_full_comparison(spark, monkeypatch):
